@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import packing, token_counts
+from quern.llm import ngram_join, packing, quality_rules, token_counts
 from quern.llm.common import written
 
 
@@ -19,14 +19,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_totals(written(token_counts.length_histogram(_table(spark, sf_dir, "documents")), "lengths"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every document."""
+    scored = quality_rules.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept", "quality.covered_words", "quality.longest_repeat")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and number of links of every document."""
+    return ngram_join.near_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_rules": op2_quality_rules,
     "op6_packing": op6_packing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE: dict[str, str] = {}
