@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import ngram_join, packing, quality_rules, token_counts
-from quern.llm.common import written
+from quern.llm import line_dedup, ngram_join, packing, quality_rules, source_mix, token_counts
+from quern.llm.common import word_count, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept", "quality.covered_words", "quality.longest_repeat")
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of sources takes of every document, in words."""
+    sized = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return source_mix.mix(sized, F.col("size")).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that an earlier place holds."""
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "clean_text", "n_lines", "n_deleted")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class and number of links of every document."""
     return ngram_join.near_classes(_table(spark, sf_dir, "documents"))
@@ -38,8 +51,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op4_source_mix": op4_source_mix,
     "op6_packing": op6_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_source_mix": source_mix.SQL,
+    "op9_line_dedup": line_dedup.SQL,
+}
