@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import line_dedup, ngram_join, packing, quality_rules, source_mix, token_counts
+from quern.llm import chat_format, line_dedup, ngram_join, packing, quality_rules, secret_scan, source_mix, token_counts, topk_search
 from quern.llm.common import word_count, written
 
 
@@ -26,17 +26,38 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept", "quality.covered_words", "quality.longest_repeat")
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vec_id divisible by 50."""
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of sources takes of every document, in words."""
     sized = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return source_mix.mix(sized, F.col("size")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, read back from its formatted text."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.read_back(chat_format.format_trees(chat_format.conversation_trees(rows)))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document; the models learn ordinary words from documents labelled as good."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    good = docs.select("doc_id", "text").join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    model = secret_scan.train(secret_scan.random_samples(spark), secret_scan.ordinary_samples(good))
+    return secret_scan.digest(secret_scan.scan(docs.select("doc_id", "text"), model))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that an earlier place holds."""
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -51,13 +72,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op3_topk_search": op3_topk_search,
     "op4_source_mix": op4_source_mix,
+    "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
+    "op7_secret_scan": op7_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_topk_search": topk_search.SQL,
+    "op5_chat_format": chat_format.SQL,
     "op4_source_mix": source_mix.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
