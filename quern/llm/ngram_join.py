@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm.common import written
 from quern.llm.components import components
@@ -151,7 +152,7 @@ def _verified(block: pd.DataFrame, first: str, second: str, threshold: Fraction,
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 24, recall: float = 0.9999) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, n_shingles.
+    """One row per row of docs: doc_id, class_id, n_links, n_shingles, code (a hash of the text), class_key (one per class).
 
     Two rows are linked if the Jaccard similarity of their sets of n-word shingles is at least `threshold` (words are
     runs of anything but ASCII white space, compared as they are; shingles are compared by 64-bit hashes). n_links counts
@@ -166,7 +167,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     """
     limit, depth = Fraction(str(threshold)), forest_depth(threshold, trees, recall)
     shift = 64 - 8 * depth
-    table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("code"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,9 +177,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
                 sums = [np.zeros(len(sizes), np.uint64) for _ in range(2)]
                 for total, x in zip(sums, (codes, _mixed(codes ^ np.uint64(0x9E3779B97F4A7C15))), strict=True):
                     np.add.at(total, owner, x)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[low:high].astype("Int64").to_numpy(), "fp1": sums[0].view(np.int64), "fp2": sums[1].view(np.int64), "n_shingles": sizes.astype(np.int64), "labels": list(labels(codes, sizes, trees, depth))})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[low:high].astype("Int64").to_numpy(), "code": batch["code"].iloc[low:high].to_numpy(), "fp1": sums[0].view(np.int64), "fp2": sums[1].view(np.int64), "n_shingles": sizes.astype(np.int64), "labels": list(labels(codes, sizes, trees, depth))})
 
-    rows = written(table.mapInPandas(sets, "doc_id long, fp1 long, fp2 long, n_shingles long, labels array<long>"), "rows")
+    rows = written(table.mapInPandas(sets, "doc_id long, code long, fp1 long, fp2 long, n_shingles long, labels array<long>"), "rows")
     distinct = rows.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.max("labels").alias("labels"))
     distinct = written(distinct.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
@@ -204,7 +205,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
                 part = part.assign(n_shingles=sizes, shingles=[codes[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)])
                 yield part[(sums.view(np.int64) == part["fp1"].to_numpy())].drop(columns=["rep", "fp1", "fp2", "text"])
 
-    texts = table.join(wanted.select(names), table["doc_id"].eqNullSafe(F.col("rep"))).select(*names, "text")
+    texts = table.select("doc_id", "text").join(wanted.select(names), F.col("doc_id").eqNullSafe(F.col("rep"))).select(*names, "text")
     shape = "sid long, team long, small boolean, n_rows long, labels array<long>, n_shingles long, shingles binary"
     held = written(texts.mapInPandas(reread, shape), "shingles")
 
@@ -244,6 +245,19 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     roots = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("sid"), "root")
     known = distinct.select("sid", "fp1", "fp2", "n_shingles", "rep", "n_rows").join(roots, "sid", "left").join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(least, "root").select("fp1", "fp2", "n_shingles", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"))
-    some = rows.where("n_shingles > 0").select("doc_id", "fp1", "fp2", "n_shingles").join(known, ["fp1", "fp2", "n_shingles"]).select("doc_id", "class_id", "n_links", "n_shingles")
-    return some.unionByName(rows.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles"))
+    known = known.join(least, "root").select("fp1", "fp2", "n_shingles", "class_id", F.col("root").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"))
+    some = rows.where("n_shingles > 0").select("doc_id", "code", "fp1", "fp2", "n_shingles").join(known, ["fp1", "fp2", "n_shingles"]).select("doc_id", "class_id", "n_links", "n_shingles", "code", "class_key")
+    return some.unionByName(rows.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles", "code", F.lit(None).cast("long").alias("class_key")))
+
+
+def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The row of docs of least doc_id of each class (null last, ties by a hash of the text); rows without words all stay.
+    Of rows that repeat doc_id and text one stays, the first by its columns as JSON."""
+    found = near_classes(docs, doc_id, text, **how)
+    least = found.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "code")).alias("m"))
+    heads = least.select("m.doc_id", "m.code").unionByName(found.where("class_key IS NULL").select("doc_id", "code")).select(F.col("doc_id").alias("head"), "code").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_code"))
+    rows = rows.join(heads, F.col("id").eqNullSafe(F.col("head")) & (F.col("text_code") == F.col("code")), "left_semi")
+    others = F.to_json(F.struct(*[F.col("row")[x].alias(x) for x in docs.columns if x != text]))
+    first = F.row_number().over(Window.partitionBy("id", "text_code").orderBy(others))
+    return rows.withColumn("first", first).where("first = 1").select("row.*")

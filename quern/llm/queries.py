@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, line_dedup, ngram_join, packing, quality_rules, secret_scan, source_mix, token_counts, topk_search
+from quern.llm import chat_format, html_extract, line_dedup, ngram_join, packing, quality_rules, secret_scan, source_mix, token_counts, topk_search
 from quern.llm.common import word_count, written
 
 
@@ -58,6 +58,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs.select("doc_id", "text"), model))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that an earlier place holds."""
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -66,7 +72,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class and number of links of every document."""
-    return ngram_join.near_classes(_table(spark, sf_dir, "documents"))
+    return ngram_join.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_html_extract": op8_html_extract,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
