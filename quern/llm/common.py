@@ -31,6 +31,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no name of theirs meets one of ours."""
+    return F.struct(*[F.col(f"`{x}`").alias(x) for x in df.columns])
+
+
 def word_count(text: Column) -> Column:
     """Words in a text (null: 0), without building them."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import WORD, written
+from quern.llm.common import WORD, whole_row, written
 
 
 def _length(counts: Column, least: int) -> Column:
@@ -75,9 +75,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     lines have an earlier place too: those that start at a line of the match and those that end at one. Places meet in
     aggregates and joins by hash; no pair of places becomes a row.
     """
-    names = docs.columns
     spans = repeated_spans(docs, doc_id, text, min_words).select(F.col("doc_id").alias("__id"), F.col("code").alias("__code"), "spans")
-    rows = docs.select(F.struct(*names).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).withColumn("code", F.xxhash64("t"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).withColumn("code", F.xxhash64("t"))
     rows = rows.join(spans, F.col("id").eqNullSafe(F.col("__id")) & (F.col("code") == F.col("__code")) & F.col("t").isNotNull(), "left")
     rows = rows.withColumn("lines", F.split("t", "\n", -1)).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long"))
 

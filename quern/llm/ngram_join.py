@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import written
+from quern.llm.common import whole_row, written
 from quern.llm.components import components
 
 #: Shingles whose minima are taken at a time, and the sets and shingles that one verified block holds of either side.
@@ -256,7 +256,7 @@ def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     found = near_classes(docs, doc_id, text, **how)
     least = found.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "code")).alias("m"))
     heads = least.select("m.doc_id", "m.code").unionByName(found.where("class_key IS NULL").select("doc_id", "code")).select(F.col("doc_id").alias("head"), "code").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_code"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_code"))
     rows = rows.join(heads, F.col("id").eqNullSafe(F.col("head")) & (F.col("text_code") == F.col("code")), "left_semi")
     others = F.to_json(F.struct(*[F.col("row")[x].alias(x) for x in docs.columns if x != text]))
     first = F.row_number().over(Window.partitionBy("id", "text_code").orderBy(others))

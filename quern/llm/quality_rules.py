@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import whole_row
+
 SYMBOLS = "#*$%&|<>"
 #: Code points of text whose suffixes are sorted together (a longer text is sorted alone, whole): bounds memory only.
 CHUNK = 3_000_000
@@ -96,7 +98,7 @@ def repetition(texts: list[str | None], min_repeat: int = 10) -> pd.DataFrame:
 
 
 def score(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, min_repeat: int = 10, max_covered: float = 0.5, max_longest: int = 150) -> DataFrame:
-    """docs with the struct `quality`: FEATURES, base_failed, kept.
+    """Structs `row` (docs' columns) and `quality`: FEATURES, base_failed, kept.
 
     A text fails the base with fewer than min_words words, or if words in 3-word windows found twice or more are over
     max_repeat_percent of its words. It is kept if it passes the base, repeated runs of at least min_repeat words cover
@@ -116,14 +118,14 @@ def score(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_p
                     held, chars = [], 0
             yield pd.concat([*done, repetition(held, min_repeat)], ignore_index=True)
 
-    f = F.col("__features")
+    f = F.col("features")
     failed = (f["n_words"] < min_words) | (100 * f["n_repeat_words"] > max_repeat_percent * f["n_words"])
     kept = ~failed & (f["covered_words"] <= max_covered * f["n_words"]) & (f["longest_repeat"] <= max_longest)
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    return docs.withColumn("__features", features(F.col(text))).withColumn("quality", F.struct(*[f[x].alias(x) for x in names], failed.alias("base_failed"), kept.alias("kept"))).drop("__features")
+    rows = docs.select(whole_row(docs).alias("row"), features(F.col(text)).alias("features"))
+    return rows.select("row", F.struct(*[f[x].alias(x) for x in names], failed.alias("base_failed"), kept.alias("kept")).alias("quality"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows of docs that score() keeps, with their own columns."""
-    names = docs.columns
-    return score(docs.select(F.struct(*names).alias("__row"), F.col(text).alias("__text")), "__text", **limits).where("quality.kept").select("__row.*")
+    return score(docs, text, **limits).where("quality.kept").select("row.*")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import whole_row
+
 # The patterns of the base kinds and the least lengths of what they match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LENGTH = 12
@@ -92,7 +94,7 @@ def likelihood_ratio(text: Column, model: list[list[float]]) -> Column:
 
 
 def scan(docs: DataFrame, model: list[list[float]], text: str = "text", least: float = 1.0) -> DataFrame:
-    """docs with `secrets`: array of (start, end, kind, found) by start, then kind in the order assign, access, hex, markov.
+    """Struct `row` (docs' columns) and `secrets`: array of (start, end, kind, found) by start, then kind in the order assign, access, hex, markov.
 
     assign, access and hex are the fixed patterns' matches, leftmost and without overlaps inside each kind. markov are
     the CANDIDATEs that overlap none of those and whose likelihood ratio is at least `least` bits a character. Places are
@@ -100,12 +102,13 @@ def scan(docs: DataFrame, model: list[list[float]], text: str = "text", least: f
     """
     body = F.coalesce(F.col(text), F.lit(""))
     long_enough = lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= ASSIGN_LENGTH
-    rows = docs.withColumn("__base", F.concat(F.filter(spans(body, ASSIGN, "assign"), long_enough), spans(body, ACCESS, "access"), spans(body, HEX, "hex")))
-    apart = lambda x: ~F.exists("__base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    more = F.filter(spans(body, CANDIDATE, "markov"), lambda x: apart(x) & (likelihood_ratio(x["found"], model) >= least))
+    base = F.concat(F.filter(spans(body, ASSIGN, "assign"), long_enough), spans(body, ACCESS, "access"), spans(body, HEX, "hex"))
+    rows = docs.select(whole_row(docs).alias("row"), base.alias("base"), spans(body, CANDIDATE, "markov").alias("more"))
+    apart = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    more = F.filter("more", lambda x: apart(x) & (likelihood_ratio(x["found"], model) >= least))
     kinds = F.array(*map(F.lit, ("assign", "access", "hex", "markov")))
-    ordered = F.array_sort(F.transform(F.concat("__base", more), lambda x: F.struct(x["start"].alias("start"), F.array_position(kinds, x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind"), x["found"].alias("found"))))
-    return rows.withColumn("secrets", F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["found"].alias("found")))).drop("__base")
+    ordered = F.array_sort(F.transform(F.concat("base", more), lambda x: F.struct(x["start"].alias("start"), F.array_position(kinds, x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind"), x["found"].alias("found"))))
+    return rows.select("row", F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["found"].alias("found"))).alias("secrets"))
 
 
 def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -113,4 +116,4 @@ def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     shown = lambda rows: F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("secrets", lambda x: x["kind"] != "markov")
-    return scanned.select(doc_id, count("assign"), count("access"), count("hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("secrets")).alias("spans"))
+    return scanned.select(F.col("row")[doc_id].alias(doc_id), count("assign"), count("access"), count("hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("secrets")).alias("spans"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import prefix_before, word_count
+from quern.llm.common import prefix_before, whole_row, word_count
 
 #: Rows that one key range of a source holds on average; ranges, not sources, are sorted in one task.
 RANGE_ROWS = 20_000
@@ -46,7 +46,7 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     The hash is uniform, so equal ranges of it are equal shares of a source: each source has as many ranges as its rows
     need, ranges are sorted each for itself, and only their totals are summed up per source.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
     targets = source_targets(rows.select("source", "size"), weights, limit)
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
