@@ -76,7 +76,9 @@ def train(random: DataFrame, ordinary: DataFrame) -> list[list[float]]:
     states = ["", *ALPHABET]
     seen = [{(x["a"], x["b"]): x["count"] for x in counts if x["kind"] == k} for k in (0, 1)]
     sums = [{a: sum(table.get((a, b), 0) for b in ALPHABET) for a in states} for table in seen]
-    share = lambda k, a, b: (seen[k].get((a, b), 0) + 0.5) / (sums[k][a] + 0.5 * len(ALPHABET))
+    letters = [{b: sum(table.get((a, b), 0) for a in states) + 0.5 for b in ALPHABET} for table in seen]
+    alone = [{b: n / sum(one.values()) for b, n in one.items()} for one in letters]
+    share = lambda k, a, b: (seen[k].get((a, b), 0) + 5 * alone[k][b]) / (sums[k][a] + 5)  # noqa: E731  rare steps lean on single characters
     return [[math.log2(share(0, a, b) / share(1, a, b)) for b in ALPHABET] for a in states]
 
 
@@ -93,7 +95,7 @@ def likelihood_ratio(text: Column, model: list[list[float]]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step)["sum"] / F.length(text)
 
 
-def scan(docs: DataFrame, model: list[list[float]], text: str = "text", least: float = 1.0) -> DataFrame:
+def scan(docs: DataFrame, model: list[list[float]], text: str = "text", least: float = 2.0) -> DataFrame:
     """Struct `row` (docs' columns) and `secrets`: array of (start, end, kind, found) by start, then kind in the order assign, access, hex, markov.
 
     assign, access and hex are the fixed patterns' matches, leftmost and without overlaps inside each kind. markov are
