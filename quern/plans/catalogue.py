@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quern.plans import retrieval, scoring
+from quern.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "retrieval", "scoring"]
