@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import retrieval, scoring
+from quern.plans import analytics, groundtruth, retrieval, scoring
 from quern.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "retrieval", "scoring"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "groundtruth", "retrieval", "scoring"]
