@@ -37,7 +37,7 @@ SPLIT = "list_filter(string_split_regex(lower({x}), '[ \\t\\n\\r]+'), lambda x:
 
 @query(f"""WITH {MESSAGES_SQL}, f AS (SELECT ego, arg_min(msg_id, (sim_day, conv_id, turn)) AS fact_id FROM m WHERE role = 'user' GROUP BY ego),
 r AS (SELECT m.ego, m.msg_id, m.sim_day, {SPLIT.format(x="m.text")} AS w, f.fact_id FROM m JOIN f USING (ego) WHERE m.role = 'assistant' OR m.msg_id = f.fact_id),
-a AS (SELECT ego, fact_id, list_distinct(list(w) FILTER (WHERE msg_id = fact_id)[1]) AS fact, list_distinct(flatten(list(w) FILTER (WHERE msg_id <> fact_id))) AS said FROM r GROUP BY ego, fact_id)
+a AS (SELECT ego, fact_id, list_distinct(list(w) FILTER (WHERE msg_id = fact_id)[1]) AS fact, list_distinct(flatten(list(w) FILTER (WHERE msg_id <> fact_id))) AS said FROM r GROUP BY ego, fact_id HAVING count(*) FILTER (WHERE msg_id <> fact_id) > 0)
 SELECT ego, fact_id, round(len(list_intersect(fact, said)) / (len(fact) + len(said) - len(list_intersect(fact, said))), 6) AS overlap, len(list_intersect(fact, said)) / (len(fact) + len(said) - len(list_intersect(fact, said))) < 0.3 AS conflicts FROM a""".replace("\\\\", "\\"))
 def organic_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether what was said after an owner's first fact shares under 0.3 of their joint words with it."""
@@ -107,12 +107,12 @@ def two_hop_community(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{EDGE}, s AS (SELECT source, target FROM g WHERE n >= 2), d AS (SELECT source AS a, target AS b FROM s UNION SELECT target, source FROM s), k AS (SELECT a, count(*) AS degree FROM d GROUP BY a),
 t AS (SELECT x.a, count(*) / 2 AS triangles FROM d x JOIN d y ON x.a = y.a AND x.b <> y.b JOIN d z ON z.a = x.b AND z.b = y.b GROUP BY x.a),
 c AS (SELECT k.a, degree, coalesce(triangles, 0) AS triangles, CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END AS clustering FROM k LEFT JOIN t USING (a))
-SELECT count(*) AS n_nodes, (SELECT count(*) FROM s) AS n_edges, round(2.0 * (SELECT count(*) FROM s) / (count(*) * (count(*) - 1)), 6)::DOUBLE AS density, round(avg(clustering), 6) AS clustering, round(avg(degree), 6) AS mean_degree, round(stddev_pop(degree), 6) AS sd_degree, max(degree) AS max_degree, (sum(triangles) / 3)::BIGINT AS n_triangles FROM c""")
+SELECT count(*) AS n_nodes, (SELECT count(*) FROM s) AS n_edges, round(2.0 * (SELECT count(*) FROM s) / nullif(count(*) * (count(*) - 1), 0), 6)::DOUBLE AS density, round(avg(clustering), 6) AS clustering, round(avg(degree), 6) AS mean_degree, round(stddev_pop(degree), 6) AS sd_degree, max(degree) AS max_degree, (coalesce(sum(triangles), 0) / 3)::BIGINT AS n_triangles FROM c""")
 def graph_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, edges, density, clustering and degrees of the graph."""
     c = graph.clustering(edges(spark, sf_dir).where("n >= 2"))
-    n, m = F.count("*"), F.sum("degree") / 2
-    return c.agg(n.alias("n_nodes"), m.cast("long").alias("n_edges"), F.round(2.0 * m / (n * (n - 1)), 6).alias("density"), F.round(F.avg("clustering"), 6).alias("clustering"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.round(F.stddev_pop("degree"), 6).alias("sd_degree"), F.max("degree").alias("max_degree"), (F.sum("triangles") / 3).cast("long").alias("n_triangles"))
+    n, m = F.count("*"), F.coalesce(F.sum("degree"), F.lit(0)) / 2
+    return c.agg(n.alias("n_nodes"), m.cast("long").alias("n_edges"), F.round(F.try_divide(2.0 * m, n * (n - 1)), 6).alias("density"), F.round(F.avg("clustering"), 6).alias("clustering"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.round(F.stddev_pop("degree"), 6).alias("sd_degree"), F.max("degree").alias("max_degree"), (F.coalesce(F.sum("triangles"), F.lit(0)) / 3).cast("long").alias("n_triangles"))
 
 
 @query("""WITH l AS (SELECT event_id, user_id, event_type, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
