@@ -152,3 +152,32 @@ def without_thinking(text: Column) -> Column:
 def entities(text: Column) -> Column:
     """Runs of two or more capitalised words, each once."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0)))
+
+
+# Patterns of refusals for lack of information, and of refusals for privacy, in the order in which they are tried.
+INFORMATION_ABSENT = [
+    r"\b(?:did\s+not|didn'?t|has\s+not|hasn'?t|haven'?t|never)\s+(?:share|mention|discuss|say|talk\s+about|provide)\b",
+    r"\bno\s+(?:clear\s+)?(?:information|reference|record|mention|details?|evidence|indication|data)\b",
+    r"\bI\s+(?:don'?t|do\s+not|can'?t|cannot)\s+(?:have|recall|remember|find|see|know|have\s+access)\b",
+    r"\bnot\s+(?:in|present\s+in|available|found)\s+(?:the|our|my|this|any)?\s*(?:conversation|history|chat|memory|context|record)",
+    r"\b(?:was|wasn'?t|were|weren'?t|is|isn'?t|are|aren'?t)\s+not\s+(?:discussed|mentioned|shared|available|present)\b",
+    r"\bconversation\s+history\s+(?:primarily|mostly|only|does\s+not|doesn'?t)\b",
+    r"\b(?:unaware\s+of\s+any|no\s+such\s+(?:information|details?))\b",
+    r"\bthere\s+(?:is|are)\s+no\s+\w+(?:\s+\w+){0,3}\s+in\s+(?:the|our|my|this)\s+(?:conversation|history|chat|memory|context|record)",
+    r"\b(?:outside\s+of|beyond)\s+(?:my|our|the)\s+(?:knowledge|conversation|history|memory)\b",
+]
+PRIVACY_NAMED = [
+    r"\b(?:can'?t|cannot|won'?t|will\s+not|shouldn'?t|should\s+not|must\s+not|refuse\s+to)\s+(?:share|disclose|reveal|tell|say|provide|give)\b",
+    r"\b(?:confidential|sensitive|protected\s+(?:information|data))\b",
+    r"\bprivate\s+(?:information|data|details?|matter|conversation|chat)\b",
+    r"\b(?:without|require|requires?|need)\s+(?:consent|authorization|authorisation|permission)\b",
+    r"\bnot\s+(?:appropriate|safe|authorized|authori[sz]ed|comfortable|willing)\s+(?:to|for)\b",
+    r"\b(?:privacy|ethical)\s+(?:reasons?|policy|concerns?|guidelines?)\b",
+    r"\brespect\s+(?:their|his|her|the\s+user'?s|someone'?s|people'?s)\s+privacy\b",
+]
+
+
+def provenance_of_refusal(text: Column) -> Column:
+    """info_absent, else privacy, else other."""
+    found = lambda patterns: text.rlike("(?i)" + "|".join(patterns))
+    return F.when(found(INFORMATION_ABSENT), "info_absent").when(found(PRIVACY_NAMED), "privacy").otherwise("other")

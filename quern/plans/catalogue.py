@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import analytics, groundtruth, retrieval, scoring, streams
+from quern.plans import analytics, expressions, groundtruth, retrieval, scoring, streams
 from quern.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "groundtruth", "retrieval", "scoring", "streams"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "expressions", "groundtruth", "retrieval", "scoring", "streams"]
