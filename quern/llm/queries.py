@@ -53,8 +53,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document; the models learn ordinary words from documents labelled as good."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    good = docs.select("doc_id", "text").join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    model = secret_scan.train(secret_scan.random_samples(spark), secret_scan.ordinary_samples(good))
+    model = secret_scan.train(secret_scan.random_samples(spark), secret_scan.ordinary_samples(docs, labels.where("quality = 1")))
     return secret_scan.digest(secret_scan.scan(docs.select("doc_id", "text"), model))
 
 

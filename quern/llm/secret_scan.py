@@ -53,12 +53,14 @@ def random_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     return base64.unionByName(upper).unionByName(table.select(F.substring(digest, 1, 40).alias("text")))
 
 
-def ordinary_samples(labelled: DataFrame, text: str = "text", doc_id: str = "doc_id", max_rows: int = 2000) -> DataFrame:
-    """Identifiers and words of the `max_rows` labelled texts of least doc_id (a bounded sample, the only one here), but
-    for base spans and anything of digits and letters mixed; each distinct one once, joined by IDENTIFIERS."""
-    rows = labelled.where(F.col(text).isNotNull()).select(doc_id, text).orderBy(doc_id, text).limit(max_rows)
+def ordinary_samples(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str = "doc_id", max_ids: int = 2000) -> DataFrame:
+    """Identifiers and words of the docs of the `max_ids` least ids of labelled (a bounded sample, the only one here; so
+    few ids are sent to every task), but for anything with digits; each distinct one once as it is and once in upper case,
+    joined by IDENTIFIERS."""
+    ids = labelled.select(F.col(doc_id).alias("__id")).where("__id IS NOT NULL").distinct().orderBy("__id").limit(max_ids)
+    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), F.col(doc_id) == F.col("__id"), "left_semi").select(text)
     words = rows.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])[A-Za-z+/_=-]{4,}(?![\p{L}\p{N}])"), F.lit(0))).alias("text")).distinct()
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     words = words.unionByName(words.select(F.upper("text").alias("text")))
     return words.unionByName(spark.createDataFrame([(x,) for x in IDENTIFIERS * 3], "text string"))
 

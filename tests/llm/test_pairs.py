@@ -202,7 +202,7 @@ def brute_base(t):
 def model(spark):
     words = "the quick brown fox jumps over lazy dogs while many other ordinary words stand about in sentences Reader naming things getUserName configuration manager service variable support scale international cluster documentation library python process share rather long because people should write clear names which everybody understands without further explanation anywhere".split()
     labelled = spark.createDataFrame([(i, " ".join(words[i % 7 :])) for i in range(50)], "doc_id long, text string")
-    return secret_scan.train(secret_scan.random_samples(spark, 1000), secret_scan.ordinary_samples(labelled))
+    return secret_scan.train(secret_scan.random_samples(spark, 1000), secret_scan.ordinary_samples(labelled, labelled))
 
 
 def test_secret_scan(spark, model):
@@ -226,7 +226,7 @@ def test_markov_models_on_held_out_strings(spark, model):
     secret = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)]
     plain = ["configuration_manager_service_name", "internationalization-support", "kubernetes-cluster-autoscaler", "/usr/share/doc/python/library", "1234567890-1234567890-1234567890", "a_rather_long_variable_name_here"]
     table = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secret + plain)], "doc_id long, text string")
-    found = {r.row.doc_id: r.secrets for r in secret_scan.scan(table, model).collect()}
+    found = {r.row.doc_id: r.secrets for r in secret_scan.scan(table, model, least=1.0).collect()}
     assert sum(bool(found[i]) for i in range(200)) >= 190
     assert not any(found[200 + i] for i in range(len(plain)))
     assert [(x.kind, x.found) for x in found[0]] == [("markov", secret[0])]
