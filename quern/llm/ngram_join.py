@@ -261,3 +261,19 @@ def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     others = F.to_json(F.struct(*[F.col("row")[x].alias(x) for x in docs.columns if x != text]))
     first = F.row_number().over(Window.partitionBy("id", "text_code").orderBy(others))
     return rows.withColumn("first", first).where("first = 1").select("row.*")
+
+
+#: DuckDB SQL for near_classes() over documents with unique doc_ids, without code and class_key.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS doc_id, least(a, min(b)) AS class_id FROM r GROUP BY a),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(m.class_id, d.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links, coalesce(n.n, 0) AS n_shingles
+FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

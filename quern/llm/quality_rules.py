@@ -129,3 +129,23 @@ def score(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_p
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows of docs that score() keeps, with their own columns."""
     return score(docs, text, **limits).where("quality.kept").select("row.*")
+
+
+#: DuckDB SQL for score() over documents with unique doc_ids, without longest_repeat: a run of over 150 words that occurs
+#: twice is a window of 151 words that does, and runs of 10 words or more cover what repeated windows of 10 words do.
+SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM t) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+g AS (SELECT doc_id, i, CASE WHEN i + 2 <= len(w) THEN md5(array_to_string(w[i:i + 2], ' ')) END AS g3, CASE WHEN i + 9 <= len(w) THEN md5(array_to_string(w[i:i + 9], ' ')) END AS g10,
+        CASE WHEN i + 150 <= len(w) THEN md5(array_to_string(w[i:i + 150], ' ')) END AS g151 FROM p),
+r AS (SELECT doc_id, i, (g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1)::INT AS r3, (g10 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g10) > 1)::INT AS r10,
+        (g151 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g151) > 1)::INT AS r151 FROM g),
+c AS (SELECT doc_id, max(r3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, max(r10) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r151 FROM r),
+s AS (SELECT doc_id, sum(c3) AS n_repeat_words, sum(c10) AS covered_words, max(r151) AS too_long FROM c GROUP BY doc_id),
+f AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(covered_words, 0)::BIGINT AS covered_words, coalesce(too_long, 0) AS too_long
+      FROM t LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered_words <= 0.5 * n_words AND too_long = 0 AS kept, covered_words FROM b
+"""

@@ -23,7 +23,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every document."""
     scored = quality_rules.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return scored.select("row.doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept", "quality.covered_words", "quality.longest_repeat")
+    return scored.select("row.doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept", "quality.covered_words")
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_quality_rules": quality_rules.SQL,
+    "op10_ngram_join": ngram_join.SQL,
     "op3_topk_search": topk_search.SQL,
     "op5_chat_format": chat_format.SQL,
     "op4_source_mix": source_mix.SQL,
