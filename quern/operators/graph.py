@@ -36,3 +36,22 @@ def clustering(edges: DataFrame) -> DataFrame:
     t = F.coalesce("triangles", F.lit(0))
     share = F.when(F.col("degree") > 1, 2 * t / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0)
     return degree.join(per, "a", "left").select(F.col("a").alias("node"), "degree", t.alias("triangles"), share.alias("clustering"))
+
+
+def distances(edges: DataFrame, sources: DataFrame, scratch: str, most: int = 64) -> DataFrame:
+    """source, node, steps: fewest steps from each source (column node) to all nodes it reaches, `most` at the furthest.
+
+    A frontier join per step; each step's finds are written under `scratch`, a folder that all executors share."""
+    spark = edges.sparkSession
+    e = both_ways(edges).select("a", "b").distinct()
+    seen = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("steps"))
+    frontier = seen
+    for step in range(1, most + 1):
+        found = frontier.join(e, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct().join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        path = f"{scratch}/step={step}"
+        found.withColumn("steps", F.lit(step)).write.mode("overwrite").parquet(path)
+        frontier = spark.read.parquet(path).select("source", "node", "steps")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen

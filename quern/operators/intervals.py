@@ -61,3 +61,43 @@ def resolved(rows: DataFrame) -> DataFrame:
         return pd.DataFrame({"agent": m.agent, "event_id": m.event_id, "keeps": [i not in gone for i in range(len(m))]})
 
     return rows.groupBy("agent").applyInPandas(decide, "agent long, event_id long, keeps boolean")
+
+
+def without_cuts(entries: DataFrame, cuts: DataFrame) -> DataFrame:
+    """entries (agent, event_id, start, stop) less the parts that cuts (agent, start, stop) of the same agent cover: one row
+    (agent, event_id, start, stop) per piece that is left, in as many pieces as the cuts make. Entries that no cut touches
+    stay whole; those covered through and through are gone."""
+    c = cuts.select("agent", F.col("start").alias("from"), F.col("stop").alias("to"))
+    met = entries.join(c, (entries["agent"] == c["agent"]) & (F.col("from") < entries["stop"]) & (F.col("to") > entries["start"]), "left").select(entries["*"], "from", "to")
+    all_cuts = F.sort_array(F.collect_list(F.when(F.col("from").isNotNull(), F.struct("from", "to"))))
+    rows = met.groupBy("agent", "event_id", "start", "stop").agg(all_cuts.alias("cuts"))
+    first = F.struct(F.col("start").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("out"))
+
+    def cut(a, x):
+        piece = F.struct(a["at"].cast("long").alias("start"), x["from"].cast("long").alias("stop"))
+        return F.struct(F.greatest(a["at"], x["to"]).alias("at"), F.when(x["from"] > a["at"], F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
+
+    end = F.aggregate("cuts", first, cut)
+    last = F.when(end["at"] < F.col("stop"), F.array(F.struct(end["at"].cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+    return rows.select("agent", "event_id", F.explode(F.concat(end["out"], last)).alias("p")).select("agent", "event_id", "p.start", "p.stop")
+
+
+def length_matched(targets: DataFrame, donors: DataFrame, caliper: float = 0.2) -> DataFrame:
+    """item, target, donor, fits: each target of an item gets the unused donor of the item nearest in length, the longest
+    targets first, the shorter donor on ties; fits: within the caliper. Sequential per item. Inputs: item, name, length."""
+
+    def match(key: tuple, pool: pd.DataFrame) -> pd.DataFrame:
+        wanted = pool[pool.side == 0].sort_values(["length", "name"], ascending=[False, True])
+        free = pool[pool.side == 1].sort_values(["length", "name"]).reset_index(drop=True)
+        rows = []
+        for t in wanted.itertuples():
+            if not len(free):
+                break
+            gap = (free.length - t.length).abs()
+            i = int(gap.idxmin())
+            rows.append((key[0], t.name, free.name[i], bool(gap[i] <= caliper * t.length)))
+            free = free.drop(i).reset_index(drop=True)
+        return pd.DataFrame(rows, columns=["item", "target", "donor", "fits"])
+
+    pool = targets.select("item", "name", "length", F.lit(0).alias("side")).unionByName(donors.select("item", "name", "length", F.lit(1).alias("side")))
+    return pool.groupBy("item").applyInPandas(match, "item long, target string, donor string, fits boolean")
