@@ -151,3 +151,25 @@ def interval_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knowledge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest fact known of each entity."""
     return mentions(spark, sf_dir).groupBy("user_id", F.col("event_type").alias("entity")).agg(F.max_by("entity", "event_id").alias("fact"), F.max("event_id").alias("as_of"), F.count("*").alias("n_facts"))
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT source, target FROM g WHERE n >= 2), d AS (SELECT source AS a, target AS b FROM s UNION SELECT target, source FROM s),
+r AS (SELECT DISTINCT a AS source, a AS node, 0 AS steps FROM d WHERE a % 50 = 1 UNION SELECT r.source, d.b, r.steps + 1 FROM r JOIN d ON d.a = r.node WHERE r.steps < 8)
+SELECT source, node, min(steps)::INTEGER AS steps FROM r GROUP BY source, node""")
+def graph_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from every fiftieth node to the nodes within eight steps."""
+    e = edges(spark, sf_dir).where("n >= 2")
+    sources = graph.both_ways(e).where("a % 50 = 1").select(F.col("a").alias("node")).distinct()
+    return graph.distances(e, sources, tables.scratch(spark, "steps"), 8)
+
+
+@query(f"""WITH {INTERVALS_SQL}, e AS (SELECT agent, event_id, start, start + 7200 AS stop FROM i WHERE activity = 'view'), c AS (SELECT agent, start, stop + 600 AS stop FROM i WHERE activity = 'purchase'),
+t AS (SELECT e.agent, e.event_id, unnest([e.start, e.stop]) AS t FROM e UNION SELECT e.agent, e.event_id, unnest([greatest(c.start, e.start), least(c.stop, e.stop)]) FROM e JOIN c ON c.agent = e.agent AND c.start < e.stop AND c.stop > e.start),
+s AS (SELECT agent, event_id, t, lead(t) OVER (PARTITION BY agent, event_id ORDER BY t) AS until FROM t),
+f AS (SELECT s.* FROM s WHERE until IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.agent = s.agent AND c.start <= s.t AND c.stop >= s.until))
+SELECT agent, event_id, t AS start, until AS stop FROM f""")
+def schedule_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What meetings leave of the longer blocks that they fall into."""
+    i = tables.intervals(spark, sf_dir)
+    e = i.where("activity = 'view'").select("agent", "event_id", "start", (F.col("start") + 7200).alias("stop"))
+    return intervals.without_cuts(e, i.where("activity = 'purchase'").select("agent", "start", (F.col("stop") + 600).alias("stop")))

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.registry import query
-from quern.sources.tables import MESSAGES_SQL, table
+from quern.sources.tables import MESSAGES_SQL, scratch, table
 from quern.streaming import replay
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a stream's files under spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files."""
     path = f"{sf_dir}/{name}.parquet"
