@@ -49,10 +49,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = written(windows(docs, doc_id, text, min_words), "windows")
     place = F.struct("doc_id", "code", "mark_at")
     shared = table.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("mark")
+    shared = written(shared, "shared")  # apart from its aggregate, a join can be split where one hash is hot
     met = table.join(shared, "mark", "left_semi").select("doc_id", "code", "s", "low", "high", "h1", "h2", F.struct("doc_id", "code", "s").alias("place"))
     met = written(met, "met")
     first = met.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    later = met.join(first, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first"))).select("doc_id", "code", "low", "high").distinct()
+    later = met.join(written(first, "first"), ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first"))).select("doc_id", "code", "low", "high").distinct()
     text_of = Window.partitionBy("doc_id", "code").orderBy("low", "high")
     reach = F.max("high").over(text_of.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("new", F.when(F.col("low") <= reach + 1, 0).otherwise(1))

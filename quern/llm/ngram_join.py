@@ -185,7 +185,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
     nodes = distinct.select("sid", F.posexplode("labels").alias("tree", "label")).select("sid", F.xxhash64("tree", F.shiftrightunsigned("label", shift)).alias("node"))
     met = nodes.groupBy("node").agg(F.min("sid").alias("m"), F.count("*").alias("n_sets")).where("n_sets > 1")
-    met = written(nodes.join(met, "node"), "met")
+    met = written(nodes.join(written(met, "nodes"), "node"), "met")
     groups = components(met.select(F.col("sid").alias("a"), F.col("m").alias("b")))
     groups = written(groups.select(F.col("node").alias("sid"), F.col("root").alias("team")).join(distinct, "sid"), "groups")
     sizes = groups.groupBy("team").agg(F.count("*").alias("team_sets"), F.sum("n_shingles").alias("team_shingles"))
@@ -212,6 +212,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     one = held.where("small").select("sid", "n_rows", "labels", "n_shingles", "shingles", F.struct(F.col("team").alias("at"), F.lit(-1).alias("tree"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("key"), F.lit(0).alias("part"))
     large = held.where("not small").select("*", F.posexplode("labels").alias("tree", "label")).withColumn("node", F.xxhash64("tree", F.shiftrightunsigned("label", shift)))
     per = large.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n_shingles") / SHINGLES)).cast("int").alias("parts"), F.count("*").alias("n_sets")).where("n_sets > 1").drop("n_sets")
+    per = written(per, "per")
     large = large.join(per, "node").withColumn("part", F.pmod(F.xxhash64("sid"), "parts").cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     large = large.select("sid", "n_rows", "labels", "n_shingles", "shingles", F.struct(F.col("node").alias("at"), "tree", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).alias("key"), "part")

@@ -15,7 +15,7 @@ from quern.llm.tokens import encoder
 
 VOCABULARY = "word_bpe_49k.json"
 #: Partitions whose open windows meet in one task of the merge: at most GROUP * open_windows * size ids.
-GROUP = 64
+GROUP = 16
 #: Room that one partition's sequence numbers get.
 STRIDE = 1 << 32
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -34,7 +34,7 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of sources takes of every document, in words."""
     sized = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return source_mix.mix(sized, F.col("size")).select("row.doc_id", "size", "source_size", "target", "taken")
+    return source_mix.mix(written(sized, "sizes"), F.col("size")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from quern.llm.common import prefix_before, whole_row, word_count
 
 #: Rows that one key range of a source holds on average; ranges, not sources, are sorted in one task.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float = 3) -> DataFrame:
