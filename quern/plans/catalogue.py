@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import analytics, comparisons, expressions, groundtruth, retrieval, scoring, streams
+from quern.plans import analytics, comparisons, expressions, groundtruth, retrieval, scoring, selections, streams
 from quern.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "comparisons", "expressions", "groundtruth", "retrieval", "scoring", "streams"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "comparisons", "expressions", "groundtruth", "retrieval", "scoring", "selections", "streams"]
