@@ -277,3 +277,12 @@ def test_html_extraction(spark):
     assert len(found[16].main_text) == 5 * 60_000 - 1
     assert html_extract.extract(table.limit(0)).count() == 0
     assert html.unescape("&copy;") == "©"
+
+
+def test_large_groups_of_pages_are_dealt_out(spark, monkeypatch):
+    """Pages without a host, and many rows of one URL, give each row once; without a pair the markup alone decides."""
+    monkeypatch.setattr(html_extract, "NEIGHBOURS", 3)
+    rows = [(i, None if i % 3 else "http://h/one", f"<article><p>text {i}</p></article><p>tail</p>", {"k": i}) for i in range(30)] + [(30, "", "<p>open</p>", None), (31, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, deal map<string,int>")
+    found = {r.page_id: r.main_text for r in html_extract.extract(pages).select("row.page_id", "main_text").collect()}
+    assert found == {**{i: f"text {i}" for i in range(30)}, 30: "open", 31: ""}
