@@ -90,7 +90,7 @@ def hint_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS said, trim(regexp_replace(lower(string_split(p_name, ' ')[1]), '[^a-z0-9]+', ' ', 'g')) AS option FROM part)
 SELECT p_partkey, CASE WHEN option = '' THEN 'none' WHEN said = option THEN 'equal' WHEN contains(' ' || said || ' ', ' ' || option || ' ') THEN 'inside' WHEN NOT contains(said, ' ') AND starts_with(option, said) THEN 'prefix' ELSE 'none' END AS match FROM n""")
-def option_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+def choice_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How an answer names an option: as a whole, as words inside it, or as one word that the option starts with."""
     plain = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
     n = table(spark, sf_dir, "part").select("p_partkey", plain(F.col("p_type")).alias("said"), plain(F.split("p_name", " ")[0]).alias("option"))
