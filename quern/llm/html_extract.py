@@ -33,8 +33,10 @@ _CHROME_NAMES = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-z][a-z-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
-#: Where a line stands by its markup: inside the article, in the page's furniture, or neither.
-MAIN, CHROME, OPEN = 0, 1, 2
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+#: Where a line stands by its markup: inside the article, in the page's furniture, neither, or in a heading of the article.
+MAIN, CHROME, OPEN, HEADING = 0, 1, 2, 3
 
 
 def _marked(name: str, attributes: str) -> tuple[bool, bool]:
@@ -51,12 +53,18 @@ def _marked(name: str, attributes: str) -> tuple[bool, bool]:
 
 
 def text_lines(page: str) -> tuple[list[str], list[int]]:
-    """The page's blocks of text in order, white space in each turned into one space, and where each stands."""
+    """The page's blocks of text in order, white space in each turned into one space, and where each stands: MAIN, CHROME or OPEN."""
+    lines, places = headed_lines(page)
+    return lines, [MAIN if x == HEADING else x for x in places]
+
+
+def headed_lines(page: str) -> tuple[list[str], list[int]]:
+    """text_lines() with the headings of the article told apart."""
     lines: list[str] = []
     places: list[int] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
-    chrome = main = linked = in_link = 0
+    chrome = main = linked = in_link = heading = 0
 
     def flush() -> None:
         nonlocal linked
@@ -64,18 +72,19 @@ def text_lines(page: str) -> tuple[list[str], list[int]]:
         if text:
             furniture = chrome or (not main and linked > 0.6 * len(text))
             lines.append(text)
-            places.append(CHROME if furniture else MAIN if main else OPEN)
+            places.append(CHROME if furniture else (HEADING if heading else MAIN) if main else OPEN)
         held.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal chrome, main, in_link
+        nonlocal chrome, main, in_link, heading
         if any(x[0] in _BLOCKS or x[1] or x[2] for x in stack[to:]):
             flush()
         for name, furniture, article in stack[to:]:
             chrome -= furniture
             main -= article
             in_link -= name == "a"
+            heading -= name in _HEADINGS
         del stack[to:]
 
     at = 0
@@ -117,6 +126,7 @@ def text_lines(page: str) -> tuple[list[str], list[int]]:
         chrome += furniture
         main += article
         in_link += name == "a"
+        heading += name in _HEADINGS
     held.append(page[at:])
     flush()
     return lines, places
@@ -146,15 +156,29 @@ def common_lines(a: Sequence[int], b: Sequence[int]) -> list[bool]:
     return shared
 
 
+def main_lines(lines: Sequence[str], places: Sequence[int], shared: Sequence[bool]) -> list[str]:
+    """The lines that are the page's main text, given which of them its neighbour shares.
+
+    Without a marked article: the lines outside furniture that the neighbour does not share. With one: its headings, and
+    its other lines that the neighbour does not share. Where those that it shares hold over half of the article's
+    characters, headings apart, the two pages are near copies: sharing tells nothing there and the article stays whole.
+    """
+    if MAIN not in places and HEADING not in places:
+        return [x for x, p, gone in zip(lines, places, shared, strict=True) if p == OPEN and not gone]
+    sizes = [(len(x), gone) for x, p, gone in zip(lines, places, shared, strict=True) if p == MAIN]
+    copy = 2 * sum(n for n, gone in sizes if gone) > sum(n for n, _ in sizes)
+    return [x for x, p, gone in zip(lines, places, shared, strict=True) if p == HEADING or (p == MAIN and (copy or not gone))]
+
+
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """Struct `row` (pages' columns but `page`) and main_text of every row.
 
     Each page is paired with the page of its host whose path is nearest: the neighbour in path order that shares the
     longer start of its path, the one before on a tie. The text lines of both are aligned by a longest common
-    subsequence, and shared lines go. Two things differencing cannot tell, the markup does: furniture that differs from
-    page to page goes (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element, role, class or
-    id, and blocks that are mostly links), and lines of a marked article stay although a neighbour has them too; where
-    there is a marked article with text, lines outside it go. Lines are joined by \\n.
+    subsequence, and shared lines go, inside a marked article too (see main_lines() for its headings and for near
+    copies). What differencing cannot tell, the markup does: furniture that differs from page to page goes (menus,
+    headers, footers, sidebars, notices, adverts, forms, comments, by element, role, class or id, and blocks that are
+    mostly links), and where there is a marked article with text, lines outside it go. Lines are joined by \\n.
 
     Null and empty pages have an empty text. Null URLs have no host and no pair, nor has a host's only page; then the
     markup alone decides. Repeated rows are each other's neighbours: in them only a marked article stays. Hosts of over
@@ -164,7 +188,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     @F.pandas_udf("lines array<string>, places array<int>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [text_lines(x) if x else ([], []) for x in batch]
+            found = [headed_lines(x) if x else ([], []) for x in batch]
             yield pd.DataFrame({"lines": [x[0] for x in found], "places": [x[1] for x in found]})
 
     @F.pandas_udf("string")
@@ -174,8 +198,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
             start = lambda other: -1 if other is None else len(os.path.commonprefix([here, other]))
             pair = one if start(there1) >= start(there2) else two
             shared = common_lines(list(mine), list(pair)) if pair is not None else [False] * len(text)
-            marked = MAIN in place
-            texts.append("\n".join(x for x, p, gone in zip(text, place, shared, strict=True) if p == MAIN or (p == OPEN and not marked and not gone)))
+            texts.append("\n".join(main_lines(text, place, shared)))
         return pd.Series(texts, dtype=object)
 
     rows = pages.select(whole_row(pages.drop(page)).alias("row"), F.col(url).alias("url"), cut(F.col(page)).alias("cut"))

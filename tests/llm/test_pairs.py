@@ -279,6 +279,17 @@ def test_html_extraction(spark):
     assert html.unescape("&copy;") == "©"
 
 
+def test_shared_lines_go_inside_articles(spark):
+    """A line of the article that the neighbour has goes; headings stay, and near copies keep their articles whole."""
+    page = "<article><h1>News</h1><p>Our offer of the day</p><p>{a}</p><h2>More</h2><p>{b}</p><p>Write to us</p></article><p>outside</p>"
+    rows = [(i, f"http://h.example/{d}/{i}", page.format(a=f"story {i} " * 9, b=f"end of {i} " * 5)) for i, d in enumerate("aabb")]
+    rows += [(i, f"http://copy.example/{i}", page.format(a="the same story " * 9, b=f"note {i}")) for i in (7, 8)]
+    found = {r.row.page_id: r.main_text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: f"News\n{(f'story {i} ' * 9).strip()}\nMore\n{(f'end of {i} ' * 5).strip()}"
+    assert {i: found[i] for i in range(4)} == {i: own(i) for i in range(4)}
+    assert {i: found[i] for i in (7, 8)} == {i: f"News\nOur offer of the day\n{('the same story ' * 9).strip()}\nMore\nnote {i}\nWrite to us" for i in (7, 8)}
+
+
 def test_large_groups_of_pages_are_dealt_out(spark, monkeypatch):
     """Pages without a host, and many rows of one URL, give each row once; without a pair the markup alone decides."""
     monkeypatch.setattr(html_extract, "NEIGHBOURS", 3)
