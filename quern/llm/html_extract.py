@@ -8,13 +8,13 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.llm.common import whole_row, written
 
-#: Pages of a host among which one looks for its nearest URL; a host with more is dealt into as many groups as it needs.
+#: Pages that a path range of a large host holds on average; ranges, not hosts, are sorted in one task. No result depends on it.
 NEIGHBOURS = 5000
 
 _TOKEN = re.compile(
@@ -170,11 +170,34 @@ def main_lines(lines: Sequence[str], places: Sequence[int], shared: Sequence[boo
     return [x for x, p, gone in zip(lines, places, shared, strict=True) if p == HEADING or (p == MAIN and (copy or not gone))]
 
 
+def path_ranges(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges of about NEIGHBOURS pages of the hosts of (host, key) that have more: host, firsts; and host, range, first, last.
+
+    firsts are the sorted keys at which the ranges after the first begin, every so many of a sample by hash; first and
+    last are the keys at a range's ends.
+    """
+    step = max(1, NEIGHBOURS // 16)
+    every = NEIGHBOURS // step
+    counts = keyed.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS).select("host")
+    sample = keyed.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).join(counts, "host", "left_semi")
+    place = F.row_number().over(Window.partitionBy("host").orderBy("key"))
+    firsts = sample.withColumn("place", place).where(F.col("place") % every == 0).groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("firsts"))
+    firsts = written(firsts, "ranges")
+    ends = keyed.join(firsts, "host").withColumn("range", _range("key", "firsts")).groupBy("host", "range").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    return firsts, written(ends, "ends")
+
+
+def _range(key: str, firsts: str) -> Column:
+    """How many of the sorted firsts are not above the key, by halving; none if they are null."""
+    steps = F.array(*[F.lit(1 << x) for x in range(24, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, x: F.when(F.get(firsts, at + x - 1) <= F.col(key), at + x).otherwise(at))
+
+
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """Struct `row` (pages' columns but `page`) and main_text of every row.
 
     Each page is paired with the page of its host whose path is nearest: the neighbour in path order that shares the
-    longer start of its path, the one before on a tie. The text lines of both are aligned by a longest common
+    longer start of its path, the one before on a tie. Pages of one path stand in the order of hashes of URL and row. The text lines of both are aligned by a longest common
     subsequence, and shared lines go, inside a marked article too (see main_lines() for its headings and for near
     copies). What differencing cannot tell, the markup does: furniture that differs from page to page goes (menus,
     headers, footers, sidebars, notices, adverts, forms, comments, by element, role, class or id, and blocks that are
@@ -182,8 +205,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
 
     Null and empty pages have an empty text. Null URLs have no host and no pair, nor has a host's only page; then the
     markup alone decides. Repeated rows are each other's neighbours: in them only a marked article stays. Hosts of over
-    NEIGHBOURS pages are dealt into groups by a hash of the row, and the nearest URL is sought inside a group; rows
-    without a host are dealt out one by one.
+    NEIGHBOURS pages are sorted by path ranges, whose first and last pages go to the adjoining ranges as well, so that
+    every page meets its neighbours; rows without a host are dealt out one by one.
     """
     @F.pandas_udf("lines array<string>, places array<int>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -201,16 +224,23 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
             texts.append("\n".join(main_lines(text, place, shared)))
         return pd.Series(texts, dtype=object)
 
-    rows = pages.select(whole_row(pages.drop(page)).alias("row"), F.col(url).alias("url"), cut(F.col(page)).alias("cut"))
-    rows = rows.select("row", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1).alias("path"), F.xxhash64("url").alias("code"), "cut.lines", "cut.places")
-    rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    counts = pages.groupBy(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host")).agg(F.ceil(F.count("*") / NEIGHBOURS).alias("groups"))
-    large = written(counts.where("groups > 1"), "hosts")  # at most one row per NEIGHBOURS pages, of a known size
-    none = F.col("host").isNull() | (F.col("host") == "")
+    site = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+    host, path = F.lower(F.regexp_extract("url", site + "([^/?#]*)", 1)), F.regexp_extract("url", site + "[^/?#]*([^#]*)", 1)
     deal = F.xxhash64(F.to_json("row"))  # of the whole row, so that a URL that many rows share is dealt out too
-    rows = rows.join(large, "host", "left").withColumn("group", F.when(none, deal).when(F.col("groups") > 1, F.pmod(deal, "groups")).otherwise(0))
-    near = Window.partitionBy("host", "group").orderBy("path", "code", "hashes")
+    rows = pages.select(whole_row(pages.drop(page)).alias("row"), F.col(url).alias("url"), F.col(page).alias("page"))
+    rows = rows.withColumns({"host": host, "key": F.struct(path.alias("path"), F.xxhash64("url").alias("code"), deal.alias("deal"))})
+    none = F.col("host").isNull() | (F.col("host") == "")
+    firsts, ends = path_ranges(rows.where(~none).select("host", "key"))  # about one row or key per NEIGHBOURS pages
+    rows = rows.select("row", "host", "key", cut("page").alias("cut")).select("row", "host", "key", "cut.lines", "cut.places")
+    rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    rows = rows.join(firsts, "host", "left").withColumn("range", _range("key", "firsts")).drop("firsts").join(ends, ["host", "range"], "left")
+    # A range's first and last pages are guests of the ranges beside it.
+    at = F.col("range").cast("long")
+    groups = F.array(at, F.when(F.col("key") == F.col("first"), at - 1), F.when(F.col("key") == F.col("last"), at + 1))
+    rows = rows.withColumn("group", F.explode(F.when(none, F.array("key.deal")).otherwise(F.array_compact(groups))))
+    rows = rows.select("row", "host", "group", "lines", "places", "hashes", "key.path", "key.code", "key.deal", (~none & (F.col("group") != at)).alias("guest"))
+    near = Window.partitionBy("host", "group").orderBy("path", "code", "deal")
     beside = {f"{c}{i}": F.when(~none, way(c).over(near)) for c in ("path", "hashes") for i, way in ((1, F.lag), (2, F.lead))}
-    rows = rows.withColumns(beside)
+    rows = rows.withColumns(beside).where("guest IS NOT TRUE")
     text = differ("lines", "places", "path", "hashes", "path1", "hashes1", "path2", "hashes2")
     return rows.select("row", text.alias("main_text"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -297,3 +298,24 @@ def test_large_groups_of_pages_are_dealt_out(spark, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, deal map<string,int>")
     found = {r.page_id: r.main_text for r in html_extract.extract(pages).select("row.page_id", "main_text").collect()}
     assert found == {**{i: f"text {i}" for i in range(30)}, 30: "open", 31: ""}
+
+
+@pytest.mark.parametrize("size", [1, 3, 40, 5000])
+def test_pages_meet_their_true_neighbours(spark, monkeypatch, size):
+    """On a host of any size the pair is the page of the nearest path, whatever a range holds."""
+    monkeypatch.setattr(html_extract, "NEIGHBOURS", size)
+    rng = random.Random(8)
+    paths = sorted({"/" + "".join(rng.choice("abc/") for _ in range(rng.randrange(1, 9))) for _ in range(150)})
+    lines = [[f"own {i}", *(f"line {k}" for k in range(30) if rng.random() < 0.4)] for i in range(len(paths))]
+    rows = [(i, f"http://h.example{p}", "".join(f"<p>{x}</p>" for x in own)) for i, (p, own) in enumerate(zip(paths, lines, strict=True))]
+    rng.shuffle(rows)
+    rows += [(1000 + i, f"http://twice.example/{i % 2}", f"<article><p>text {i}</p></article>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = [(r.page_id, r.main_text) for r in html_extract.extract(pages).select("row.page_id", "main_text").collect()]
+    assert len(found) == len(rows)
+    start = lambda i, j: -1 if not 0 <= j < len(paths) else len(os.path.commonprefix([paths[i], paths[j]]))
+    wanted = {1000 + i: f"text {i}" for i in range(40)}
+    for i, own in enumerate(lines):
+        pair = lines[i - 1 if start(i, i - 1) >= start(i, i + 1) else i + 1]
+        wanted[i] = "\n".join(x for x in own if x not in pair)
+    assert dict(found) == wanted
