@@ -49,16 +49,18 @@ def root_paths(nodes: DataFrame) -> DataFrame:
     return paths
 
 
-def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
+def format_trees(messages: DataFrame, branches: int = 1, null_tree: bool = False) -> DataFrame:
     """tree, leaf, branch (rank from 1), branch_score, formatted, loss_spans (array of start, length) per chosen path.
 
     messages: tree, node (long, a parent's less than its replies'), parent, role, text, score. A tree has one path per
     leaf; the `branches` best by mean score are chosen, ties to the smaller leaf. A parent that is null, unknown or not
     less than the node makes it a root. Null texts and roles are empty, null scores 0. Rows that repeat a node count
-    once, the least by parent, role, text, score. Null trees or nodes take no part. loss_spans are the code points of `formatted`
-    that hold the assistant's texts. No rows give no rows.
+    once, the least by parent, role, text, score. Null nodes take no part, nor do null trees; with null_tree these
+    are one tree. loss_spans are the code points of `formatted` that hold the assistant's texts. No rows give no rows.
     """
-    rows = messages.where("tree IS NOT NULL AND node IS NOT NULL").select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    rows = messages.where("node IS NOT NULL" if null_tree else "tree IS NOT NULL AND node IS NOT NULL")
+    tree = F.struct(F.col("tree").alias("id")) if null_tree else F.col("tree")  # a struct is not null and equals itself, whatever it holds
+    rows = rows.select(tree.alias("tree"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     rows = rows.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*")
     rows = written(rows, "messages")
     known = rows.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
@@ -75,13 +77,14 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     turns = turns.withColumn("start", start)
     span = F.when(F.col("role") == "assistant", F.struct("start", F.length("body").cast("long").alias("length")))
     whole = turns.groupBy("tree", "leaf").agg(F.first("branch").alias("branch"), F.first("branch_score").alias("branch_score"), F.sort_array(F.collect_list(F.struct("start", "turn"))).alias("turns"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
-    return whole.select("tree", "leaf", "branch", "branch_score", F.array_join("turns.turn", "").alias("formatted"), "loss_spans")
+    return whole.select((F.col("tree.id") if null_tree else F.col("tree")).alias("tree"), "leaf", "branch", "branch_score", F.array_join("turns.turn", "").alias("formatted"), "loss_spans")
 
 
 def conversation_trees(conversations: DataFrame) -> DataFrame:
     """messages for format_trees() of a table of conv_id, turn, role, text: each row replies to the one before it.
 
-    Rows go by turn, null first, ties by role, then text (nulls first); each repeated row is a turn of its own.
+    Rows go by turn, null first, ties by role, then text (nulls first); each repeated row is a turn of its own. Rows
+    without a conv_id are one conversation, for format_trees() with null_tree.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("long").alias("node"), "role", "text")

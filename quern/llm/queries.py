@@ -42,7 +42,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat_format.read_back(chat_format.format_trees(chat_format.conversation_trees(rows)))
+    return chat_format.read_back(chat_format.format_trees(chat_format.conversation_trees(rows), null_tree=True))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

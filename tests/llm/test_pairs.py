@@ -7,11 +7,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, components, html_extract, ngram_join, secret_scan, topk_search
+from quern.llm import chat_format, components, html_extract, ngram_join, queries, secret_scan, topk_search
 
 SHAPE = "doc_id long, text string, sid long, labels string, team long, code string, n_rows int"
 
@@ -174,6 +175,17 @@ def test_chat_round_trip(spark):
     assert chat_format.format_trees(chat_format.conversation_trees(table.limit(0))).count() == 0
 
 
+def test_turns_without_a_conversation(spark, tmp_path):
+    """They are one conversation, as in the query's SQL."""
+    rows = [(None, 0, "user", "hello"), (None, 1, "assistant", "who <|asks|>"), (None, 2, "user", "nobody"), (4, 0, "user", "a"), (4, 1, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    wanted = duck.sql(chat_format.SQL)
+    found = queries.op5_chat_format(spark, str(tmp_path)).select(*wanted.columns).collect()
+    assert len(found) == 3 and {tuple(r) for r in found} == set(wanted.fetchall())
+
+
 def test_reply_trees(spark):
     rows = [
         ("t", 1, None, "user", "root", 0.0), ("t", 2, 1, "assistant", "left", 1.0), ("t", 3, 1, "assistant", "right", 5.0), ("t", 4, 2, "user", "deep", 9.0),
