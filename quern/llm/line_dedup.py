@@ -67,7 +67,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     A run of lines (cut at \\n, compared as they are, those without words left out) is repeated if it has at least
     min_words words and an earlier place holds it too: earlier in the order of doc_id, or further up in the same text. All
-    its lines go, with the wordless ones after each; what stays is joined by \\n again. Rows with equal doc_id and text are
+    its lines go, with the wordless ones after each; what stays is joined by \\n again. A passage that begins or ends inside a
+    line counts by its whole lines only. Rows with equal doc_id and text are
     one document and get the same result; other rows with one doc_id come in the order of a hash of their texts. Null
     doc_ids come first. Null texts stay null (no lines); empty texts stay empty (one line). No rows give no rows.
 
