@@ -11,49 +11,80 @@ from quern.llm.common import WORD, whole_row, written
 
 def _length(counts: Column, least: int) -> Column:
     """How many of the counts, from the first on, add up to `least` words (0 if all do not)."""
-    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-    grown = F.aggregate(counts, start, lambda a, n: F.when(a["words"] >= least, a).otherwise(F.struct((a["words"] + n).alias("words"), (a["lines"] + 1).alias("lines"))))
-    return F.when(grown["words"] >= least, grown["lines"]).otherwise(F.lit(0))
+    line = 1 << 40  # lines are counted above the words' bits
+    grown = F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: F.when(a % line >= least, a).otherwise(a + n + line))
+    return F.when(grown % line >= least, F.floor(grown / line).cast("int")).otherwise(F.lit(0))
 
 
-def windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """One row per window: the shortest run of lines from a line on, or up to a line, that has min_words words.
-
-    Lines without words are left out. A window's lines follow from its own text alone, so equal runs hold equal windows.
-    Columns: doc_id and code (which tell texts apart), s (number of its first line among those with words), low and high
-    (its lines in the text, with the wordless ones after it), h1 and h2 (hashes of its lines), mark and mark_at (the least
-    line hash and its last line: the window's fingerprint).
-    """
+def worded_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id and code (which tell texts apart), size (lines of the text), and of its lines with words h (hash), n (words) and i (place, from 0)."""
     lines = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).cast("int").alias("n"), i.alias("i")))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("code"), lines.alias("all"))
     texts = texts.select("doc_id", "code", F.size("all").alias("size"), F.filter("all", lambda x: x["n"] > 0).alias("w")).where(F.size("w") > 0)
-    texts = texts.select("doc_id", "code", "size", F.col("w.h").alias("h"), F.col("w.n").alias("n"), F.col("w.i").alias("i"))
-    every = F.sequence(F.lit(1), F.size("n"))
-    ahead = F.transform(every, lambda p: F.struct(p.alias("s"), _length(F.slice("n", p, F.lit(min_words)), min_words).alias("len")))
+    return texts.select("doc_id", "code", "size", F.col("w.h").alias("h"), F.col("w.n").alias("n"), F.col("w.i").alias("i"))
+
+
+def windows(min_words: int) -> Column:
+    """Array of (s, len, at) over worded_lines()' h and n: the shortest run of lines from a line on, or up to a line, that
+    has min_words words, and the last place of its least line hash. Places count from 1.
+
+    A window's lines follow from its own text alone, so equal runs hold equal windows.
+    """
+    ahead = lambda p: F.struct(p.alias("s"), _length(F.slice("n", p, F.lit(min_words)), min_words).alias("len"))
 
     def behind(p: Column) -> Column:
         low = F.greatest(p - min_words + 1, F.lit(1))
         size = _length(F.reverse(F.slice("n", low, p - low + 1)), min_words)
         return F.struct((p - size + 1).alias("s"), size.alias("len"))
 
-    spans = F.filter(F.array_distinct(F.concat(ahead, F.transform(every, behind))), lambda x: x["len"] > 0)
-    rows = texts.select("doc_id", "code", "size", "h", "i", F.explode(spans).alias("x")).select("*", "x.s", "x.len", F.slice("h", F.col("x.s"), F.col("x.len")).alias("part"))
-    high = F.coalesce(F.try_element_at("i", F.col("s") + F.col("len")), F.col("size")) - 1
-    mark = F.array_min("part")
-    at = F.col("s") + F.col("len") - F.array_position(F.reverse("part"), mark).cast("int")
-    return rows.select("doc_id", "code", "s", F.element_at("i", F.col("s")).alias("low"), high.alias("high"), F.xxhash64("part").alias("h1"), F.xxhash64(F.lit(1), "part").alias("h2"), mark.alias("mark"), at.alias("mark_at"))
+    every = F.sequence(F.lit(1), F.size("n"))
+    runs = F.filter(F.array_distinct(F.concat(F.transform(every, ahead), F.transform(every, behind))), lambda x: x["len"] > 0)
+
+    def marked(x: Column) -> Column:
+        part = F.slice("h", x["s"], x["len"])
+        return F.struct(x["s"].alias("s"), x["len"].alias("len"), (x["s"] + x["len"] - F.array_position(F.reverse(part), F.array_min(part)).cast("int")).alias("at"))
+
+    return F.transform(runs, marked)
+
+
+def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, code, at, mark: the lines of worded_lines() that are the least hash of one of their windows or more, each once."""
+    places = lines.select("doc_id", "code", "h", F.explode(F.array_distinct(F.transform(windows(min_words), lambda x: x["at"]))).alias("at"))
+    return places.select("doc_id", "code", "at", F.element_at("h", F.col("at")).alias("mark"))
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """doc_id, code, spans (array of low, high): lines of each text that repeat a run of an earlier place, disjoint, sorted."""
-    table = written(windows(docs, doc_id, text, min_words), "windows")
-    place = F.struct("doc_id", "code", "mark_at")
-    shared = table.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("mark")
+    lines = written(worded_lines(docs, doc_id, text), "lines")
+    prints = written(fingerprints(lines, min_words), "fingerprints")
+    place = F.struct("doc_id", "code", "at")
+    shared = prints.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("mark")
     shared = written(shared, "shared")  # apart from its aggregate, a join can be split where one hash is hot
-    met = table.join(shared, "mark", "left_semi").select("doc_id", "code", "s", "low", "high", "h1", "h2", F.struct("doc_id", "code", "s").alias("place"))
-    met = written(met, "met")
-    first = met.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    later = met.join(written(first, "first"), ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first"))).select("doc_id", "code", "low", "high").distinct()
+    met = written(prints.join(shared, "mark", "left_semi").select("doc_id", "code", "at"), "met")
+    return _united(_extended(lines, met, min_words))
+
+
+def _extended(lines: DataFrame, met: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, code, low, high: the windows around met fingerprints whose lines, compared both ways from the fingerprint,
+    stand at an earlier place too."""
+    same = lambda a, b, keys: [a[x].eqNullSafe(b[x]) for x in keys]
+    texts = met.select("doc_id", "code").distinct()
+    near = lines.join(texts, same(lines, texts, ["doc_id", "code"]), "left_semi")
+    high = lambda x: F.coalesce(F.try_element_at("i", x["s"] + x["len"]), F.col("size")) - 1
+
+    def around(x: Column) -> Column:
+        part = F.slice("h", x["s"], x["len"])
+        return F.struct(x["s"].alias("s"), x["at"].alias("at"), F.element_at("i", x["s"]).alias("low"), high(x).alias("high"), F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2"))
+
+    near = near.select("doc_id", "code", F.explode(F.transform(windows(min_words), around)).alias("x")).select("doc_id", "code", "x.*")
+    near = near.join(met, same(near, met, ["doc_id", "code", "at"]), "left_semi")
+    near = written(near.select("doc_id", "code", "low", "high", "h1", "h2", F.struct("doc_id", "code", "s").alias("place")), "windows")
+    first = near.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    return near.join(written(first, "first"), ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first"))).select("doc_id", "code", "low", "high").distinct()
+
+
+def _united(later: DataFrame) -> DataFrame:
+    """doc_id, code, spans: the union of each text's rows of (low, high)."""
     text_of = Window.partitionBy("doc_id", "code").orderBy("low", "high")
     reach = F.max("high").over(text_of.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("new", F.when(F.col("low") <= reach + 1, 0).otherwise(1))
@@ -72,10 +103,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     one document and get the same result; other rows with one doc_id come in the order of a hash of their texts. Null
     doc_ids come first. Null texts stay null (no lines); empty texts stay empty (one line). No rows give no rows.
 
-    Winnowing: of each shortest run of min_words words the least line hash is its fingerprint, so two equal runs share
-    one. Where a fingerprint has two places, the match is extended both ways as the union of the windows around it whose
-    lines have an earlier place too: those that start at a line of the match and those that end at one. Places meet in
-    aggregates and joins by hash; no pair of places becomes a row.
+    Winnowing: of each shortest run of min_words words only the least line hash, with its place, leaves the scan; windows
+    that share their minimum share one fingerprint. Two equal runs hold the same window and so the same fingerprint.
+    Where a fingerprint has two places, it is extended both ways to the windows of which it is the minimum; those whose
+    lines, by a 128-bit hash, have an earlier place too are later repeats, and their union is what goes. A longest match
+    is the union of the windows in it. Places meet in aggregates and joins by hash; no pair of places becomes a row.
     """
     spans = repeated_spans(docs, doc_id, text, min_words).select(F.col("doc_id").alias("__id"), F.col("code").alias("__code"), "spans")
     rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).withColumn("code", F.xxhash64("t"))

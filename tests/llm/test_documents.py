@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -230,3 +230,22 @@ def test_line_dedup_edges(spark, hard, none):
     assert [r.doc_id for r in line_dedup.without_repeats(only).collect()] == [1]
     assert line_dedup.without_repeats(only).columns == only.columns
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_fingerprints_are_window_minima(spark):
+    """Fewer rows than windows leave the scan, every window holds its fingerprint, and equal windows share it."""
+    rng = random.Random(31)
+    say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    shared = [say(rng.randrange(3, 20)) for _ in range(9)]
+    docs = [(i, "\n".join([*(say(rng.randrange(1, 30)) for _ in range(8)), *shared, "", *(say(9) for _ in range(4))])) for i in range(12)]
+    lines = line_dedup.worded_lines(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").cache()
+    prints = Counter((r.doc_id, r["at"], r.mark) for r in line_dedup.fingerprints(lines, 50).collect())
+    runs = [(r.doc_id, r.h, x) for r in lines.withColumn("x", line_dedup.windows(50)).collect() for x in r.x]
+    assert max(prints.values()) == 1 and 0 < len(prints) < len(runs)
+    marks = defaultdict(set)
+    for doc, h, x in runs:
+        part = h[x.s - 1 : x.s - 1 + x.len]
+        assert h[x["at"] - 1] == min(part) and x.s <= x["at"] < x.s + x.len and (doc, x["at"], min(part)) in prints
+        marks[tuple(part)].add((min(part), x["at"] - x.s))
+    assert all(len(x) == 1 for x in marks.values())
+    lines.unpersist()
