@@ -33,10 +33,8 @@ _CHROME_NAMES = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-z][a-z-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-#: Where a line stands by its markup: inside the article, in the page's furniture, neither, or in a heading of the article.
-MAIN, CHROME, OPEN, HEADING = 0, 1, 2, 3
+#: Where a line stands by its markup: inside the article, in the page's furniture, or neither.
+MAIN, CHROME, OPEN = 0, 1, 2
 
 
 def _marked(name: str, attributes: str) -> tuple[bool, bool]:
@@ -54,17 +52,11 @@ def _marked(name: str, attributes: str) -> tuple[bool, bool]:
 
 def text_lines(page: str) -> tuple[list[str], list[int]]:
     """The page's blocks of text in order, white space in each turned into one space, and where each stands: MAIN, CHROME or OPEN."""
-    lines, places = headed_lines(page)
-    return lines, [MAIN if x == HEADING else x for x in places]
-
-
-def headed_lines(page: str) -> tuple[list[str], list[int]]:
-    """text_lines() with the headings of the article told apart."""
     lines: list[str] = []
     places: list[int] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
-    chrome = main = linked = in_link = heading = 0
+    chrome = main = linked = in_link = 0
 
     def flush() -> None:
         nonlocal linked
@@ -72,19 +64,18 @@ def headed_lines(page: str) -> tuple[list[str], list[int]]:
         if text:
             furniture = chrome or (not main and linked > 0.6 * len(text))
             lines.append(text)
-            places.append(CHROME if furniture else (HEADING if heading else MAIN) if main else OPEN)
+            places.append(CHROME if furniture else MAIN if main else OPEN)
         held.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal chrome, main, in_link, heading
+        nonlocal chrome, main, in_link
         if any(x[0] in _BLOCKS or x[1] or x[2] for x in stack[to:]):
             flush()
         for name, furniture, article in stack[to:]:
             chrome -= furniture
             main -= article
             in_link -= name == "a"
-            heading -= name in _HEADINGS
         del stack[to:]
 
     at = 0
@@ -126,7 +117,6 @@ def headed_lines(page: str) -> tuple[list[str], list[int]]:
         chrome += furniture
         main += article
         in_link += name == "a"
-        heading += name in _HEADINGS
     held.append(page[at:])
     flush()
     return lines, places
@@ -156,18 +146,17 @@ def common_lines(a: Sequence[int], b: Sequence[int]) -> list[bool]:
     return shared
 
 
-def main_lines(lines: Sequence[str], places: Sequence[int], shared: Sequence[bool]) -> list[str]:
-    """The lines that are the page's main text, given which of them its neighbour shares.
+def main_lines(lines: Sequence[str], places: Sequence[int], shared: Sequence[bool]) -> tuple[list[str], int, int]:
+    """The lines that are the page's main text, given which of them its neighbour shares; how many lines went as shared; and how many by their markup.
 
-    Without a marked article: the lines outside furniture that the neighbour does not share. With one: its headings, and
-    its other lines that the neighbour does not share. Where those that it shares hold over half of the article's
-    characters, headings apart, the two pages are near copies: sharing tells nothing there and the article stays whole.
+    Shared lines go, but for those of a marked article, which stays whole: articles quote each other, and furniture inside
+    one is marked as such. Of the lines that are left, the markup judges what the neighbour cannot show: furniture of this
+    page alone goes, and so do lines outside the article where one is marked.
     """
-    if MAIN not in places and HEADING not in places:
-        return [x for x, p, gone in zip(lines, places, shared, strict=True) if p == OPEN and not gone]
-    sizes = [(len(x), gone) for x, p, gone in zip(lines, places, shared, strict=True) if p == MAIN]
-    copy = 2 * sum(n for n, gone in sizes if gone) > sum(n for n, _ in sizes)
-    return [x for x, p, gone in zip(lines, places, shared, strict=True) if p == HEADING or (p == MAIN and (copy or not gone))]
+    marked = MAIN in places
+    gone = [x and p != MAIN for x, p in zip(shared, places, strict=True)]
+    kept = [not g and p != CHROME and (p == MAIN or not marked) for g, p in zip(gone, places, strict=True)]
+    return [x for x, k in zip(lines, kept, strict=True) if k], sum(gone), len(lines) - sum(gone) - sum(kept)
 
 
 def path_ranges(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,14 +183,15 @@ def _range(key: str, firsts: str) -> Column:
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """Struct `row` (pages' columns but `page`) and main_text of every row.
+    """Struct `row` (pages' columns but `page`), main_text, n_shared and n_furniture of every row.
 
-    Each page is paired with the page of its host whose path is nearest: the neighbour in path order that shares the
-    longer start of its path, the one before on a tie. Pages of one path stand in the order of hashes of URL and row. The text lines of both are aligned by a longest common
-    subsequence, and shared lines go, inside a marked article too (see main_lines() for its headings and for near
-    copies). What differencing cannot tell, the markup does: furniture that differs from page to page goes (menus,
-    headers, footers, sidebars, notices, adverts, forms, comments, by element, role, class or id, and blocks that are
-    mostly links), and where there is a marked article with text, lines outside it go. Lines are joined by \\n.
+    Each page is paired with the page of its host (in lower case, with its port) whose path is nearest: the neighbour in
+    path order that shares the longer start of its path, the one before on a tie. Pages of one path stand in the order of
+    hashes of URL and row. The text lines of both are aligned by a longest common subsequence, and shared lines go
+    (n_shared), but for those of a marked article. What differencing cannot see, the markup judges (n_furniture): furniture
+    that differs from page to page (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element,
+    role, class or id, and blocks that are mostly links), and, where there is a marked article with text, lines outside
+    it. The lines left are joined by \\n.
 
     Null and empty pages have an empty text. Null URLs have no host and no pair, nor has a host's only page; then the
     markup alone decides. Repeated rows are each other's neighbours: in them only a marked article stays. Hosts of over
@@ -211,18 +201,18 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     @F.pandas_udf("lines array<string>, places array<int>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [headed_lines(x) if x else ([], []) for x in batch]
+            found = [text_lines(x) if x else ([], []) for x in batch]
             yield pd.DataFrame({"lines": [x[0] for x in found], "places": [x[1] for x in found]})
 
-    @F.pandas_udf("string")
-    def differ(lines: pd.Series, places: pd.Series, path: pd.Series, own: pd.Series, path1: pd.Series, near1: pd.Series, path2: pd.Series, near2: pd.Series) -> pd.Series:
-        texts = []
+    @F.pandas_udf("text string, n_shared int, n_furniture int")
+    def differ(lines: pd.Series, places: pd.Series, path: pd.Series, own: pd.Series, path1: pd.Series, near1: pd.Series, path2: pd.Series, near2: pd.Series) -> pd.DataFrame:
+        found = []
         for text, place, here, mine, there1, one, there2, two in zip(lines, places, path, own, path1, near1, path2, near2, strict=True):
             start = lambda other: -1 if other is None else len(os.path.commonprefix([here, other]))
             pair = one if start(there1) >= start(there2) else two
             shared = common_lines(list(mine), list(pair)) if pair is not None else [False] * len(text)
-            texts.append("\n".join(main_lines(text, place, shared)))
-        return pd.Series(texts, dtype=object)
+            found.append(main_lines(text, place, shared))
+        return pd.DataFrame({"text": ["\n".join(x[0]) for x in found], "n_shared": [x[1] for x in found], "n_furniture": [x[2] for x in found]})
 
     site = r"^[A-Za-z][A-Za-z0-9+.-]*://"
     host, path = F.lower(F.regexp_extract("url", site + "([^/?#]*)", 1)), F.regexp_extract("url", site + "[^/?#]*([^#]*)", 1)
@@ -242,5 +232,5 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     near = Window.partitionBy("host", "group").orderBy("path", "code", "deal")
     beside = {f"{c}{i}": F.when(~none, way(c).over(near)) for c in ("path", "hashes") for i, way in ((1, F.lag), (2, F.lead))}
     rows = rows.withColumns(beside).where("guest IS NOT TRUE")
-    text = differ("lines", "places", "path", "hashes", "path1", "hashes1", "path2", "hashes2")
-    return rows.select("row", text.alias("main_text"))
+    rows = rows.select("row", differ("lines", "places", "path", "hashes", "path1", "hashes1", "path2", "hashes2").alias("found"))
+    return rows.select("row", F.col("found.text").alias("main_text"), "found.n_shared", "found.n_furniture")
