@@ -1,13 +1,14 @@
-"""N-gram Jaccard join: a MinHash forest of sorted prefix labels finds candidates, word shingles verify them exactly."""
+"""N-gram Jaccard join: a MinHash forest of sorted prefix tries finds candidates from the deepest prefixes up, word shingles verify them exactly."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,17 +16,40 @@ from quern.llm.common import whole_row, written
 from quern.llm.components import components
 
 #: Shingles whose minima are taken at a time, and the sets and shingles that one verified block holds of either side.
-CHUNK, SETS, SHINGLES = 400_000, 700, 600_000
+CHUNK, SETS, SHINGLES = 200_000, 700, 600_000
 #: Columns of shared shingles multiplied at a time; shingles in fewer sets are counted pair by pair.
 COLUMNS, FEW = 2048, 12
+#: Permutations of a tree, each a byte of its labels: the deepest prefix.
+DEEPEST = 8
 
 
-def forest_depth(threshold: float, trees: int, recall: float, deepest: int = 8) -> int:
+def forest_depth(threshold: float, trees: int, recall: float, deepest: int = DEEPEST) -> int:
     """The longest prefix at which a pair of just the threshold's similarity meets in one of the trees with the wanted
     probability: prefixes are shortened from `deepest` on until 1 - (1 - threshold^depth)^trees reaches it."""
     return next((d for d in range(deepest, 1, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
 
 
+def least_similarity(n: int, threshold: Fraction) -> Fraction | None:
+    """The least similarity, from the threshold on, that a set of n shingles can have with a different set; None if there is none.
+
+    With c common shingles the union holds u >= n, u > c, and c / u is least for the greatest u that the threshold allows.
+    """
+    found = [Fraction(c, u) for c in range(1, n + 1) if (u := int(c / threshold)) >= max(n, c + 1)]
+    return min(found, default=None)
+
+
+def set_depths(threshold: Fraction, trees: int, recall: float, upto: int = 64) -> list[int]:
+    """By the number of shingles, from 0 on, up to which prefix a set's tries are shortened: until the pairs that a set of
+    that size can link in have the wanted recall. DEEPEST + 1: it links with no other set. Larger sets take the last one."""
+    least = [least_similarity(n, threshold) if n else None for n in range(upto)]
+    return [*(DEEPEST + 1 if x is None else forest_depth(float(x), trees, recall) for x in least), forest_depth(float(threshold), trees, recall)]
+
+
+def measured_recall(links: int, once: int, twice: int) -> float:
+    """Share of all links found, from how many of them meet in one tree only and how many in two (Chao's estimate of unseen ones)."""
+    return links / (links + once * (once - 1) / (2 * (twice + 1))) if links else 1.0
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -130,28 +154,100 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _verified(block: pd.DataFrame, first: str, second: str, threshold: Fraction, tree: int, shift: int) -> pd.DataFrame:
-    """Links of one block's sets: between its two parts, or inside its one part. tree: where the block's sets meet, -1 if
-    all its pairs count; else those count that meet in no earlier tree, so that each pair counts once."""
+def _meetings(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each prefix length, from 1 on: links of (a, b) that meet in a tree, in just one, and in just two."""
+    found = np.zeros((DEEPEST, 3), np.int64)
+    for low in range(0, len(a), 1 << 15):
+        apart = labels.view(np.uint64)[a[low : low + (1 << 15)]] ^ labels.view(np.uint64)[b[low : low + (1 << 15)]]
+        for depth in range(1, DEEPEST + 1):
+            trees = (apart >> np.uint64(64 - 8 * depth) == 0).sum(axis=1)
+            found[depth - 1] += (trees > 0).sum(), (trees == 1).sum(), (trees == 2).sum()
+    return found
+
+
+def _verified(block: pd.DataFrame, first: int, second: int, threshold: Fraction, tree: int, shift: int) -> pd.DataFrame:
+    """New links of one block's sets: between its two parts, or inside its one part, but for those of one `done` group.
+    tree: where the block's sets meet, -1 if all its pairs count; else those count that meet in no earlier tree, so that
+    each pair counts once. The first row tells in `met` how the links meet (see _meetings())."""
     block = block.drop_duplicates("sid").sort_values("sid", ignore_index=True)
-    sizes = block["n_shingles"].to_numpy()
+    sizes, done = block["n_shingles"].to_numpy(), block["done"].to_numpy()
     both = shared(np.frombuffer(b"".join(block["shingles"]), np.uint64), sizes)
     union = sizes[:, None] + sizes[None, :] - both.astype(np.int64)
     linked = both.astype(np.int64) * threshold.denominator >= union * threshold.numerator
-    np.fill_diagonal(linked, False)
+    linked &= done[:, None] != done[None, :]
     if first != second:
         part = block["part"].to_numpy()
         linked &= part[:, None] != part[None, :]
+    label = np.array(block["labels"].tolist(), np.int64)
     if tree > 0 and linked.any():
-        prefix = np.array(block["labels"].tolist(), np.int64) >> shift
+        prefix = label >> shift
         a, b = np.nonzero(linked)
         linked[a, b] = (prefix[a, :tree] != prefix[b, :tree]).all(axis=1)
-    some = linked.any(axis=1)
-    sid = block["sid"].to_numpy()
-    return pd.DataFrame({"sid": sid, "links": linked @ block["n_rows"].to_numpy(), "root": sid[_roots(linked)] if some.any() else sid})[some]
+    some = np.flatnonzero(linked.any(axis=1))
+    sid = block["sid"].to_numpy()[some]
+    found = pd.DataFrame({"sid": sid, "links": (linked @ block["n_rows"].to_numpy())[some], "root": block["sid"].to_numpy()[_roots(linked)[some]] if len(some) else sid})
+    a, b = np.nonzero(np.triu(linked))
+    met = [len(a), *map(int, _meetings(label, a, b).ravel())]
+    found["met"] = pd.Series([met if i == 0 else None for i in range(len(found))], dtype=object)
+    return found
+
+
+def _blocks_verified(blocks: DataFrame, threshold: Fraction, shift: int) -> DataFrame:
+    """sid, links, root, met of the new links of all blocks; a block is the rows of one (at, tree, i, j)."""
+
+    def ended(key: tuple, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return _verified(pd.concat(parts), key[2], key[3], threshold, key[1], shift)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by key; a block ends where the key changes."""
+        key, parts = None, []
+        for batch in batches:
+            keys = batch[["at", "tree", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if high == low:
+                    continue
+                if key is not None and tuple(keys[low]) != key:
+                    yield ended(key, parts)
+                    parts = []
+                key = tuple(keys[low])
+                parts.append(batch.iloc[low:high])
+        if parts:
+            yield ended(key, parts)
+
+    blocks = blocks.select("at", "tree", "i", "j", "part", "sid", "done", "n_rows", "labels", "n_shingles", "shingles")
+    blocks = blocks.repartition("at", "tree", "i", "j").sortWithinPartitions("at", "tree", "i", "j")
+    return written(blocks.mapInPandas(verify, "sid long, links long, root long, met array<long>"), "links")
+
 
+def _prefix(depth: int) -> Column:
+    """The trie node of a label: its tree and its first `depth` bytes."""
+    return F.xxhash64("tree", F.shiftrightunsigned("label", 64 - 8 * depth))
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 24, recall: float = 0.9999) -> DataFrame:
+
+def _tries(sets: DataFrame, depths: list[int], depth: int) -> DataFrame:
+    """sid, tree, label, upto: the sorted labels of all trees, but for those whose first `depth` bytes no other set has.
+
+    upto: the prefix length at which the set leaves the forest. Equal prefixes lie together, so their groups are combined
+    where they lie.
+    """
+    upto = F.element_at(F.array(*map(F.lit, depths)), F.least(F.col("n_shingles").cast("int"), F.lit(len(depths) - 1)) + 1)
+    every = sets.where(upto <= DEEPEST).select("sid", upto.alias("upto"), F.posexplode("labels").alias("tree", "label")).withColumn("node", _prefix(depth))
+    met = every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    found = every.join(written(met, "nodes"), "node", "left_semi").select("sid", "tree", "label", "upto")
+    return written(found.repartitionByRange("tree", "label", "sid").sortWithinPartitions("tree", "label", "sid"), "tries")
+
+
+def _merged(tries: DataFrame, teams: DataFrame, depth: int) -> DataFrame | None:
+    """team, root: the teams of sets that meet at prefixes of `depth` bytes, under their new name; None if none meet."""
+    nodes = tries.join(teams.select("sid", "team"), "sid").select("team", _prefix(depth).alias("node"))
+    joint = nodes.groupBy("node").agg(F.min("team").alias("m"), F.max("team").alias("n")).where("m < n").select("node", "m")
+    joint = written(joint, "joint")  # apart from its aggregate, a join can be split where one node is hot
+    edges = written(nodes.join(joint, "node").where("team <> m").select(F.col("team").alias("a"), F.col("m").alias("b")).distinct(), "meetings")
+    return None if edges.isEmpty() else written(components(edges).select(F.col("node").alias("team"), "root"), "roots")
+
+
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 24, recall: float = 0.9999, levels: list[dict] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, n_shingles, code (a hash of the text), class_key (one per class).
 
     Two rows are linked if the Jaccard similarity of their sets of n-word shingles is at least `threshold` (words are
@@ -160,13 +256,18 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     without words link with nothing and have their own doc_id for class_id. Repeated rows are copies of each other. Rows
     with a null doc_id take part; a class of only such rows has a null class_id. No rows give no rows.
 
-    Rows with the same shingles become one set. Each set gets a label per tree, sets that share a prefix of it are
-    candidates, and what they lead to makes groups. A group small enough is verified in one piece; a larger one prefix by
-    prefix, large prefixes in blocks, so that no task holds more than two blocks and no pair becomes a row. Every pair of
-    a verified block is compared, so a link is only lost if its sets share no prefix in any tree.
+    Rows with the same shingles become one set. Each set gets a label per tree, and a tree's sorted labels are a prefix
+    trie. Sets that share prefixes of DEEPEST bytes make teams, which are verified exactly; then the prefixes are
+    shortened byte by byte, and teams that meet are joined and their new pairs verified. A set leaves the forest where the
+    pairs that its size allows have the wanted `recall` (see set_depths()); the forest ends there for all, or further up as
+    long as the recall measured on the links found (see measured_recall()) falls short. A team too large to verify in one
+    piece waits for the last prefixes and is verified prefix by prefix, large prefixes in blocks, so that no task
+    holds more than two blocks and no pair becomes a row. Every pair of a verified block is compared, so a link is only
+    lost if its sets share no prefix in any tree. `levels`, if given, gets a dict per prefix length used: its links so far,
+    how many of them meet there in a tree, and the measured recall.
     """
-    limit, depth = Fraction(str(threshold)), forest_depth(threshold, trees, recall)
-    shift = 64 - 8 * depth
+    limit = Fraction(str(threshold))
+    depths = set_depths(limit, trees, recall)
     table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("code"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,21 +278,14 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
                 sums = [np.zeros(len(sizes), np.uint64) for _ in range(2)]
                 for total, x in zip(sums, (codes, _mixed(codes ^ np.uint64(0x9E3779B97F4A7C15))), strict=True):
                     np.add.at(total, owner, x)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[low:high].astype("Int64").to_numpy(), "code": batch["code"].iloc[low:high].to_numpy(), "fp1": sums[0].view(np.int64), "fp2": sums[1].view(np.int64), "n_shingles": sizes.astype(np.int64), "labels": list(labels(codes, sizes, trees, depth))})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[low:high].astype("Int64").to_numpy(), "code": batch["code"].iloc[low:high].to_numpy(), "fp1": sums[0].view(np.int64), "fp2": sums[1].view(np.int64), "n_shingles": sizes.astype(np.int64), "labels": list(labels(codes, sizes, trees, DEEPEST))})
 
     rows = written(table.mapInPandas(sets, "doc_id long, code long, fp1 long, fp2 long, n_shingles long, labels array<long>"), "rows")
-    distinct = rows.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows"), F.max("labels").alias("labels"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code"))
+    distinct = rows.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(head.alias("head"), F.count("*").alias("n_rows"), F.max("labels").alias("labels"))
+    distinct = distinct.select("fp1", "fp2", "n_shingles", F.col("head.doc_id").alias("rep"), F.xxhash64("head.doc_id", "head.code").alias("at"), "n_rows", "labels")
     distinct = written(distinct.withColumn("sid", F.monotonically_increasing_id()), "sets")
-
-    nodes = distinct.select("sid", F.posexplode("labels").alias("tree", "label")).select("sid", F.xxhash64("tree", F.shiftrightunsigned("label", shift)).alias("node"))
-    met = nodes.groupBy("node").agg(F.min("sid").alias("m"), F.count("*").alias("n_sets")).where("n_sets > 1")
-    met = written(nodes.join(written(met, "nodes"), "node"), "met")
-    groups = components(met.select(F.col("sid").alias("a"), F.col("m").alias("b")))
-    groups = written(groups.select(F.col("node").alias("sid"), F.col("root").alias("team")).join(distinct, "sid"), "groups")
-    sizes = groups.groupBy("team").agg(F.count("*").alias("team_sets"), F.sum("n_shingles").alias("team_shingles"))
-    wanted = groups.join(sizes, "team")
-    wanted = wanted.withColumn("small", (F.col("team_sets") <= SETS) & (F.col("team_shingles") <= SHINGLES))
-    names = ["sid", "team", "small", "rep", "fp1", "fp2", "n_rows", "labels"]
+    names = ["sid", "fp1", "n_rows", "labels"]
 
     def reread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -203,45 +297,55 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
                 sums = np.zeros(len(sizes), np.uint64)
                 np.add.at(sums, owner, codes)
                 part = part.assign(n_shingles=sizes, shingles=[codes[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)])
-                yield part[(sums.view(np.int64) == part["fp1"].to_numpy())].drop(columns=["rep", "fp1", "fp2", "text"])
-
-    texts = table.select("doc_id", "text").join(wanted.select(names), F.col("doc_id").eqNullSafe(F.col("rep"))).select(*names, "text")
-    shape = "sid long, team long, small boolean, n_rows long, labels array<long>, n_shingles long, shingles binary"
-    held = written(texts.mapInPandas(reread, shape), "shingles")
-
-    one = held.where("small").select("sid", "n_rows", "labels", "n_shingles", "shingles", F.struct(F.col("team").alias("at"), F.lit(-1).alias("tree"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("key"), F.lit(0).alias("part"))
-    large = held.where("not small").select("*", F.posexplode("labels").alias("tree", "label")).withColumn("node", F.xxhash64("tree", F.shiftrightunsigned("label", shift)))
+                yield part[(sums.view(np.int64) == part["fp1"].to_numpy())].drop(columns=["fp1", "text"])
+
+    def shingles_of(some: DataFrame) -> DataFrame:
+        """The sets of `some` (sid) with their shingles, from one text each."""
+        wanted = distinct.join(some, "sid", "left_semi").select("at", *names)
+        texts = table.select(F.xxhash64("doc_id", "code").alias("at"), "text").groupBy("at").agg(F.first("text").alias("text"))
+        shape = "sid long, n_rows long, labels array<long>, n_shingles long, shingles binary"
+        return written(texts.join(wanted, "at").select(*names, "text").mapInPandas(reread, shape), "shingles")
+
+    depth, found, short = DEEPEST + 1, [], True
+    tries = _tries(distinct, depths, depths[-1])
+    held = shingles_of(tries.select("sid").distinct())
+    teams = held.select("sid", "n_shingles", F.col("sid").alias("team"), F.col("sid").alias("done"))
+    while depth > 1 and (depth > depths[-1] or short):
+        depth -= 1
+        live = tries.where(F.col("upto") <= depth)
+        if depth < depths[-1]:  # the measured recall falls short: all sets come back
+            live = tries = _tries(distinct, depths, depth)
+            held = shingles_of(tries.select("sid").distinct())
+            teams = held.select("sid", "n_shingles").join(teams.drop("n_shingles"), "sid", "left").select("sid", "n_shingles", F.coalesce("team", "sid").alias("team"), F.coalesce("done", "sid").alias("done"))
+        roots = _merged(live, teams, depth)
+        if roots is not None:
+            grown = teams.join(roots, "team").select("sid", "n_shingles", F.col("root").alias("team"), "done")
+            sizes = grown.groupBy("team").agg(((F.count("*") <= SETS) & (F.sum("n_shingles") <= SHINGLES)).alias("small"))
+            grown = written(grown.join(sizes, "team"), "grown")
+            one = grown.where("small").select("sid", "team", "done").join(held, "sid")
+            one = one.select("*", F.col("team").alias("at"), F.lit(-1).alias("tree"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"))
+            found.append(_blocks_verified(one, limit, 64 - 8 * depth))
+            changed = grown.select("sid", F.col("team").alias("root"), F.when(F.col("small"), F.col("team")).otherwise(F.col("done")).alias("now"))
+            teams = teams.join(changed, "sid", "left").select("sid", "n_shingles", F.coalesce("root", "team").alias("team"), F.coalesce("now", "done").alias("done"))
+            teams = written(teams, "teams")
+        met = _link_counts(found)
+        at = 3 * (depth - 1) + 1
+        measured = measured_recall(*(met[at : at + 3]))
+        short = measured < recall
+        if levels is not None:
+            levels.append({"prefix": depth, "links": met[0], "meeting": met[at], "recall": measured})
+
+    sizes = teams.groupBy("team").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).where((F.col("n") > SETS) | (F.col("m") > SHINGLES)).where("n > 1").select("team")
+    large = written(teams.join(sizes, "team").select("sid", "done"), "large")
+    large = tries.select("sid", "tree", _prefix(depth).alias("node")).join(large, "sid").join(held.select("sid", "n_shingles"), "sid")
     per = large.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n_shingles") / SHINGLES)).cast("int").alias("parts"), F.count("*").alias("n_sets")).where("n_sets > 1").drop("n_sets")
     per = written(per, "per")
-    large = large.join(per, "node").withColumn("part", F.pmod(F.xxhash64("sid"), "parts").cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    large = large.select("sid", "n_rows", "labels", "n_shingles", "shingles", F.struct(F.col("node").alias("at"), "tree", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).alias("key"), "part")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by key; a block ends where the key changes."""
-
-        def ended(key: tuple, parts: list[pd.DataFrame]) -> pd.DataFrame:
-            return _verified(pd.concat(parts), key[2], key[3], limit, key[1], shift)
-
-        key, parts = None, []
-        for batch in batches:
-            keys = batch[["at", "tree", "i", "j"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                if high == low:
-                    continue
-                if key is not None and tuple(keys[low]) != key:
-                    yield ended(key, parts)
-                    parts = []
-                key = tuple(keys[low])
-                parts.append(batch.iloc[low:high])
-        if parts:
-            yield ended(key, parts)
-
-    blocks = one.unionByName(large).select("key.*", "part", "sid", "n_rows", "labels", "n_shingles", "shingles")
-    blocks = blocks.repartition("at", "tree", "i", "j").sortWithinPartitions("at", "tree", "i", "j")
-    found = written(blocks.mapInPandas(verify, "sid long, links long, root long"), "links")
+    large = large.drop("n_shingles").join(per, "node").withColumn("part", F.pmod(F.xxhash64("sid"), "parts").cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(held, "sid")
+    large = large.select("*", F.col("node").alias("at"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    found.append(_blocks_verified(large, limit, 64 - 8 * depth))
 
+    found = reduce(DataFrame.unionByName, found)
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("sid"), "root")
     known = distinct.select("sid", "fp1", "fp2", "n_shingles", "rep", "n_rows").join(roots, "sid", "left").join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -251,6 +355,14 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     return some.unionByName(rows.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles", "code", F.lit(None).cast("long").alias("class_key")))
 
 
+def _link_counts(found: list[DataFrame]) -> list[int]:
+    """Sums of the blocks' `met` over all links found so far: a number for links, then three for each prefix length."""
+    if not found:
+        return [0] * (3 * DEEPEST + 1)
+    met = reduce(DataFrame.unionByName, found).where("met IS NOT NULL").select("met")
+    return [x or 0 for x in met.agg(*[F.sum(F.get("met", F.lit(i))) for i in range(3 * DEEPEST + 1)]).first()]
+
+
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The row of docs of least doc_id of each class (null last, ties by a hash of the text); rows without words all stay.
     Of rows that repeat doc_id and text one stays, the first by its columns as JSON."""

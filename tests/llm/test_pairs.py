@@ -6,6 +6,7 @@ import os
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -84,6 +85,42 @@ def test_forest_depth():
     assert ngram_join.forest_depth(0.8, 1, 0.9999) == 1
 
 
+def test_set_depths():
+    """By brute force over pairs of sizes: no pair of different sets is less similar than its depth supposes."""
+    limit = Fraction(4, 5)
+    depths = ngram_join.set_depths(limit, 24, 0.9999)
+    for n in range(1, 40):
+        seen = [Fraction(c, n + m - c) for m in range(1, 60) for c in range(1, min(n, m) + 1) if n + m - c > c and Fraction(c, n + m - c) >= limit]
+        assert ngram_join.least_similarity(n, limit) == (min(seen) if seen else None)
+        assert depths[n] == (ngram_join.DEEPEST + 1 if not seen else ngram_join.forest_depth(float(min(seen)), 24, 0.9999))
+    assert depths[-1] == 5
+
+
+def test_prefixes_are_shortened_until_recall_is_met(spark):
+    docs = copies()
+    table, levels = spark.createDataFrame(docs, "doc_id long, text string"), []
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_classes(table, levels=levels).collect()) == brute_classes(docs)
+    assert [x["prefix"] for x in levels][:4] == [8, 7, 6, 5] and levels[-1]["recall"] >= 0.9999
+    assert all(a["links"] <= b["links"] and a["meeting"] <= b["meeting"] for a, b in zip(levels, levels[1:])) and levels[0]["links"] > 0
+    assert ngram_join.measured_recall(100, 0, 0) == 1.0 and ngram_join.measured_recall(100, 20, 9) == 100 / 119 and ngram_join.measured_recall(0, 0, 0) == 1.0
+
+
+def test_further_levels_where_recall_falls_short(spark):
+    """With few trees the prefixes are shortened by the formula, and further where the links found tell so."""
+    docs = copies()
+    levels = []
+    found = ngram_join.near_classes(spark.createDataFrame(docs, "doc_id long, text string"), trees=4, recall=0.9, levels=levels)
+    lost = sum(n for _, _, n in brute_classes(docs).elements()) - sum(r.n_links for r in found.collect())
+    assert 0 <= lost <= 0.1 * sum(n for _, _, n in brute_classes(docs).elements()) and levels[-1]["prefix"] <= ngram_join.forest_depth(0.8, 4, 0.9)
+
+
+def test_null_ids_meet_one_text_each(spark):
+    """Rows without an id are told apart by their texts, also where all of them lack one."""
+    docs = [(None, f"{'same words in all of these texts here ' * 3} {i % 4}") for i in range(40)]
+    found = ngram_join.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == brute_classes(docs)
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(1)
     lost = pairs = 0
@@ -292,15 +329,40 @@ def test_html_extraction(spark):
     assert html.unescape("&copy;") == "©"
 
 
-def test_shared_lines_go_inside_articles(spark):
-    """A line of the article that the neighbour has goes; headings stay, and near copies keep their articles whole."""
-    page = "<article><h1>News</h1><p>Our offer of the day</p><p>{a}</p><h2>More</h2><p>{b}</p><p>Write to us</p></article><p>outside</p>"
-    rows = [(i, f"http://h.example/{d}/{i}", page.format(a=f"story {i} " * 9, b=f"end of {i} " * 5)) for i, d in enumerate("aabb")]
-    rows += [(i, f"http://copy.example/{i}", page.format(a="the same story " * 9, b=f"note {i}")) for i in (7, 8)]
+def test_marked_articles_stay_whole(spark):
+    """Lines that a marked article shares with the neighbour are its text; shared lines outside it go as shared."""
+    page = "<p>{top}</p><article><h1>News</h1><p>{a}</p><p>Licensed under the same terms</p></article><p>Terms apply</p>"
+    rows = [(i, f"http://h.example/{d}/{i}", page.format(top=f"hello {i}", a=f"story {i}")) for i, d in enumerate("aabb")]
+    found = {r.row.page_id: (r.main_text, r.n_shared, r.n_furniture) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: (f"News\nstory {i}\nLicensed under the same terms", 1, 1) for i in range(4)}
+
+
+def test_frames_without_telling_markup(spark):
+    """Menus, headers, footers and notices in bare blocks: differencing alone finds the text, and without it nothing goes."""
+    rng = random.Random(13)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows, wanted, frames = [], {}, 0
+    for host in range(6):
+        head, foot, notice = [say(3) for _ in range(5)], [say(4) for _ in range(3)], say(12)
+        for i in range(20):
+            body = [say(rng.randrange(5, 40)) for _ in range(rng.randrange(1, 9))]
+            key = 100 * host + i
+            wanted[key] = "\n".join(body)
+            lines = [*head, *body[:1], notice, *body[1:], *foot]
+            frames += len(lines) - len(body)
+            rows.append((key, f"https://h{host}.example/{rng.choice('abc')}/{i}.html", "".join(f"<div>{x}</div>" for x in lines)))
+    found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.row.page_id: r.main_text for r in found} == wanted
+    assert sum(r.n_shared for r in found) == frames > 0 and not any(r.n_furniture for r in found)
+
+
+def test_hosts_by_case_and_port_and_ties_of_paths(spark):
+    """Letter case does not tell hosts apart, ports do; of two pages as near, the one before is the pair."""
+    line = lambda *xs: "".join(f"<p>{x}</p>" for x in xs)
+    rows = [(1, "http://Case.example/a", line("menu", "one")), (2, "HTTP://case.EXAMPLE/b", line("menu", "two")), (3, "http://case.example:8080/a", line("menu", "three"))]
+    rows += [(4, "http://tie.example/xa", line("first", "both")), (5, "http://tie.example/xb", line("first", "last", "own")), (6, "http://tie.example/xc", line("last", "both"))]
     found = {r.row.page_id: r.main_text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    own = lambda i: f"News\n{(f'story {i} ' * 9).strip()}\nMore\n{(f'end of {i} ' * 5).strip()}"
-    assert {i: found[i] for i in range(4)} == {i: own(i) for i in range(4)}
-    assert {i: found[i] for i in (7, 8)} == {i: f"News\nOur offer of the day\n{('the same story ' * 9).strip()}\nMore\nnote {i}\nWrite to us" for i in (7, 8)}
+    assert found == {1: "one", 2: "two", 3: "menu\nthree", 4: "both", 5: "last\nown", 6: "both"}
 
 
 def test_large_groups_of_pages_are_dealt_out(spark, monkeypatch):
