@@ -115,12 +115,14 @@ def count_of(text: Column, hints: list[str]) -> Column:
 
 
 def refuses(text: Column) -> Column:
-    norm = normalised(text)
-    return norm.isin(*PLAIN_NO) | norm.rlike(NO_I) | any_of(text, REFUSAL_HINTS)
+    """Whether a model's answer refuses, its thinking and wrapping apart."""
+    said = clean_answer(text)
+    norm = normalised(said)
+    return norm.isin(*PLAIN_NO) | norm.rlike(NO_I) | any_of(said, REFUSAL_HINTS)
 
 
 def refuses_for_privacy(text: Column) -> Column:
-    return any_of(text, PRIVACY_HINTS)
+    return any_of(clean_answer(text), PRIVACY_HINTS)
 
 
 def flags_anomaly(text: Column) -> Column:
@@ -144,9 +146,32 @@ def fact_leaked(gold: Column, prediction: Column) -> Column:
 
 def without_thinking(text: Column) -> Column:
     """Closed think blocks go; what stands before a lone closing mark goes, and what follows a lone opening one."""
-    closed = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
-    orphan = F.regexp_replace(closed, r"(?is)^.*</think>", "")
-    return F.trim(F.regexp_replace(orphan, r"(?is)<think>.*$", ""))
+    closed = F.regexp_replace(text, r"(?is)<think(?:ing)?\b[^>]*>.*?</think(?:ing)?>", "")
+    orphan = F.regexp_replace(closed, r"(?is)^.*</think(?:ing)?>", "")
+    return trimmed(F.regexp_replace(orphan, r"(?is)<think(?:ing)?\b[^>]*>.*$", ""))
+
+
+def trimmed(text: Column) -> Column:
+    """Without ASCII white space at either end."""
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def has_thinking(text: Column) -> Column:
+    return text.rlike(r"(?i)</?think(?:ing)?\b[^>]*>")
+
+
+def cut_in_thinking(text: Column) -> Column:
+    """Whether an answer holds thinking and nothing else."""
+    return has_thinking(text) & (without_thinking(text) == "")
+
+
+def clean_answer(text: Column) -> Column:
+    """A model's answer without its thinking, a fence of code around it, a leading label, and quotes around it; null: empty."""
+    bare = without_thinking(F.coalesce(text, F.lit("")))
+    bare = trimmed(F.regexp_replace(bare, r"(?s)^```(?:[A-Za-z0-9_-]+)?[ \t\n\r]*(.*?)[ \t\n\r]*```$", "$1"))
+    bare = trimmed(F.regexp_replace(bare, "(?i)^(?:rephrased +question|paraphrased +question|rewritten +question|question) *: *", ""))
+    quoted = (F.length(bare) >= 2) & (F.left(bare, F.lit(1)) == F.right(bare, F.lit(1))) & F.left(bare, F.lit(1)).isin('"', "'")
+    return F.when(quoted, trimmed(F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
 
 
 def entities(text: Column) -> Column:

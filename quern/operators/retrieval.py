@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.text import tokens
+from quern.sources.tables import kept
 
 
 def ranked(scores: DataFrame, by: str, order: list[Column], k: int | None = None) -> DataFrame:
@@ -24,19 +25,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     docs: scope, doc_id, text; queries: question_id, scope, text. Terms in over half of a scope's documents get epsilon
     times the scope's mean inverse frequency; repeated query terms count again. Scores are rounded to 6 places, ties go
     to the smaller doc_id. Only positive scores are hits, but a query with a document in its scope has one at least.
-    Statistics are aggregates per scope; term postings meet queries in one equi-join on (scope, term).
+    Documents are tokenised once and written under the scratch folder. Document frequencies come from an aggregate that is
+    combined where the texts lie; of the postings only those of asked terms are counted and shuffled.
     """
-    lists = docs.select("scope", "doc_id", tokens(F.col("text")).alias("terms"))
-    sizes = lists.select("scope", "doc_id", F.size("terms").alias("length"))
-    scopes = sizes.groupBy("scope").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), F.min("doc_id").alias("first"))
-    postings = lists.select("scope", "doc_id", F.explode("terms").alias("term")).groupBy("scope", "doc_id", "term").agg(F.count("*").alias("tf"))
+    lists = kept(docs.select("scope", "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("terms")), "terms")
+    scopes = lists.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"), F.min("doc_id").alias("first"))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    weights = postings.groupBy("scope", "term").agg(F.count("*").alias("df")).join(scopes.select("scope", "n"), "scope").select("scope", "term", raw.alias("raw"))
-    means = weights.groupBy("scope").agg(F.avg("raw").alias("mean"))
-    weights = weights.join(means, "scope").select("scope", "term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    found = lists.select("scope", F.explode(F.array_distinct("terms")).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
+    found = kept(found.join(scopes.select("scope", "n"), "scope").select("scope", "term", raw.alias("raw")), "frequencies")
     asked = queries.select("question_id", "scope", F.explode(tokens(F.col("text"))).alias("term")).groupBy("question_id", "scope", "term").agg(F.count("*").alias("times"))
+    means = found.groupBy("scope").agg(F.avg("raw").alias("mean"))
+    weights = found.join(asked.select("scope", "term"), ["scope", "term"], "left_semi").join(means, "scope").select("scope", "term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    postings = lists.select("scope", "doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    postings = postings.groupBy("scope", "doc_id", "length", "term").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    hits = asked.join(weights, ["scope", "term"]).join(postings, ["scope", "term"]).join(sizes, ["scope", "doc_id"]).join(scopes.select("scope", "mean_length"), "scope").select("question_id", "doc_id", part.alias("score"))
+    hits = asked.join(weights, ["scope", "term"]).join(postings, ["scope", "term"]).join(scopes.select("scope", "mean_length"), "scope").select("question_id", "doc_id", part.alias("score"))
     least = queries.select("question_id", "scope").join(scopes, "scope").select("question_id", F.col("first").alias("doc_id"), F.lit(0.0).alias("score"))
     scores = hits.unionByName(least).groupBy("question_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
     found = ranked(scores, "question_id", [F.desc("score"), F.asc("doc_id")], k)

@@ -19,12 +19,12 @@ def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, left(text, 30) || ' ' || [{", ".join(map(_q, SAYINGS))}][((conv_id + 3 * turn) % 10 + 1)::INT] AS said FROM conversations)
+@query(f"""WITH a AS (SELECT conv_id, turn, text || ' ' || [{", ".join(map(_q, SAYINGS))}][((conv_id + 3 * turn) % 10 + 1)::INT] AS said FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(said, {_q("(?i)" + "|".join(text.INFORMATION_ABSENT))}) THEN 'info_absent' WHEN regexp_matches(said, {_q("(?i)" + "|".join(text.PRIVACY_NAMED))}) THEN 'privacy' ELSE 'other' END AS provenance FROM a""")
 def refusal_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether refusals come from missing information or from privacy."""
     saying = F.element_at(F.array(*map(F.lit, SAYINGS)), ((F.col("conv_id") + 3 * F.col("turn")) % 10 + 1).cast("int"))
-    a = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 30), F.lit(" "), saying).alias("said"))
+    a = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), saying).alias("said"))
     return a.select("conv_id", "turn", text.provenance_of_refusal(F.col("said")).alias("provenance"))
 
 
@@ -46,12 +46,12 @@ def time_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", time.day_of(s).cast("long").alias("day"), time.epoch_of(s).alias("epoch"), F.size(time.dates_in(F.col("note"))).alias("n_dates"), time.time_of_day(F.col("h")).alias("label"), time.clock(F.col("h")).alias("clock"))
 
 
-@query("""WITH t AS (SELECT doc_id, source, lang, left(text, 200) AS text, regexp_extract_all(left(text, 200), '[A-Z][a-z]+(?: [A-Z][a-z]+)+') AS named FROM documents WHERE lang = 'en')
+@query("""WITH t AS (SELECT doc_id, source, lang, text FROM documents)
 SELECT doc_id, upper(left(lang, 1)) || substr(lang, 2) || ' ' || upper(left(source, 1)) || substr(source, 2) AS display, regexp_replace(split_part('cloze_' || doc_id % 5 || '/5:x', ':', 1), '[0-9]+/[0-9]+', 'k/n') AS reason, contains(lower(text), 'bye') OR contains(lower(text), 'see you') OR contains(lower(text), 'nite') OR contains(lower(text), 'talk later') OR contains(lower(text), 'gotta go') OR contains(lower(text), 'nice talking') OR contains(lower(text), 'catch you later') OR contains(lower(text), 'take care') OR contains(lower(text), 'ttyl') OR contains(lower(text), 'g2g') OR contains(lower(text), 'cya') AS ends,
 array_to_string(string_split_regex(trim(text), '\\s+')[1:5], ' ') AS opening FROM t""".replace("\\\\", "\\"))
 def name_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names, reasons and openings of English documents."""
-    t = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", "lang", F.substring("text", 1, 200).alias("text"))
+    """Names, reasons, endings and openings of documents."""
+    t = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     reason = F.concat(F.lit("cloze_"), F.col("doc_id") % 5, F.lit("/5:x"))
     return t.select("doc_id", names.display_name(F.concat_ws("_", "lang", "source")).alias("display"), names.reason_key(reason).alias("reason"), names.ends_conversation(F.col("text")).alias("ends"), names.first_words(F.col("text"), 5).alias("opening"))
 

@@ -24,16 +24,31 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + "]"
 
 
-PAIRS_SQL = """p AS (SELECT b.item_id, d.doc_id, left(d.text, 400) AS prediction, b.text AS gold FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)"""
+PAIRS_SQL = """items AS (SELECT max(item_id) + 1 AS k FROM benchmark), p AS (SELECT b.item_id, d.doc_id, d.text AS prediction, b.text AS gold FROM documents d, items JOIN benchmark b ON b.item_id = d.doc_id % items.k)"""
 NORM = r"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+#: A model's answer without its thinking, a fence of code around it, a leading label, and quotes around it.
+THOUGHT = r"regexp_replace(regexp_replace(regexp_replace({x}, '(?is)<think(?:ing)?\b[^>]*>.*?</think(?:ing)?>', '', 'g'), '(?is)^.*</think(?:ing)?>', '', 'g'), '(?is)<think(?:ing)?\b[^>]*>.*$', '', 'g')"
+SPACE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+UNFENCED = r"regexp_replace({x}, '(?s)^```(?:[A-Za-z0-9_-]+)?[ \t\n\r]*(.*?)[ \t\n\r]*```$', '\1')"
+UNLABELLED = r"regexp_replace({x}, '(?i)^(?:rephrased +question|paraphrased +question|rewritten +question|question) *: *', '')"
+UNQUOTED = r"""CASE WHEN length({x}) >= 2 AND left({x}, 1) = right({x}, 1) AND left({x}, 1) IN ('"', chr(39)) THEN trim(substr({x}, 2, length({x}) - 2), SPACE) ELSE {x} END""".replace("SPACE", SPACE)
+
+
+def _trimmed(x: str) -> str:
+    return f"trim({x}, {SPACE})"
+
+
+CLEAN = UNQUOTED.format(x=_trimmed(UNLABELLED.format(x=_trimmed(UNFENCED.format(x=_trimmed(THOUGHT))))))
 LISTS_SQL = f"""n AS (SELECT item_id, doc_id, list_filter(string_split({NORM.format(x="prediction")}, ' '), lambda x: x <> '') AS p, list_filter(string_split({NORM.format(x="gold")}, ' '), lambda x: x <> '') AS g FROM p)"""
 SETS_SQL = "s AS (SELECT item_id, doc_id, len(list_distinct(p)) AS n, len(list_distinct(g)) AS m, len(list_intersect(list_distinct(p), list_distinct(g))) AS c FROM n)"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id, prediction, gold: each document's head as an answer to one question."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("prediction"), (F.col("doc_id") % 40).alias("item_id"))
-    return d.join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "gold"), "item_id").select("item_id", "doc_id", "prediction", "gold")
+    """item_id, doc_id, prediction, gold: each document, whole, as an answer to one question; the questions are dealt in turn."""
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "gold")
+    d = table(spark, sf_dir, "documents").crossJoin(items.agg((F.max("item_id") + 1).alias("k")))  # one row
+    d = d.select("doc_id", F.col("text").alias("prediction"), (F.col("doc_id") % F.col("k")).alias("item_id"))
+    return d.join(items, "item_id").select("item_id", "doc_id", "prediction", "gold")
 
 
 @query(f"""WITH {PAIRS_SQL}, {LISTS_SQL}, {SETS_SQL}, f AS (SELECT *, CASE WHEN c = 0 THEN 0 ELSE 2.0 * (c / n) * (c / m) / ((c / n) + (c / m)) END AS f1 FROM s)
@@ -75,22 +90,24 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("item_id", "doc_id", F.round(tx.jaccard(words("prediction"), words("gold")), 6).alias("jaccard"))
 
 
-#: Answers that hold the classes' phrases: turns whose wording is mixed with one by their number.
+#: Answers that hold the classes' phrases: whole turns, and such that one is added to by their number, some of them only thought.
 ANSWERS_SQL = f"""h AS (SELECT {_list(tx.REFUSAL_HINTS + tx.SUSPICIOUS_HINTS + tx.CONSISTENT_HINTS + ["No", "yes, fine", "No I cannot", "hello"])} AS hints),
-a AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN left(text, 40) ELSE left(text, 20) || ' ' || hints[((conv_id * 7 + turn) % len(hints) + 1)::INT] || '.' END AS text FROM conversations, h)"""
+a AS (SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN text WHEN 1 THEN '<think>' || hints[((conv_id * 7 + turn) % len(hints) + 1)::INT] || '</think> Answer: ' || text WHEN 2 THEN '"' || hints[((conv_id * 7 + turn) % len(hints) + 1)::INT] || '"'
+  ELSE text || ' ' || hints[((conv_id * 7 + turn) % len(hints) + 1)::INT] || '.' END AS text FROM conversations, h)"""
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     hints = F.array(*map(F.lit, [*tx.REFUSAL_HINTS, *tx.SUSPICIOUS_HINTS, *tx.CONSISTENT_HINTS, "No", "yes, fine", "No I cannot", "hello"]))
-    said = F.concat(F.substring("text", 1, 20), F.lit(" "), F.element_at(hints, ((F.col("conv_id") * 7 + F.col("turn")) % F.size(hints) + 1).cast("int")), F.lit("."))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.substring("text", 1, 40)).otherwise(said).alias("text"))
+    hint, k = F.element_at(hints, ((F.col("conv_id") * 7 + F.col("turn")) % F.size(hints) + 1).cast("int")), (F.col("conv_id") + F.col("turn")) % 4
+    said = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("<think>"), hint, F.lit("</think> Answer: "), "text")).when(k == 2, F.concat(F.lit('"'), hint, F.lit('"'))).otherwise(F.concat("text", F.lit(" "), hint, F.lit(".")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("text"))
 
 
 def _hints(values: list[str]) -> str:
     return f"len(list_filter({_list(values)}, lambda h: contains(lower(text), h) OR contains(n, {NORM.format(x='h')}))) > 0"
 
 
-@query(f"""WITH {ANSWERS_SQL}, n AS (SELECT *, {NORM.format(x="text")} AS n FROM a)
+@query(f"""WITH {ANSWERS_SQL}, c AS (SELECT conv_id, turn, {CLEAN.format(x="text")} AS text FROM a), n AS (SELECT *, {NORM.format(x="text")} AS n FROM c)
 SELECT conv_id, turn, n IN ('no', 'nope', 'nah', 'unknown') OR regexp_matches(n, '{tx.NO_I}') OR {_hints(tx.REFUSAL_HINTS)} AS refuses, {_hints(tx.PRIVACY_HINTS)} AS refuses_for_privacy FROM n""")
 def refusal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an answer refuses, and whether it does so for privacy."""

@@ -200,9 +200,9 @@ def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(weighted, 6).alias("weighted"), F.round(F.median("l_discount"), 6).alias("median"), F.round(F.stddev_pop("l_discount"), 6).alias("sd"))
 
 
-@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace('Answer: ' || '"' || left(text, 40) || '"', '^(?i:answer|response|reply) *: *', ''), '^"(.*)"$', '\\1', 's'), '[ \\t\\n\\r]+', ' ', 'g')) AS cleaned FROM conversations""".replace("\\\\", "\\"))
+@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace('Answer: ' || '"' || text || '"', '^(?i:answer|response|reply) *: *', ''), '^"(.*)"$', '\\1', 's'), '[ \\t\\n\\r]+', ' ', 'g')) AS cleaned FROM conversations""".replace("\\\\", "\\"))
 def label_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers without a leading label and without quotes around them."""
-    said = F.concat(F.lit('Answer: "'), F.substring("text", 1, 40), F.lit('"'))
+    said = F.concat(F.lit('Answer: "'), "text", F.lit('"'))
     bare = F.regexp_replace(F.regexp_replace(tx.without_thinking(said), "^(?i:answer|response|reply) *: *", ""), '(?s)^"(.*)"$', "$1")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(bare, r"[ \t\n\r]+", " ")).alias("cleaned"))

@@ -17,11 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a job's files under spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
+    """A folder for a job's files under spark.checkpoint.dir, which all executors share. Where that is unset, a local
+    master gets a temporary folder of its own; on a cluster it is an error, as executors would not see each other's files."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quern-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once under the scratch folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, role, text, msg_id, ego, day, sim_day of every conversation turn."""
     c = table(spark, sf_dir, "conversations")
@@ -57,3 +69,15 @@ INTERVALS_SQL = """i AS (SELECT event_id, user_id AS agent, event_id % 7 AS plac
   floor(epoch(ts))::BIGINT + floor(value * 10)::BIGINT + 1 AS stop FROM events)"""
 EDGES_SQL = """o AS (SELECT DISTINCT o_custkey % 200 AS a, o_orderdate::DATE AS d, o_orderpriority AS p FROM orders),
 g AS (SELECT x.a AS source, y.a AS target, count(*) AS n FROM o x JOIN o y ON x.d = y.d AND x.p = y.p AND x.a < y.a GROUP BY ALL)"""
+
+
+def portable(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """The rows of SQL that Spark and DuckDB read alike, over the stored tables `names`, which it writes as {name}."""
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
+
+
+def in_duckdb(sql: str, *names: str) -> str:
+    """The same SQL for DuckDB."""
+    for name in names:
+        sql = sql.replace("{" + name + "}", name)
+    return sql
