@@ -97,13 +97,14 @@ def repetition(texts: list[str | None], min_repeat: int = 10) -> pd.DataFrame:
     })
 
 
-def score(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, min_repeat: int = 10, max_covered: float = 0.5, max_longest: int = 150) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, min_repeat: int = 10, max_covered: float = 0.2, max_longest: int = 150) -> DataFrame:
     """Structs `row` (docs' columns) and `quality`: FEATURES, base_failed, kept.
 
     A text fails the base with fewer than min_words words, or if words in 3-word windows found twice or more are over
     max_repeat_percent of its words. It is kept if it passes the base, repeated runs of at least min_repeat words cover
     at most the share max_covered of its words, and no run of over max_longest words occurs twice. Null and empty texts
-    have no words and fail. Rows are judged each for itself, so repeated rows get the same verdict.
+    have no words and fail. As words covered by runs of min_repeat words are among those in 3-word windows found twice,
+    max_covered only tells beyond the base if it is below max_repeat_percent. Rows are judged each for itself, so repeated rows get the same verdict.
     """
 
     @F.pandas_udf(FEATURES)
@@ -147,5 +148,5 @@ f AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[
         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(covered_words, 0)::BIGINT AS covered_words, coalesce(too_long, 0) AS too_long
       FROM t LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered_words <= 0.5 * n_words AND too_long = 0 AS kept, covered_words FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered_words <= 0.2::DOUBLE * n_words AND too_long = 0 AS kept, covered_words FROM b
 """
