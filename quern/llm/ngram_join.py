@@ -38,11 +38,9 @@ def least_similarity(n: int, threshold: Fraction) -> Fraction | None:
     return min(found, default=None)
 
 
-def set_depths(threshold: Fraction, trees: int, recall: float, upto: int = 64) -> list[int]:
-    """By the number of shingles, from 0 on, up to which prefix a set's tries are shortened: until the pairs that a set of
-    that size can link in have the wanted recall. DEEPEST + 1: it links with no other set. Larger sets take the last one."""
-    least = [least_similarity(n, threshold) if n else None for n in range(upto)]
-    return [*(DEEPEST + 1 if x is None else forest_depth(float(x), trees, recall) for x in least), forest_depth(float(threshold), trees, recall)]
+def lone_sizes(threshold: Fraction) -> list[int]:
+    """The numbers of shingles, from 1 on, of sets that link with no other set."""
+    return [n for n in range(1, int(1 / (1 - threshold)) + 1) if least_similarity(n, threshold) is None]
 
 
 def measured_recall(links: int, once: int, twice: int) -> float:
@@ -225,16 +223,12 @@ def _prefix(depth: int) -> Column:
     return F.xxhash64("tree", F.shiftrightunsigned("label", 64 - 8 * depth))
 
 
-def _tries(sets: DataFrame, depths: list[int], depth: int) -> DataFrame:
-    """sid, tree, label, upto: the sorted labels of all trees, but for those whose first `depth` bytes no other set has.
-
-    upto: the prefix length at which the set leaves the forest. Equal prefixes lie together, so their groups are combined
-    where they lie.
-    """
-    upto = F.element_at(F.array(*map(F.lit, depths)), F.least(F.col("n_shingles").cast("int"), F.lit(len(depths) - 1)) + 1)
-    every = sets.where(upto <= DEEPEST).select("sid", upto.alias("upto"), F.posexplode("labels").alias("tree", "label")).withColumn("node", _prefix(depth))
+def _tries(sets: DataFrame, lone: list[int], depth: int) -> DataFrame:
+    """sid, tree, label: the sorted labels of all trees, but for those whose first `depth` bytes no other set has, and for
+    sets that can link with no other. Equal prefixes lie together, so their groups are combined where they lie."""
+    every = sets.where(~F.col("n_shingles").isin(lone)).select("sid", F.posexplode("labels").alias("tree", "label")).withColumn("node", _prefix(depth))
     met = every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    found = every.join(written(met, "nodes"), "node", "left_semi").select("sid", "tree", "label", "upto")
+    found = every.join(written(met, "nodes"), "node", "left_semi").select("sid", "tree", "label")
     return written(found.repartitionByRange("tree", "label", "sid").sortWithinPartitions("tree", "label", "sid"), "tries")
 
 
@@ -257,17 +251,18 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     with a null doc_id take part; a class of only such rows has a null class_id. No rows give no rows.
 
     Rows with the same shingles become one set. Each set gets a label per tree, and a tree's sorted labels are a prefix
-    trie. Sets that share prefixes of DEEPEST bytes make teams, which are verified exactly; then the prefixes are
-    shortened byte by byte, and teams that meet are joined and their new pairs verified. A set leaves the forest where the
-    pairs that its size allows have the wanted `recall` (see set_depths()); the forest ends there for all, or further up as
-    long as the recall measured on the links found (see measured_recall()) falls short. A team too large to verify in one
+    trie. Sets that share prefixes of DEEPEST bytes make teams, which are verified exactly. How the links found meet at
+    each shorter prefix then tells how far to shorten: to the longest prefix at which a pair of just the threshold's
+    similarity has the wanted `recall` (see forest_depth()) and at which the recall measured on the links found reaches it
+    too (see measured_recall()). Teams that meet there are joined and their new pairs verified, until what is found then
+    needs no shorter prefix. Sets so small that no other set can be similar enough stay out. A team too large to verify in one
     piece waits for the last prefixes and is verified prefix by prefix, large prefixes in blocks, so that no task
     holds more than two blocks and no pair becomes a row. Every pair of a verified block is compared, so a link is only
     lost if its sets share no prefix in any tree. `levels`, if given, gets a dict per prefix length used: its links so far,
     how many of them meet there in a tree, and the measured recall.
     """
     limit = Fraction(str(threshold))
-    depths = set_depths(limit, trees, recall)
+    goal, lone = forest_depth(threshold, trees, recall), lone_sizes(limit)
     table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("code"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,18 +301,16 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         shape = "sid long, n_rows long, labels array<long>, n_shingles long, shingles binary"
         return written(texts.join(wanted, "at").select(*names, "text").mapInPandas(reread, shape), "shingles")
 
-    depth, found, short = DEEPEST + 1, [], True
-    tries = _tries(distinct, depths, depths[-1])
+    depth, found = DEEPEST, []
+    tries = _tries(distinct, lone, goal)
     held = shingles_of(tries.select("sid").distinct())
     teams = held.select("sid", "n_shingles", F.col("sid").alias("team"), F.col("sid").alias("done"))
-    while depth > 1 and (depth > depths[-1] or short):
-        depth -= 1
-        live = tries.where(F.col("upto") <= depth)
-        if depth < depths[-1]:  # the measured recall falls short: all sets come back
-            live = tries = _tries(distinct, depths, depth)
+    while True:
+        if depth < goal:  # the measured recall falls short: sets that met none before come in
+            tries = _tries(distinct, lone, depth)
             held = shingles_of(tries.select("sid").distinct())
             teams = held.select("sid", "n_shingles").join(teams.drop("n_shingles"), "sid", "left").select("sid", "n_shingles", F.coalesce("team", "sid").alias("team"), F.coalesce("done", "sid").alias("done"))
-        roots = _merged(live, teams, depth)
+        roots = _merged(tries, teams, depth)
         if roots is not None:
             grown = teams.join(roots, "team").select("sid", "n_shingles", F.col("root").alias("team"), "done")
             sizes = grown.groupBy("team").agg(((F.count("*") <= SETS) & (F.sum("n_shingles") <= SHINGLES)).alias("small"))
@@ -329,11 +322,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
             teams = teams.join(changed, "sid", "left").select("sid", "n_shingles", F.coalesce("root", "team").alias("team"), F.coalesce("now", "done").alias("done"))
             teams = written(teams, "teams")
         met = _link_counts(found)
-        at = 3 * (depth - 1) + 1
-        measured = measured_recall(*(met[at : at + 3]))
-        short = measured < recall
+        measured = [measured_recall(*met[3 * d - 2 : 3 * d + 1]) for d in range(1, DEEPEST + 1)]
         if levels is not None:
-            levels.append({"prefix": depth, "links": met[0], "meeting": met[at], "recall": measured})
+            levels.append({"prefix": depth, "links": met[0], "meeting": met[3 * depth - 2], "recall": measured[depth - 1]})
+        wanted = next((d for d in range(goal, 1, -1) if measured[d - 1] >= recall), 1)
+        if depth <= wanted:
+            break
+        depth = wanted
 
     sizes = teams.groupBy("team").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).where((F.col("n") > SETS) | (F.col("m") > SHINGLES)).where("n > 1").select("team")
     large = written(teams.join(sizes, "team").select("sid", "done"), "large")

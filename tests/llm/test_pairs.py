@@ -85,23 +85,21 @@ def test_forest_depth():
     assert ngram_join.forest_depth(0.8, 1, 0.9999) == 1
 
 
-def test_set_depths():
-    """By brute force over pairs of sizes: no pair of different sets is less similar than its depth supposes."""
+def test_lone_sizes():
+    """By brute force over pairs of sizes: the least similarity that different sets can have from the threshold on."""
     limit = Fraction(4, 5)
-    depths = ngram_join.set_depths(limit, 24, 0.9999)
     for n in range(1, 40):
         seen = [Fraction(c, n + m - c) for m in range(1, 60) for c in range(1, min(n, m) + 1) if n + m - c > c and Fraction(c, n + m - c) >= limit]
         assert ngram_join.least_similarity(n, limit) == (min(seen) if seen else None)
-        assert depths[n] == (ngram_join.DEEPEST + 1 if not seen else ngram_join.forest_depth(float(min(seen)), 24, 0.9999))
-    assert depths[-1] == 5
+        assert (n in ngram_join.lone_sizes(limit)) == (not seen)
 
 
 def test_prefixes_are_shortened_until_recall_is_met(spark):
     docs = copies()
     table, levels = spark.createDataFrame(docs, "doc_id long, text string"), []
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_classes(table, levels=levels).collect()) == brute_classes(docs)
-    assert [x["prefix"] for x in levels][:4] == [8, 7, 6, 5] and levels[-1]["recall"] >= 0.9999
-    assert all(a["links"] <= b["links"] and a["meeting"] <= b["meeting"] for a, b in zip(levels, levels[1:])) and levels[0]["links"] > 0
+    assert [x["prefix"] for x in levels][:2] == [8, 5] and levels[-1]["recall"] >= 0.9999
+    assert all(a["links"] <= b["links"] and a["meeting"] <= b["meeting"] for a, b in zip(levels, levels[1:])) and 0 < levels[0]["meeting"] <= levels[0]["links"]
     assert ngram_join.measured_recall(100, 0, 0) == 1.0 and ngram_join.measured_recall(100, 20, 9) == 100 / 119 and ngram_join.measured_recall(0, 0, 0) == 1.0
 
 
