@@ -232,6 +232,15 @@ def test_line_dedup_edges(spark, hard, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_coverage_alone_rejects(spark):
+    """Texts that pass the base: runs of 10 words or more may cover a fifth of the words, not more."""
+    say = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, f"{say('r', 12)} {say('x', 76)} {say('r', 12)}"), (2, f"{say('r', 10)} {say('x', 80)} {say('r', 10)}"), (3, f"{say('r', 9)} {say('x', 30)} {say('r', 9)} y {say('r', 3)}")]
+    found = {r.row.doc_id: r.quality for r in quality_rules.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(x.base_failed for x in found.values())
+    assert [(found[i].covered_words, found[i].kept) for i in (1, 2, 3)] == [(24, False), (20, True), (0, True)]
+
+
 def test_fingerprints_are_window_minima(spark):
     """Fewer rows than windows leave the scan, every window holds its fingerprint, and equal windows share it."""
     rng = random.Random(31)

@@ -49,7 +49,7 @@ def brute(docs):
             for p, x in enumerate(longest):
                 if x >= n:
                     places.update(range(p, p + x))
-        if len(w) >= 50 and 100 * len(covered[3]) <= 50 * len(w) and len(covered[10]) <= 0.5 * len(w) and max(longest) <= 150:
+        if len(w) >= 50 and 100 * len(covered[3]) <= 50 * len(w) and len(covered[10]) <= 0.2 * len(w) and max(longest) <= 150:
             kept.append((i, text, source))
     clean = brute_dedup([(i, t) for i, t, _ in kept])
     kept = [(i, clean[i][0], s) for i, _, s in kept if not clean[i][1] or words(clean[i][0])]
