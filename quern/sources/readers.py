@@ -55,12 +55,13 @@ def limited_per_file(rows: DataFrame, file: str, order: list[Column], n: int) ->
 
 
 def group_chats(spark: SparkSession, path: str) -> DataFrame:
-    """seq, date, group, position, speaker, time, text of {"dialogues": {date: {group: [messages]}}}, by date, group, position."""
+    """file, date, group, position, speaker, time, text of {"dialogues": {date: {group: [messages]}}}; positions count within a
+    file's group of a date, from 0."""
     shape = "struct<dialogues: map<string, map<string, array<struct<speaker: string, time: string, text: string>>>>>"
-    j = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("j"))
-    rows = j.select(F.explode("j.dialogues").alias("date", "groups")).select("date", F.explode("groups").alias("group", "messages")).select("date", "group", F.posexplode("messages").alias("position", "m"))
-    rows = rows.select("date", "group", "position", "m.speaker", F.regexp_replace(F.col("m.time"), " ", "T").alias("time"), "m.text")
-    return rows.withColumn("seq", F.row_number().over(Window.orderBy("date", "group", "position")).cast("long"))
+    j = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", shape).alias("j"))
+    rows = j.select("file", F.explode("j.dialogues").alias("date", "groups")).select("file", "date", F.explode("groups").alias("group", "messages"))
+    rows = rows.select("file", "date", "group", F.posexplode("messages").alias("position", "m"))
+    return rows.select("file", "date", "group", "position", "m.speaker", F.regexp_replace(F.col("m.time"), " ", "T").alias("time"), "m.text")
 
 
 def blank_to_null(c: str) -> Column:
