@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,16 +52,17 @@ def resolved(rows: DataFrame) -> DataFrame:
     of start: the one of lower priority number stays, the earlier on a tie; each is decided once. Sequential per agent."""
 
     def decide(meetings: pd.DataFrame) -> pd.DataFrame:
-        m = meetings.sort_values(["start", "event_id"]).reset_index(drop=True)
-        gone, last = set(), None
-        for i in range(len(m)):
-            if last is not None and m.start[i] < m.stop[last]:
-                loser = i if m.priority[last] <= m.priority[i] else last
-                gone.add(loser)
-                last = last if loser == i else i
-            else:
-                last = i
-        return pd.DataFrame({"agent": m.agent, "event_id": m.event_id, "keeps": [i not in gone for i in range(len(m))]})
+        m = meetings.sort_values(["start", "event_id"])
+        keeps = np.ones(len(m), bool)
+        last = stop = priority = None
+        for i, (start, end, p) in enumerate(zip(m["start"].to_numpy(), m["stop"].to_numpy(), m["priority"].to_numpy(), strict=True)):
+            if last is not None and start < stop and priority <= p:
+                keeps[i] = False
+                continue
+            if last is not None and start < stop:
+                keeps[last] = False
+            last, stop, priority = i, end, p
+        return pd.DataFrame({"agent": m["agent"], "event_id": m["event_id"], "keeps": keeps})
 
     return rows.groupBy("agent").applyInPandas(decide, "agent long, event_id long, keeps boolean")
 
@@ -87,16 +91,17 @@ def length_matched(targets: DataFrame, donors: DataFrame, caliper: float = 0.2)
     targets first, the shorter donor on ties; fits: within the caliper. Sequential per item. Inputs: item, name, length."""
 
     def match(key: tuple, pool: pd.DataFrame) -> pd.DataFrame:
-        wanted = pool[pool.side == 0].sort_values(["length", "name"], ascending=[False, True])
-        free = pool[pool.side == 1].sort_values(["length", "name"]).reset_index(drop=True)
-        rows = []
-        for t in wanted.itertuples():
-            if not len(free):
+        wanted = pool[pool["side"] == 0].sort_values(["length", "name"], ascending=[False, True])
+        free = pool[pool["side"] == 1].sort_values(["length", "name"])
+        lengths, names, rows = free["length"].tolist(), free["name"].tolist(), []
+        for name, length in zip(wanted["name"], wanted["length"], strict=True):
+            if not lengths:
                 break
-            gap = (free.length - t.length).abs()
-            i = int(gap.idxmin())
-            rows.append((key[0], t.name, free.name[i], bool(gap[i] <= caliper * t.length)))
-            free = free.drop(i).reset_index(drop=True)
+            i = bisect_left(lengths, length)
+            if i == len(lengths) or (i and length - lengths[i - 1] <= lengths[i] - length):
+                i = bisect_left(lengths, lengths[i - 1])  # the first name of that length
+            rows.append((key[0], name, names[i], bool(abs(lengths[i] - length) <= caliper * length)))
+            del lengths[i], names[i]
         return pd.DataFrame(rows, columns=["item", "target", "donor", "fits"])
 
     pool = targets.select("item", "name", "length", F.lit(0).alias("side")).unionByName(donors.select("item", "name", "length", F.lit(1).alias("side")))

@@ -133,7 +133,11 @@ def encounter_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.encounters(tables.intervals(spark, sf_dir).select("place", "agent", "start", "stop"), 10)
 
 
-@query()
+@query(f"""WITH RECURSIVE {INTERVALS_SQL}, m AS (SELECT agent, event_id, start, stop + 3600 AS stop, event_id % 3 AS p, row_number() OVER (PARTITION BY agent ORDER BY start, event_id) AS k FROM i WHERE activity IN ('click', 'purchase')),
+r AS (SELECT agent, k, event_id AS last, stop, p, NULL::BIGINT AS loser FROM m WHERE k = 1 UNION ALL
+  SELECT m.agent, m.k, CASE WHEN m.start < r.stop AND r.p <= m.p THEN r.last ELSE m.event_id END, CASE WHEN m.start < r.stop AND r.p <= m.p THEN r.stop ELSE m.stop END, CASE WHEN m.start < r.stop AND r.p <= m.p THEN r.p ELSE m.p END,
+    CASE WHEN m.start < r.stop THEN CASE WHEN r.p <= m.p THEN m.event_id ELSE r.last END END FROM r JOIN m ON m.agent = r.agent AND m.k = r.k + 1)
+SELECT m.agent, m.event_id, l.loser IS NULL AS keeps FROM m LEFT JOIN (SELECT loser FROM r WHERE loser IS NOT NULL) l ON l.loser = m.event_id""")
 def role_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of an agent's overlapping meetings stay."""
     m = tables.intervals(spark, sf_dir).where("activity IN ('click', 'purchase')")
