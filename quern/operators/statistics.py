@@ -17,19 +17,25 @@ def kappa(pairs: DataFrame, groups: list[str]) -> DataFrame:
     return found.select(*groups, "n", F.round("agreement", 6).alias("agreement"), F.round(F.when(share < 1, (F.col("agreement") - share) / (1 - share)), 6).alias("kappa"))
 
 
-def average_rank(value: Column, by: list[str]) -> Column:
-    """Rank from 1, ties share the mean of theirs."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+def average_ranks(counts: DataFrame, value: str, by: list[str], rank: str) -> DataFrame:
+    """by, value, rank: the ranks from 1 of the values of rows counted in n, ties sharing the mean of theirs. Only distinct
+    values are sorted."""
+    n = counts.groupBy(*by, value).agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return n.select(*by, value, (before + (F.col("n") + 1) / 2.0).alias(rank))
 
 
 def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Pearson correlation of average ranks per group; null where one side is constant."""
-    ranks = rows.withColumns({"ra": average_rank(F.col(a), by), "rb": average_rank(F.col(b), by)})
-    fine = (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0)
-    top = F.count("*") * F.sum(F.col("ra") * F.col("rb")) - F.sum("ra") * F.sum("rb")
-    low = F.sqrt(F.count("*") * F.sum(F.col("ra") * F.col("ra")) - F.sum("ra") * F.sum("ra")) * F.sqrt(F.count("*") * F.sum(F.col("rb") * F.col("rb")) - F.sum("rb") * F.sum("rb"))
-    return ranks.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.when(fine, F.try_divide(top, low)), 6).alias("rho"))
+    """Pearson correlation of average ranks per group; null where one side is constant. Rows are counted by their pair of
+    values before anything is sorted or joined."""
+    pairs = rows.groupBy(*by, a, b).agg(F.count("*").alias("n"))
+    ranks = pairs.join(average_ranks(pairs, a, by, "ra"), [*by, a]).join(average_ranks(pairs, b, by, "rb"), [*by, b])
+    total = lambda x: F.sum(F.col("n") * x)
+    n, ra, rb = F.sum("n"), F.col("ra"), F.col("rb")
+    sums = ranks.groupBy(*by).agg(n.alias("n"), total(ra).alias("a"), total(rb).alias("b"), total(ra * rb).alias("ab"), total(ra * ra).alias("aa"), total(rb * rb).alias("bb"), ((F.max(ra) > F.min(ra)) & (F.max(rb) > F.min(rb))).alias("varied"))
+    n, c = F.col("n"), F.col
+    low = F.sqrt(n * c("aa") - c("a") * c("a")) * F.sqrt(n * c("bb") - c("b") * c("b"))
+    return sums.select(*by, "n", F.round(F.when(c("varied"), (n * c("ab") - c("a") * c("b")) / low), 6).alias("rho"))
 
 
 def auc(rows: DataFrame, positive: Column, score: str) -> DataFrame:
