@@ -45,7 +45,7 @@ def test_sessions_and_messages(spark, tmp_path):
 def test_group_chats_and_canonical_names(spark, tmp_path):
     chat = {"dialogues": {"d2": {"g": [{"speaker": "b", "time": "10:00 x", "text": "later"}]}, "d1": {"h": [{"speaker": "a", "text": "1"}, {"speaker": "a", "text": "2"}], "g": [{"text": "0"}]}}}
     rows = readers.group_chats(spark, lines(tmp_path / "g.json", [chat])).orderBy("date", "group", "position").collect()
-    assert [r.text for r in rows] == ["0", "1", "2", "later"] and [r.position for r in rows] == [0, 1, 0, 0] and rows[3].time == "10:00Tx"
+    assert [r.text for r in rows] == ["0", "1", "2", "later"] and [r.position for r in rows] == [0, 0, 1, 0] and rows[3].time == "10:00Tx"
     raw = spark.createDataFrame([(" ", "7", "t", "now", None), ("m", "8", None, "then", "soon")], "msg_id string, id string, content string, ts string, deliver_ts string")
     assert [tuple(r) for r in readers.canonical_messages(raw).collect()] == [("7", None, "t", "now", "now"), ("m", None, None, "then", "soon")]
 
