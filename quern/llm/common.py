@@ -15,9 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local master gets one of its own
+    (as in tests); on a cluster it is an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -13,7 +13,7 @@ from quern.llm.common import whole_row
 
 SYMBOLS = "#*$%&|<>"
 #: Code points of text whose suffixes are sorted together (a longer text is sorted alone, whole): bounds memory only.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors of a block of candidates, and of a block of queries; queries whose bounds are held at once.
-ROWS, QUERIES, HELD = 8192, 4096, 128
+#: Vectors of a pack; candidates that a bucket holds on average; queries whose bounds are held at once.
+PACK, BUCKET, HELD = 2048, 65536, 128
 #: Segments at each resolution.
 LEVELS = (4, 16)
 
@@ -90,48 +91,58 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     each. A query without other vectors has no rows. Scores are exact (components whose products leave the range of a
     long raise an error when the result is written).
 
-    Queries and candidates meet block by block: each block of packed candidates is sent to the blocks of queries, which
-    are dealt over so many salts that all tasks have cells; each cell gives k rows a query, and a ranking merges them.
+    Vectors are packed where they lie, in two bytes a component where these fit. Candidates are dealt into buckets of about
+    BUCKET and move once; the queries, a small share of the rows, are what is sent to every bucket, where their packs
+    stream past the candidates that the task holds. A bucket gives k rows a query, and a ranking merges them.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(embedding), scale).alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).withColumn("dim", F.size("v"))
-    spark = vectors.sparkSession
-    asked = rows.where("q")
-    blocks = max(1, math.ceil(asked.count() / QUERIES))
-    salts = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / blocks))
+    buckets = max(math.ceil(rows.count() / BUCKET), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, count, held = TaskContext.get().partitionId(), 0, {}
-        for batch in [*batches, None]:
+        count, held = TaskContext.get().partitionId() * 7919, {}
+        for batch in chain(batches, [None]):
             if batch is not None:
                 for dim, group in batch.groupby("dim"):
                     held.setdefault(int(dim), []).append(group)
             for dim, groups in list(held.items()):
                 n = sum(map(len, groups))
-                if n and (batch is None or n >= ROWS):
+                if n and (batch is None or n >= PACK):
                     table = pd.concat(groups, ignore_index=True)
                     held[dim] = []
-                    for low in range(0, n, ROWS):
-                        cut = table.iloc[low : low + ROWS]
-                        yield pd.DataFrame({"block": [part << 32 | count], "dim": [dim], "ids": [cut["id"].to_numpy(np.int64).tobytes()], "data": [np.array(cut["v"].tolist(), np.int64).tobytes()]})
+                    for low in range(0, n, PACK):
+                        cut = table.iloc[low : low + PACK]
+                        data = np.array(cut["v"].tolist(), np.int64)
+                        short = np.abs(data).max() < 2**15
+                        yield pd.DataFrame({"deal": [count], "dim": [dim], "width": [2 if short else 8], "ids": [cut["id"].to_numpy(np.int64).tobytes()], "data": [data.astype(np.int16 if short else np.int64).tobytes()]})
                         count += 1
 
-    packed = rows.select("id", "dim", "v").mapInPandas(pack, "block long, dim int, ids binary, data binary")
-    packed = packed.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    wanted = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part"), "dim").agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("queries"))
-    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    shape = "deal long, dim int, width int, ids binary, data binary"
+    packed = rows.select("id", "dim", "v").mapInPandas(pack, shape).withColumn("bucket", F.pmod("deal", F.lit(buckets))).withColumn("asked", F.lit(False))
+    asked = rows.where("q").select("id", "dim", "v").mapInPandas(pack, shape).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))).withColumn("asked", F.lit(True))
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Packs come sorted by bucket and dimension, candidates before queries."""
+        key, ids, data = None, [], []
         for batch in batches:
-            for cell in batch.itertuples():
-                ids, queries = np.asarray(cell.query_ids, np.int64), np.asarray(cell.queries, np.int64).reshape(-1, cell.dim)
-                found = list(top_of_block(ids, queries, np.frombuffer(cell.ids, np.int64), np.frombuffer(cell.data, np.int64).reshape(-1, cell.dim), k))
-                counts = [len(x[1]) for x in found]
-                yield pd.DataFrame({"query_id": np.repeat([x[0] for x in found], counts).astype(np.int64), "vec_id": np.concatenate([x[1] for x in found]), "score": np.concatenate([x[2] for x in found]).astype(np.int64)})
-
-    near = packed.join(wanted, ["part", "dim", "salt"]).select("dim", "ids", "data", "query_ids", "queries").mapInPandas(cells, "query_id long, vec_id long, score long")
+            for x in batch.itertuples():
+                vectors = np.frombuffer(x.data, np.int16 if x.width == 2 else np.int64).reshape(-1, x.dim).astype(np.int64)
+                if key != (x.bucket, x.dim):
+                    key, ids, data = (x.bucket, x.dim), [], []
+                if not x.asked:
+                    ids.append(np.frombuffer(x.ids, np.int64))
+                    data.append(vectors)
+                elif data:
+                    if len(data) > 1:
+                        ids, data = [np.concatenate(ids)], [np.concatenate(data)]
+                    found = list(top_of_block(np.frombuffer(x.ids, np.int64), vectors, ids[0], data[0], k))
+                    counts = [len(y[1]) for y in found]
+                    yield pd.DataFrame({"query_id": np.repeat([y[0] for y in found], counts).astype(np.int64), "vec_id": np.concatenate([y[1] for y in found]), "score": np.concatenate([y[2] for y in found]).astype(np.int64)})
+
+    both = packed.unionByName(asked).drop("deal").repartition(buckets, "bucket", "dim").sortWithinPartitions("bucket", "dim", "asked")
+    near = both.select("bucket", "dim", "width", "ids", "data", "asked").mapInPandas(cells, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

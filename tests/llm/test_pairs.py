@@ -165,7 +165,8 @@ def brute_top(rows, k=5):
 @pytest.mark.parametrize("held", [3, 128])
 def test_top_k(spark, monkeypatch, held):
     monkeypatch.setattr(topk_search, "HELD", held)
-    monkeypatch.setattr(topk_search, "ROWS", 64)
+    monkeypatch.setattr(topk_search, "PACK", 64)
+    monkeypatch.setattr(topk_search, "BUCKET", 40 if held == 3 else 65536)
     rng = np.random.default_rng(7)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=24)]) for i in range(401)]
     rows += [(1000 + i, rows[50][1]) for i in range(80)] + [(2000, None), (2050, []), (2100, [1.0, None]), (2150, [float("nan")] * 24), (2200, [float("inf")] * 24), (None, rows[0][1]), (2250, [1.0, 2.0]), (2251, [0.5, -1.0]), (2300, [3.0])]
