@@ -46,6 +46,42 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     return found.where("score > 0 OR rank = 1").select("question_id", "rank", "doc_id", "score")
 
 
+def bm25_asof(messages: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """bm25() of each query over what its owner had seen by its day, without one session.
+
+    messages: ego, day, conv_id, doc_id, text; queries: question_id, ego, cutoff_day, excluded (a conv_id), text. No message
+    is copied per query: messages are tokenised once, frequencies are kept per owner, day and term, and the excluded session's
+    terms are taken off. A query's mean inverse frequency is that of a histogram of frequencies, corrected for those terms.
+    """
+    lists = kept(messages.select("ego", "day", "conv_id", "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("terms")), "terms")
+    q = queries.select("question_id", "ego", "cutoff_day", "excluded")
+    held = lists.groupBy("ego", "day", "conv_id").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("length"), F.min("doc_id").alias("first"))
+    seen = q.join(held, "ego").where("day <= cutoff_day AND conv_id <> excluded").groupBy("question_id").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"), F.min("first").alias("first"))
+    q = kept(q.join(seen, "question_id"), "scopes")
+    counts = kept(lists.select("ego", "day", "conv_id", F.explode(F.array_distinct("terms")).alias("term")).groupBy("ego", "day", "conv_id", "term").agg(F.count("*").alias("c")), "counts")
+    days = q.select("ego", "cutoff_day").distinct()
+    base = kept(days.join(counts, "ego").where("day <= cutoff_day").groupBy("ego", "cutoff_day", "term").agg(F.sum("c").alias("df")), "frequencies")
+    left_out = q.join(counts, "ego").where("conv_id = excluded AND day <= cutoff_day").select("question_id", "term", "c")
+    raw = lambda df: F.ln(F.greatest(F.col("n") - df + 0.5, F.lit(0.5))) - F.ln(df + 0.5)  # noqa: E731  the least value is only met by terms that are taken off again
+    histogram = base.groupBy("ego", "cutoff_day", "df").agg(F.count("*").alias("terms"))
+    sums = q.join(histogram, ["ego", "cutoff_day"]).groupBy("question_id").agg(F.sum(F.col("terms") * raw(F.col("df"))).alias("raw"), F.sum("terms").alias("terms"))
+    df, c = F.col("df"), F.col("c")
+    less = q.join(left_out, "question_id").join(base, ["ego", "cutoff_day", "term"])
+    less = less.groupBy("question_id").agg(F.sum(F.when(df > c, raw(df - c)).otherwise(0.0) - raw(df)).alias("more"), F.count_if(df == c).alias("gone"))
+    means = sums.join(less, "question_id", "left").select("question_id", (F.try_divide(F.col("raw") + F.coalesce("more", F.lit(0.0)), F.col("terms") - F.coalesce("gone", F.lit(0)))).alias("mean"))
+    asked = queries.select("question_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
+    asked = asked.join(q, "question_id").join(base, ["ego", "cutoff_day", "term"]).join(left_out, ["question_id", "term"], "left").withColumn("df", df - F.coalesce("c", F.lit(0))).where("df > 0")
+    asked = asked.join(means, "question_id").withColumn("raw", raw(F.col("df"))).withColumn("idf", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")))
+    postings = lists.select("ego", "day", "conv_id", "doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("ego", "term").distinct(), ["ego", "term"], "left_semi")
+    postings = postings.groupBy("ego", "day", "conv_id", "doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    hits = asked.join(postings, ["ego", "term"]).where("day <= cutoff_day AND conv_id <> excluded").select("question_id", "doc_id", part.alias("score"))
+    least = q.select("question_id", F.col("first").alias("doc_id"), F.lit(0.0).alias("score"))
+    scores = hits.unionByName(least).groupBy("question_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    found = ranked(scores, "question_id", [F.desc("score"), F.asc("doc_id")], k)
+    return found.where("score > 0 OR rank = 1").select("question_id", "rank", "doc_id", "score")
+
+
 def reciprocal_ranks(lists: list[DataFrame], k: int = 10, constant: int = 60) -> DataFrame:
     """Fuses ranked lists (question_id, doc_id, rank): sum of 1 / (constant + rank), rounded to 9 places, the k best."""
     every = lists[0].select("question_id", "doc_id", "rank")

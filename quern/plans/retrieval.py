@@ -54,10 +54,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT question_id, question_id AS scope, text FROM q", PLAIN))
 def bm25_ego_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over what the question's owner had seen by its day, without the session that it stems from."""
-    q, m = questions(spark, sf_dir), messages(spark, sf_dir).select("ego", "day", "conv_id", "msg_id", F.col("text").alias("said"))
-    scopes = q.select(F.col("question_id").alias("scope"), "ego", "cutoff_day", "excluded")
-    docs = m.join(scopes, "ego").where("day <= cutoff_day AND conv_id <> excluded").select("scope", F.col("msg_id").alias("doc_id"), F.col("said").alias("text"))
-    return rt.bm25(docs, q.select("question_id", F.col("question_id").alias("scope"), "text"))
+    m = messages(spark, sf_dir).select("ego", "day", "conv_id", F.col("msg_id").alias("doc_id"), "text")
+    return rt.bm25_asof(m, questions(spark, sf_dir))
 
 
 @query(bm25_sql(TURNS, ASKED, "SELECT h.question_id, h.rank, '[session=' || m.conv_id || ' speaker=' || m.role || ' time=' || m.day || '] ' || m.text AS line FROM hits h JOIN m ON m.msg_id = h.doc_id"))
