@@ -29,3 +29,24 @@ IRREGULAR = {
     "sent": "send", "told": "tell", "knew": "know", "known": "know", "felt": "feel", "thought": "think", "kept": "keep", "took": "take",
     "taken": "take", "got": "get", "gotten": "get", "shot": "shoot",
 }
+
+# Words that say nothing of a fact, and words that make no hint.
+CONTENT_STOP_WORDS = [
+    "the", "a", "an", "is", "was", "are", "were", "that", "this",
+    "with", "from", "have", "has", "been", "they", "them", "their",
+    "about", "just", "also", "would", "could", "should", "really",
+    "very", "much", "some", "into", "will", "your", "you", "not",
+    "don", "didn", "doesn", "and", "but", "for", "its", "it",
+]
+HINT_STOP_WORDS = [
+    "the", "a", "an", "is", "was", "are", "were", "that", "this",
+    "with", "from", "have", "has", "been", "they", "them", "their",
+    "about", "just", "also", "would", "could", "should", "really",
+    "very", "much", "some", "into", "will", "your", "it's", "you",
+    "and", "but", "for", "not", "don't", "didn't", "doesn't",
+    "like", "know", "think", "said", "told", "yeah", "okay",
+    "it", "i'm", "i'll", "i've", "we're", "he's", "she's",
+    "what", "how", "when", "where", "who", "why", "can", "do",
+    "did", "does", "got", "get", "going", "went", "come", "came",
+    "one", "two", "more", "than", "then", "too", "so", "if",
+]

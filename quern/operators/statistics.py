@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def kappa(pairs: DataFrame, groups: list[str]) -> DataFrame:
-    """groups, n, agreement, kappa of rows (groups, a, b); kappa is null where chance agreement is 1."""
+def kappa(pairs: DataFrame, groups: list[str], certain: float | None = None) -> DataFrame:
+    """groups, n, agreement, kappa of rows (groups, a, b); kappa is `certain` (null, or 1) where chance agreement is 1."""
     n = pairs.groupBy(*groups).agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("agreement"))
     side = lambda c: pairs.groupBy(*groups, F.col(c).alias("x")).agg(F.count("*").alias(f"n_{c}"))
     chance = side("a").join(side("b"), [*groups, "x"]).groupBy(*groups).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("both"))
     share = F.coalesce(F.col("both"), F.lit(0)) / (F.col("n") * F.col("n"))
     found = n.join(chance, groups, "left") if groups else n.crossJoin(chance)
-    return found.select(*groups, "n", F.round("agreement", 6).alias("agreement"), F.round(F.when(share < 1, (F.col("agreement") - share) / (1 - share)), 6).alias("kappa"))
+    return found.select(*groups, "n", F.round("agreement", 6).alias("agreement"), F.round(F.when(share < 1, (F.col("agreement") - share) / (1 - share)).otherwise(F.lit(certain).cast("double")), 6).alias("kappa"))
 
 
 def average_ranks(counts: DataFrame, value: str, by: list[str], rank: str) -> DataFrame:

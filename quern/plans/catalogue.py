@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import analytics, comparisons, evaluation, expressions, files, groundtruth, people, permissions, reports, retrieval, scoring, selections, streams
+from quern.plans import analytics, comparisons, evaluation, expressions, files, groundtruth, people, permissions, reports, retrieval, scoring, selections, streams, variants
 from quern.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "comparisons", "evaluation", "expressions", "files", "groundtruth", "people", "permissions", "reports", "retrieval", "scoring", "selections", "streams"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "comparisons", "evaluation", "expressions", "files", "groundtruth", "people", "permissions", "reports", "retrieval", "scoring", "selections", "streams", "variants"]

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions import fixed
 from quern.functions import text as tx
 from quern.operators import graph
 from quern.plans.groundtruth import edges
 from quern.plans.registry import query
 from quern.sources.tables import EDGES_SQL, MESSAGES_SQL, messages, table
 
-STOP_WORDS = ["the", "and", "for", "you", "that", "this", "with", "was", "are", "not", "have", "from"]
-STOP_SQL = "[" + ", ".join(f"'{x}'" for x in STOP_WORDS) + "]"
+
+
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in words) + "]"
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -24,7 +27,7 @@ def unit_hash(*parts: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct lower-case words of three characters or more that are no stop words."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: (F.length(x) > 2) & ~x.isin(*STOP_WORDS)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: (F.length(x) > 2) & ~x.isin(*fixed.CONTENT_STOP_WORDS)))
 
 
 @query("""SELECT user_id, count(*) FILTER (WHERE value > 10) AS n_positive, count(*) AS n, count(*) FILTER (WHERE value > 10) >= count(*) // 2 + 1 AS verdict FROM events GROUP BY user_id""")
@@ -69,7 +72,7 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg((-F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY -value)")).alias("upper_median"))
 
 
-@query(f"""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 AND NOT list_contains({STOP_SQL}, x))) AS w FROM conversations),
+@query(f"""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2 AND NOT list_contains({_listed(fixed.CONTENT_STOP_WORDS)}, x))) AS w FROM conversations),
 p AS (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM w)
 SELECT conv_id, turn, len(list_intersect(w, before))::INTEGER AS n_shared, round(len(list_intersect(w, before)) / nullif(len(before), 0), 6) AS overlap FROM p WHERE before IS NOT NULL""")
 def content_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +83,11 @@ def content_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("conv_id", "turn", n.alias("n_shared"), F.round(F.try_divide(n, F.size("before")), 6).alias("overlap"))
 
 
-@query(f"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]+'), lambda x: length(x) > 3 AND NOT list_contains({STOP_SQL}, x)) AS w FROM benchmark),
+@query(f"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]+'), lambda x: length(x) > 3 AND NOT list_contains({_listed(fixed.HINT_STOP_WORDS)}, x)) AS w FROM benchmark),
 d AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS d FROM w) SELECT item_id, array_to_string(d[1:4], ' ') AS hint FROM d""")
 def hint_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four distinct words of a question that are long and no stop words."""
-    found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z'-]+"), F.lit(0)), lambda x: (F.length(x) > 3) & ~x.isin(*STOP_WORDS))
+    found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z'-]+"), F.lit(0)), lambda x: (F.length(x) > 3) & ~x.isin(*fixed.HINT_STOP_WORDS))
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.array_distinct(found), 1, 4), " ").alias("hint"))
 
 
