@@ -225,14 +225,14 @@ def prompt_format_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FLAGS_SQL}, a AS (SELECT 'all' AS population, *, by_label AS leak FROM f WHERE starts_with(qid, 'd4') UNION ALL SELECT 'fact', *, by_label FROM f WHERE starts_with(qid, 'd4') AND fact_there), c AS ({SCALARS_SQL.format(by="population, backend, seed", rows="a")}),
 m AS (SELECT population, backend, avg(f1_pu) AS mean, coalesce(stddev_samp(f1_pu), 0) AS sd FROM c GROUP BY ALL)
-SELECT population, arg_max(backend, mean) FILTER (WHERE backend <> 'oracle') AS best, round(max(mean) FILTER (WHERE backend <> 'oracle'), 6) AS best_mean, round(arg_max(sd, mean) FILTER (WHERE backend <> 'oracle'), 6) AS best_sd, round(max(mean) FILTER (WHERE backend = 'oracle'), 6) AS oracle_mean FROM m GROUP BY population""")
+SELECT population, first(backend ORDER BY mean DESC, backend) FILTER (WHERE backend <> 'oracle' AND mean IS NOT NULL) AS best, round(max(mean) FILTER (WHERE backend <> 'oracle'), 6) AS best_mean, round(first(sd ORDER BY mean DESC, backend) FILTER (WHERE backend <> 'oracle' AND mean IS NOT NULL), 6) AS best_sd, round(max(mean) FILTER (WHERE backend = 'oracle'), 6) AS oracle_mean FROM m GROUP BY population""")
 def recompute_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For both populations the best backend that can be deployed, and the oracle."""
+    """For both populations the best backend that can be deployed (the first by name on ties), and the oracle."""
     r = permission_records(records(spark, sf_dir))
     both = r.withColumn("population", F.explode(F.when(protected(F.col("fact")), F.array(F.lit("all"), F.lit("fact"))).otherwise(F.array(F.lit("all")))))
     m = cell_scalars(both, ["population", "backend", "seed"]).groupBy("population", "backend").agg(F.avg("f1_pu").alias("mean"), F.coalesce(F.stddev_samp("f1_pu"), F.lit(0.0)).alias("sd"))
-    own = F.when(F.col("backend") != "oracle", F.struct("mean", "backend", "sd"))
-    g = m.groupBy("population").agg(F.max(own).alias("best"), F.max(F.when(F.col("backend") == "oracle", F.col("mean"))).alias("oracle"))
+    own = F.when((F.col("backend") != "oracle") & F.col("mean").isNotNull(), F.struct((-F.col("mean")).alias("order"), "backend", "mean", "sd"))
+    g = m.groupBy("population").agg(F.min(own).alias("best"), F.max(F.when(F.col("backend") == "oracle", F.col("mean"))).alias("oracle"))
     return g.select("population", F.col("best.backend").alias("best"), F.round("best.mean", 6).alias("best_mean"), F.round("best.sd", 6).alias("best_sd"), F.round("oracle", 6).alias("oracle_mean"))
 
 
