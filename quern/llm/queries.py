@@ -16,8 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals for every context limit over documents."""
-    return token_counts.context_totals(written(token_counts.length_histogram(_table(spark, sf_dir, "documents")), "lengths"))
+    """Totals for every context limit over documents, and the share of documents within it, from which quantiles are read."""
+    totals = token_counts.context_totals(written(token_counts.length_histogram(_table(spark, sf_dir, "documents")), "lengths"))
+    return totals.withColumn("share_within", (F.col("docs_total") - F.col("docs_longer")) / F.col("docs_total"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,12 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_a_mix_of_nothing(spark):
+    """Sources without words take nothing, and nobody divides by their sizes."""
+    docs = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n", None, "b", 2)], SHAPE)
+    assert corpus_pipeline.mixed_sources(spark, docs, "").count() == 0
+
+
 def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT / "quern", tmp_path / "quern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
