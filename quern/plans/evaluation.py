@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import evaluation as ev
-from quern.functions import fixed, names
+from quern.functions import fixed, maths, names, time
 from quern.functions import text as tx
 from quern.functions.spans import changed_spans
 from quern.plans.registry import query
@@ -193,8 +193,6 @@ round(CASE WHEN len(wa) = 0 AND len(wb) = 0 THEN 1 WHEN len(wa) = 0 OR len(wb) =
 upper(left(role, 1)) || substr(role, 2) AS first_name, 'Town ' || upper(left(role, 1)) || substr(role, 2) AS place, ['k' || turn] AS tags, '2025-01-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') AS day, 'January ' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') || ', 2025' AS label, round(0.1 + 0.02 * turn + 0.003 * turn * turn, 6)::DOUBLE AS ttft FROM w""")
 def small_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set scores of neighbouring turns, and names, places, image tags, calendar labels and first-token times."""
-    from quern.functions import maths, time
-
     t = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
     split = lambda x: F.array_remove(F.array_distinct(F.split(F.lower(x), " ")), "")
     words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
