@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions import maths, time
+from quern.functions import maths, names, time
 from quern.functions import text as tx
-from quern.operators import graph, statistics
+from quern.functions.spans import changed_spans
+from quern.operators import graph, intervals, statistics
 from quern.operators import retrieval as rt
 from quern.plans.permissions import FLAGS_SQL, RECORDS_SQL, allowed, cell_scalars, legacy_compliance, permission_records, records
 from quern.plans.registry import query
@@ -205,3 +206,30 @@ def first_mention_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = s.groupBy("day").agg(F.count("*").alias("n")).select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"))
     o = s.withColumn("k", F.row_number().over(Window.partitionBy("day").orderBy("start", "conv_id")) - 1).join(days, "day").select("conv_id", (F.col("before") + F.col("k")).alias("place"))
     return m.select(F.col("role").alias("entity"), "conv_id").distinct().join(o, "conv_id").groupBy("entity").agg(F.min("place").alias("first_place"), F.count("*").alias("n_sessions"))
+
+
+@query("""WITH d AS (SELECT doc_id % 100 AS item, lpad(doc_id::VARCHAR, 9, '0') AS name, length(text) AS length, l.doc_id IS NOT NULL AS labelled FROM documents LEFT JOIN labels l USING (doc_id) WHERE text IS NOT NULL), t AS (SELECT item, min(name) AS target, arg_min(length, name) AS n FROM d WHERE labelled GROUP BY item)
+SELECT t.item, t.target, d.name AS donor, abs(d.length - t.n) <= 0.2 * t.n AS fits FROM t JOIN d ON d.item = t.item AND NOT d.labelled QUALIFY row_number() OVER (PARTITION BY t.item ORDER BY abs(d.length - t.n), d.length, d.name) = 1""")
+def length_matched_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the first labelled document of each of a hundred pools the unlabelled one nearest to it in length."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", (F.col("doc_id") % 100).alias("item"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.length("text").cast("long").alias("length"))
+    labelled = table(spark, sf_dir, "labels").select("doc_id")
+    first = d.join(labelled, "doc_id", "left_semi").groupBy("item").agg(F.min(F.struct("name", "length")).alias("t")).select("item", "t.name", "t.length")
+    return intervals.length_matched(first, d.join(labelled, "doc_id", "left_anti"))
+
+
+@query("""SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS n_named, CASE WHEN contains(lower(text), 'bye') OR contains(lower(text), 'take care') OR contains(lower(text), 'see you') OR contains(lower(text), 'talk later') OR contains(lower(text), 'gotta go') OR contains(lower(text), 'nice talking') OR contains(lower(text), 'catch you later') OR contains(lower(text), 'ttyl') OR contains(lower(text), 'g2g') OR contains(lower(text), 'cya') OR contains(lower(text), 'nite') THEN 'ends' ELSE 'goes on' END AS state, 'k ' || turn || ' and Ann Lee' AS topic FROM conversations""")
+def topics_and_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named things and endings of turns, and the topic of things named."""
+    t = F.col("text")
+    topic = names.topic(F.lit("nothing"), F.array(F.concat(F.lit("k "), "turn"), F.lit("at"), F.lit("Ann Lee"), F.lit("Bob Ray")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tx.entities(t)).cast("long").alias("n_named"), F.when(names.ends_conversation(t), "ends").otherwise("goes on").alias("state"), topic.alias("topic"))
+
+
+@query("""SELECT conv_id, turn, 1::BIGINT AS n, 'noon ' || turn AS before, 'dusk' AS after FROM conversations WHERE turn > 0""")
+def replaced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that two versions of a sentence differ in."""
+    c = table(spark, sf_dir, "conversations").where("turn > 0")
+    said = lambda x: F.concat(F.lit("we met at "), x, F.lit(" in the park"))
+    c = c.select("conv_id", "turn", changed_spans(said(F.concat(F.lit("noon "), "turn")), said(F.lit("dusk"))).alias("s"))
+    return c.select("conv_id", "turn", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0))["before"].alias("before"), F.get("s", F.lit(0))["after"].alias("after"))
