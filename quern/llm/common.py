@@ -26,10 +26,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new folder's name under spark.checkpoint.dir."""
+    return f"{scratch_dir(spark)}/quern-{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet under spark.checkpoint.dir and reads it back."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quern-{what}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

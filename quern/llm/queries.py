@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, html_extract, line_dedup, ngram_join, packing, quality_rules, secret_scan, source_mix, token_counts, topk_search
-from quern.llm.common import word_count, written
+from quern.llm import chat_format, html_extract, line_dedup, ngram_join, packing, phrase_mining, quality_rules, secret_scan, source_mix, token_counts, topk_search, turn_repair, warc
+from quern.llm.common import scratch_path, word_count, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every conversation, damaged for trial."""
+    return turn_repair.repair(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record in an archive says it."""
+    path = scratch_path(spark, "archives")
+    warc.write_archives(warc.page_records(_table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    found = warc.read_records(spark, path)
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language."""
+    return phrase_mining.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -86,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_warc_archives": op12_warc_archives,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 ORACLE: dict[str, str] = {
@@ -95,4 +116,7 @@ ORACLE: dict[str, str] = {
     "op5_chat_format": chat_format.SQL,
     "op4_source_mix": source_mix.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_conversation_repair": turn_repair.SQL,
+    "op12_warc_archives": warc.SQL,
+    "op13_phrase_mining": phrase_mining.SQL,
 }
