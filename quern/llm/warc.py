@@ -18,8 +18,8 @@ from quern.llm.zip_archive import Read, ZipStream, members, open_ranges
 
 #: Bytes of records after which a member of an archive ends, and that one range read fetches at most (records of more come alone).
 MEMBER, READ = 8 << 20, 8 << 20
-#: Bytes of an archive that one task reads on average.
-TASK = 64 << 20
+#: Bytes of an archive that are dealt out together; there are as many tasks as stretches.
+STRETCH = 16 << 20
 #: Fixed values of the formats: where data and indexes lie in an archive, and what a revisit says it is.
 DATA, INDEX = "archive/data-{:05}.warc.gz", "indexes/data-{:05}.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -210,7 +210,7 @@ def unpacked(read: Read, start: int, size: int) -> Iterator[bytes]:
 def read_records(spark: SparkSession, path: str, opener: Callable[[str], Read] = open_ranges) -> DataFrame:
     """RECORD of the responses and revisits in the ZIP archives under `path`; payloads of revisits are null.
 
-    Directories and indexes tell where the records lie. These places are dealt out by stretches of TASK bytes of an archive,
+    Directories and indexes tell where the records lie. These places are dealt out by stretches of STRETCH bytes of an archive,
     and what lies side by side is fetched in one range read. opener(uri) gives the range reads of a file. A response is
     held against its digest; damaged archives and records raise ValueError. Empty files hold no records.
     """
@@ -240,8 +240,10 @@ def read_records(spark: SparkSession, path: str, opener: Callable[[str], Read] =
                 yield pd.DataFrame(rows, columns=_NAMES)
                 i = k
 
-    places = record_places(archives(spark, path), opener).withColumn("stretch", F.floor(F.col("at") / TASK))
-    return places.repartition("path", "stretch").sortWithinPartitions("path", "at").drop("stretch").mapInPandas(fetch, RECORD)
+    found = archives(spark, path)
+    tasks = found.agg(F.coalesce(F.sum(F.ceil(F.col("length") / STRETCH)), F.lit(1))).collect()[0][0]  # the places alone would all fit one task
+    places = record_places(found, opener).withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    return places.repartition(tasks, "path", "stretch").sortWithinPartitions("path", "at").drop("stretch").mapInPandas(fetch, RECORD)
 
 
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
