@@ -132,11 +132,11 @@ def score(dimension: Column, mode: Column, gold_text: Column, prediction: Column
     hits = F.size(F.filter(F.zip_with(truth["choices"], letters, lambda x, y: x["letter"] == y), lambda z: z))
     share = F.round(hits / F.size(truth["choices"]), 4)
     changed = F.flatten(F.transform(replaced, lambda x: F.split(F.lower(F.concat_ws(" ", x["before"], x["after"])), r"\s+")))
-    noticed = F.exists(F.array(*map(F.lit, fixed.CONFLICT_SIGNALS)), lambda x: F.contains(norm, x)) | F.arrays_overlap(F.filter(changed, lambda w: F.length(w) > 3), F.split(norm, " "))
+    noticed = norm.rlike(tx.either(fixed.CONFLICT_SIGNALS)) | F.arrays_overlap(F.filter(changed, lambda w: F.length(w) > 3), F.split(norm, " "))
     conflict = F.when(norm.isin(*fixed.BLANK_ANSWERS), result(F.lit(False), F.lit(0), "conflict_detection_idk")).when(noticed, result(F.lit(True), F.greatest(f1, F.lit(0.5)), "conflict_detection")).otherwise(result(f1 >= 0.2, f1, "conflict_detection"))
     blank = (low == "unknown") | F.startswith(low, F.lit("i don't know")) | F.startswith(low, F.lit("i do not know"))
     anomaly = F.when(blank, result(F.lit(False), F.lit(0), "anomaly_verdict_idk")).otherwise(flag(tx.flags_anomaly(prediction) == F.coalesce(truth["is_anomalous"], F.lit(True)), "anomaly_verdict"))
-    unaware = (low == "") | F.exists(F.array(*map(F.lit, fixed.UNAWARE)), lambda x: F.contains(F.left(low, F.lit(120)), x))
+    unaware = (low == "") | F.left(low, F.lit(120)).rlike(tx.either(fixed.UNAWARE))
     keyword = temporal_match(prediction, gold_text)
     limit = F.when(F.lit(False), 0.0)
     for key, least in fixed.F1_LIMITS.items():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,23 +105,38 @@ def without_articles(words: Column) -> Column:
     return F.filter(words, lambda x: ~x.isin("a", "an", "the"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which a row's value is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def either(hints: list[str]) -> str:
+    """A pattern of all hints, none of which is empty."""
+    return "|".join(map(re.escape, hints))
+
+
+def _plain(hint: str) -> str:
+    """A hint's normal form, as normalised() has it of ASCII."""
+    return " ".join(re.sub(r"[^A-Za-z0-9_\s]", " ", hint.lower()).split())
+
+
+def _holds(text: Column, norm: Column, hints: list[str]) -> Column:
+    return F.lower(text).rlike(either(hints)) | norm.rlike(either(list(map(_plain, hints))))
+
+
 def any_of(text: Column, hints: list[str]) -> Column:
     """Whether a lower-case text holds one of the hints, as it stands or in normal form."""
-    plain = F.lower(text)
-    norm = normalised(text)
-    return F.exists(F.array(*map(F.lit, hints)), lambda h: F.contains(plain, h) | F.contains(norm, normalised(h)))
+    return once(text, lambda t: _holds(t, normalised(t), hints))
 
 
 def count_of(text: Column, hints: list[str]) -> Column:
-    plain = F.lower(text)
-    return F.size(F.filter(F.array(*map(F.lit, hints)), lambda h: F.contains(plain, h)))
+    return once(F.lower(text), lambda t: F.size(F.filter(F.array(*map(F.lit, hints)), lambda h: F.contains(t, h))))
 
 
 def refuses(text: Column) -> Column:
     """Whether a model's answer refuses, its thinking and wrapping apart."""
     said = clean_answer(text)
-    norm = normalised(said)
-    return norm.isin(*PLAIN_NO) | norm.rlike(NO_I) | any_of(said, REFUSAL_HINTS)
+    return once(said, lambda t: once(normalised(t), lambda norm: norm.isin(*PLAIN_NO) | norm.rlike(NO_I) | _holds(t, norm, REFUSAL_HINTS)))
 
 
 def refuses_for_privacy(text: Column) -> Column:
