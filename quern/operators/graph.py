@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import kept
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """a, b, weight: each edge from either end."""
@@ -55,3 +57,49 @@ def distances(edges: DataFrame, sources: DataFrame, scratch: str, most: int = 64
             break
         seen = seen.unionByName(frontier)
     return seen
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, part of every end of an edge (source, target) and of `nodes` (node): part is the least node of its component.
+
+    Each round every node takes the least part among its own, its neighbours' and what that part's node itself has taken,
+    so that labels jump along chains; rounds grow as the logarithm of the longest chain in practice. What a round
+    found is written, and the driver sees whether anything changed. Null ends take no part."""
+    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    both = kept(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    every = both.select(F.col("a").alias("node"))
+    if nodes is not None:
+        every = every.unionByName(nodes.select("node").where("node IS NOT NULL"))
+    parts = kept(every.distinct().withColumn("part", F.col("node")), "parts")
+    while True:
+        near = both.join(parts, F.col("b") == F.col("node")).groupBy("a").agg(F.min("part").alias("least")).withColumnRenamed("a", "node")
+        taken = kept(parts.join(near, "node", "left").select("node", "part", F.least("part", "least").alias("next")), "taken")
+        jump = taken.select(F.col("node").alias("next"), F.col("next").alias("further"))
+        moved = kept(taken.join(jump, "next").select("node", F.least("next", "further").alias("part"), (F.least("next", "further") != F.col("part")).alias("moved")), "moved")
+        parts = moved.select("node", "part")
+        if moved.where("moved").isEmpty():
+            return parts
+
+
+def path_lengths(edges: DataFrame) -> DataFrame:
+    """steps, n_pairs: how many ordered pairs of different nodes lie `steps` apart, over all pairs that a path joins.
+
+    Breadth-first from every node at once until nothing is new. A row holds the frontier of 64 sources at one node as the
+    bits of a long; a step is one join with the edges. In an undirected graph what a step meets has been met in
+    one of the last two steps or not at all, so two frontiers are all that is kept, however far the search goes."""
+    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    both = kept(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    numbered = kept(both.select(F.col("a").alias("node")).distinct().withColumn("i", F.monotonically_increasing_id()), "sources")
+    now = kept(numbered.select("node", F.shiftright("i", 6).alias("team"), F.expr("shiftleft(1L, cast(i & 63 as int))").alias("bits")).groupBy("node", "team").agg(F.bit_or("bits").alias("bits")), "frontier")
+    before, found, step = now.where("false"), [], 0
+    while True:
+        step += 1
+        met = now.join(both, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node"), "team").agg(F.bit_or("bits").alias("met"))
+        old = now.unionByName(before).groupBy("node", "team").agg(F.bit_or("bits").alias("old"))
+        fresh = met.join(old, ["node", "team"], "left").select("node", "team", F.expr("met & ~coalesce(old, 0L)").alias("bits")).where("bits <> 0")
+        before, now = now, kept(fresh, "frontier")
+        n = now.agg(F.sum(F.bit_count("bits"))).collect()[0][0]
+        if not n:
+            break
+        found.append((step, n))
+    return edges.sparkSession.createDataFrame(found, "steps long, n_pairs long")

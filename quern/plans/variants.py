@@ -14,7 +14,7 @@ from quern.operators import retrieval as rt
 from quern.plans.permissions import FLAGS_SQL, RECORDS_SQL, allowed, cell_scalars, legacy_compliance, permission_records, records
 from quern.plans.registry import query
 from quern.plans.retrieval import ASKED, TURNS, asked, bm25_sql, turns
-from quern.sources.tables import EDGES_SQL, MESSAGES_SQL, QUESTIONS_SQL, messages, questions, scratch, social_edges, table
+from quern.sources.tables import EDGES_SQL, MESSAGES_SQL, QUESTIONS_SQL, kept, messages, questions, social_edges, table
 
 
 @query(bm25_sql(TURNS, ASKED, """, best AS (SELECT question_id, doc_id, rank FROM hits WHERE score > 0), late AS (SELECT msg_id AS doc_id, row_number() OVER (ORDER BY sim_day DESC, conv_id DESC, turn DESC) AS rank FROM m QUALIFY rank <= 3)
@@ -186,15 +186,39 @@ def day_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.join(a, "day", "full").fillna(0).withColumn("visible", F.sum("ingested").over(Window.orderBy("day")))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT source, target FROM g WHERE n >= 2), d AS (SELECT source AS a, target AS b FROM s UNION SELECT target, source FROM s), r AS (SELECT DISTINCT a AS source, a AS node, 0 AS steps FROM d UNION SELECT r.source, d.b, r.steps + 1 FROM r JOIN d ON d.a = r.node WHERE r.steps < 8),
-t AS (SELECT source, node, min(steps) AS steps FROM r GROUP BY ALL), c AS (SELECT source, min(node) AS part, count(*) AS size FROM t GROUP BY source), l AS (SELECT part FROM c ORDER BY size DESC, part LIMIT 1) SELECT count(*) AS n_pairs, round(avg(steps), 6) AS mean_steps FROM t JOIN c USING (source) JOIN l USING (part) WHERE steps > 0""")
+STEPS_SQL = """r(source, node, steps) USING KEY (source, node) AS (SELECT DISTINCT a, a, 0 FROM d UNION SELECT r.source, d.b, r.steps + 1 FROM r JOIN d ON d.a = r.node LEFT JOIN recurring.r AS k ON k.source = r.source AND k.node = d.b WHERE k.node IS NULL),
+c AS (SELECT source, min(node) AS part, count(*) AS size FROM r GROUP BY source), l AS (SELECT part, any_value(size) AS size FROM c GROUP BY part ORDER BY 2 DESC, part LIMIT 1)"""
+
+
+def largest_component(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """part, size of every component of edges (source, target), and the edges of the largest, of equal ones the least."""
+    parts = kept(graph.components(e), "components")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
+    largest = sizes.orderBy(F.desc("size"), "part").limit(1)
+    inside = parts.join(largest, "part", "left_semi").select(F.col("node").alias("source"))
+    return sizes, e.join(inside, "source", "left_semi")
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT source, target FROM g WHERE n >= 2), d AS (SELECT source AS a, target AS b FROM s UNION SELECT target, source FROM s), {STEPS_SQL}
+SELECT count(*) AS n_pairs, round(avg(steps), 6) AS mean_steps FROM r JOIN c USING (source) JOIN l USING (part) WHERE steps > 0""")
 def mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean number of steps between nodes of the largest component."""
-    e = social_edges(spark, sf_dir).where("n >= 2").select("source", "target", F.lit(1.0).alias("weight"))
-    t = graph.distances(e, graph.both_ways(e).select(F.col("a").alias("node")).distinct(), scratch(spark, "mean-steps"), 8)
-    c = t.groupBy("source").agg(F.min("node").alias("part"), F.count("*").alias("size"))
-    largest = c.orderBy(F.desc("size"), "part").limit(1).select("part")
-    return t.where("steps > 0").join(c.join(largest, "part", "left_semi"), "source").agg(F.count("*").alias("n_pairs"), F.round(F.avg("steps"), 6).alias("mean_steps"))
+    """The mean number of steps between nodes of the largest component, however far apart."""
+    _, inside = largest_component(social_edges(spark, sf_dir).where("n >= 2").select("source", "target"))
+    n = F.sum("n_pairs")
+    return graph.path_lengths(inside).agg(F.coalesce(n, F.lit(0)).alias("n_pairs"), F.round(F.try_divide(F.sum(F.col("steps") * F.col("n_pairs")), n), 6).alias("mean_steps"))
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT x.conv_id * 1000 + x.turn AS source, y.conv_id * 1000 + y.turn AS target FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1), d AS (SELECT source AS a, target AS b FROM s UNION SELECT target, source FROM s), {STEPS_SQL}
+SELECT (SELECT count(*) FROM (SELECT DISTINCT part FROM c)) AS n_components, (SELECT count(DISTINCT part) FROM c) = 1 AS is_connected, (SELECT size FROM l) AS largest, max(steps)::BIGINT AS diameter, round(avg(steps), 6) AS mean_steps FROM r JOIN c USING (source) JOIN l USING (part) WHERE steps > 0""")
+def reply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the graph of turns and their replies, which is a path per conversation, and the mean path of the largest."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    node = lambda shift: F.col("conv_id") * 1000 + F.col("turn") + shift
+    s = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"]).select(node(0).alias("source"), node(1).alias("target"))
+    sizes, inside = largest_component(s)
+    steps = graph.path_lengths(inside).agg(F.max("steps").alias("diameter"), F.round(F.sum(F.col("steps") * F.col("n_pairs")) / F.sum("n_pairs"), 6).alias("mean_steps"))
+    whole = sizes.agg(F.count("*").alias("n_components"), (F.count("*") == 1).alias("is_connected"), F.max("size").alias("largest"))
+    return whole.crossJoin(F.broadcast(steps))  # a row each
 
 
 @query(f"""WITH {MESSAGES_SQL}, s AS (SELECT conv_id, min(sim_day) AS start FROM m GROUP BY conv_id), o AS (SELECT conv_id, row_number() OVER (ORDER BY start, conv_id) - 1 AS place FROM s), w AS (SELECT role AS entity, conv_id FROM m GROUP BY ALL) SELECT entity, min(place) AS first_place, count(*) AS n_sessions FROM w JOIN o USING (conv_id) GROUP BY entity""")
