@@ -25,14 +25,28 @@ def anchored(messages: DataFrame, questions: DataFrame) -> DataFrame:
     return messages.join(questions, messages["msg_id"] == questions["anchor"]).select("question_id", "msg_id")
 
 
+def met_in_time(messages: DataFrame, questions: DataFrame, within: str = "1 day", late: str = "2 days") -> DataFrame:
+    """question_id, msg_id (null: none came) of two streams: each question with the message it is anchored at, if it was asked
+    at most `within` after the message. messages: msg_id, event_time; questions: question_id, anchor, asked_time.
+
+    Both streams may come out of order by `late`, in any number of batches, and a message and its question in either order:
+    each side waits in state until the watermark says that nothing can meet it any more. A question that comes later than
+    that is dropped here, as is one still waiting when the streams end: both are among left_over().
+    """
+    m = messages.select("msg_id", "event_time").withWatermark("event_time", late)
+    q = questions.select("question_id", "anchor", "asked_time").withWatermark("asked_time", late)
+    meets = (F.col("anchor") == F.col("msg_id")) & (F.col("asked_time") >= F.col("event_time")) & (F.col("asked_time") <= F.col("event_time") + F.expr(f"INTERVAL {within}"))
+    return q.join(m, meets, "leftOuter").select("question_id", "msg_id")
+
+
 def left_over(questions: DataFrame, asked: DataFrame) -> DataFrame:
     """Questions without an anchor or whose anchor never came, asked at the end, each once."""
     return questions.dropDuplicates(["question_id"]).join(asked, "question_id", "left_anti")
 
 
-def with_event_time(messages: DataFrame, day: str = "sim_day") -> DataFrame:
+def with_event_time(messages: DataFrame, day: str = "sim_day", name: str = "event_time") -> DataFrame:
     """Adds event_time from days since EPOCH."""
-    return messages.withColumn("event_time", F.timestamp_micros((F.unix_micros(F.lit(EPOCH).cast("timestamp")) + F.col(day) * 86_400_000_000).cast("long")))
+    return messages.withColumn(name, F.timestamp_micros((F.unix_micros(F.lit(EPOCH).cast("timestamp")) + F.col(day) * 86_400_000_000).cast("long")))
 
 
 def daily(messages: DataFrame, late: str = "1 day") -> DataFrame:
