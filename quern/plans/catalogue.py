@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import analytics, comparisons, corpora, evaluation, expressions, files, groundtruth, people, permissions, reports, retrieval, scoring, selections, streams, variants
+from quern.plans import analytics, comparisons, corpora, evaluation, evolving, expressions, files, groundtruth, people, permissions, reports, retrieval, scoring, selections, streams, variants
 from quern.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "comparisons", "corpora", "evaluation", "expressions", "files", "groundtruth", "people", "permissions", "reports", "retrieval", "scoring", "selections", "streams", "variants"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "comparisons", "corpora", "evaluation", "evolving", "expressions", "files", "groundtruth", "people", "permissions", "reports", "retrieval", "scoring", "selections", "streams", "variants"]
