@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.functions import text as tx
 from quern.sources.tables import kept
@@ -105,3 +106,29 @@ def keyed_sessions(files: DataFrame) -> DataFrame:
     turns = _exploded(sessions, "turns", ["file", "entry", "session"], pos="position").where(kind(F.col("item")) == "OBJECT")
     text = F.trim(F.coalesce(_first("clean_text", "text"), F.lit("")))
     return turns.select("file", F.col("entry").cast("long").alias("entry"), "session", F.col("position").cast("long").alias("position"), F.coalesce(_get("speaker"), F.lit("")).alias("speaker"), text.alias("text")).where("text <> ''")
+
+
+def messages(spark: SparkSession, path: str) -> DataFrame:
+    """file, msg_id, thread_id, user_id, text, occur_ts, deliver_ts of every message in a folder of transcripts and group chats,
+    told apart by what they hold: an object with an object of `dialogues` (date -> group -> messages) is a chat, on however
+    many lines; any other file is a transcript with an object a line. Lines that are none raise an error.
+
+    A chat's messages are numbered by date, group and place, and named date_group_number where they have no id; times get a
+    T and a Z, and a message without one has its day's start. A transcript's messages without an id are named by their
+    line; delivery defaults to occurrence. A file is read as one row.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value", F.try_parse_json("value").alias("whole"))
+    files = files.withColumn("dialogues", F.expr("try_variant_get(whole, '$.dialogues', 'variant')")).withColumn("chat", F.coalesce(kind(F.col("dialogues")) == "OBJECT", F.lit(False)))
+    dates = _exploded(files.where("chat"), "dialogues", ["file"], key="date").where(kind(F.col("item")) == "OBJECT")
+    groups = _exploded(dates, "item", ["file", "date"], key="group", out="list").where(kind(F.col("list")) == "ARRAY")
+    said = _exploded(groups, "list", ["file", "date", "group"]).where(kind(F.col("item")) == "OBJECT")
+    number = F.row_number().over(Window.partitionBy("file").orderBy("date", "group", "pos")) - 1
+    at = F.replace(F.trim(F.coalesce(_get("time"), F.lit(""))), F.lit(" "), F.lit("T"))
+    at = F.when(at == "", F.concat("date", F.lit("T00:00:00Z"))).when(F.endswith(at, F.lit("Z")) | F.contains(F.substring(at, 11, 99), F.lit("+")), at).otherwise(F.concat(at, F.lit("Z")))
+    chats = said.select("file", F.coalesce(_first("msg_id"), F.concat_ws("_", "date", "group", number)).alias("msg_id"), F.col("group").alias("thread_id"), _get("speaker_id", "long").alias("user_id"), F.coalesce(_first("dialogue", "text", "content"), F.lit("")).alias("text"), at.alias("occur_ts"), at.alias("deliver_ts"))
+    lines = files.where("NOT chat").select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).where("trim(value) <> ''").withColumn("item", F.parse_json("value"))
+    speaker = F.expr("try_variant_get(item, '$.speaker', 'variant')")
+    user = F.when(kind(speaker) == "OBJECT", _get("speaker.user_id", "long")).otherwise(_get("user_id", "long"))
+    occur = _first("occur_ts", "time")
+    told = lines.select("file", F.coalesce(_first("msg_id", "id"), F.format_string("jsonl_%08d", "line")).alias("msg_id"), F.coalesce(_first("thread_id", "group"), F.lit("")).alias("thread_id"), user.alias("user_id"), F.coalesce(_first("text", "dialogue", "content"), F.lit("")).alias("text"), occur.alias("occur_ts"), F.coalesce(_first("deliver_ts"), occur).alias("deliver_ts"))
+    return chats.unionByName(told)

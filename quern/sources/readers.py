@@ -42,10 +42,11 @@ def owner_sessions(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("m").alias("owner", "ids")).select("owner", F.posexplode("ids").alias("position", "session_id"))
 
 
-def instances(spark: SparkSession, pattern: str) -> DataFrame:
-    """Questions of many task files with the task's name, the file's."""
+def instances(spark: SparkSession, pattern: str, task: str = r"([^/]+?)(?:\.jsonl)?(?:\.gz)?$") -> DataFrame:
+    """Questions of many task files with the task's name, which the pattern `task` finds in the file's; lines that are no
+    questions are left out."""
     rows = spark.read.schema(f"{INSTANCE}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(pattern)
-    rows = rows.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.jsonl)?(?:\.gz)?$", 1)).where("_bad IS NULL")
+    rows = rows.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), task, 1)).where("_bad IS NULL")
     return rows.drop("_bad").withColumn("question", F.trim(F.regexp_replace("question", r"\s+", " ")))
 
 
@@ -122,8 +123,8 @@ def result_cells(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("backend", "model", "seed", "d.question_id", true(F.coalesce("d.judge_correct", "d.correct")).alias("correct"), "d.label")
 
 
-def checked_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """name, expected, found, fine of every file of a manifest (name, sha256)."""
+def checked_files(spark: SparkSession, path: str, manifest: DataFrame, parts: int = 1) -> DataFrame:
+    """name, expected, found, fine of every file of a manifest (name: the last `parts` parts of its path, sha256)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+    found = files.select(F.substring_index("path", "/", -parts).alias("name"), F.sha2("content", 256).alias("found"))
     return manifest.join(found, "name", "left").select("name", F.col("sha256").alias("expected"), "found", F.coalesce(F.lower("sha256") == F.col("found"), F.lit(False)).alias("fine"))

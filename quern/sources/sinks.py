@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """JSON lines, one object a row."""
-    df.write.mode("overwrite").json(path)
+def write_lines(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """JSON lines, one object a row, in folders by `by`."""
+    out = df.write.mode("overwrite")
+    (out.partitionBy(*by) if by else out).json(path)
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None, order: list[str] | None = None) -> None:
@@ -30,6 +31,6 @@ def upserted(rows: DataFrame, updates: DataFrame, key: str, order: str) -> DataF
     return both.select(known.alias(key), F.col(order), *[F.when(F.col("_key").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in values]).select(*rows.columns)
 
 
-def manifest(df: DataFrame) -> DataFrame:
-    """name, sha256 of files read as binaryFile."""
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+def manifest(df: DataFrame, parts: int = 1) -> DataFrame:
+    """name (the last `parts` parts of the path), sha256 of files read as binaryFile."""
+    return df.select(F.substring_index("path", "/", -parts).alias("name"), F.sha2("content", 256).alias("sha256"))
