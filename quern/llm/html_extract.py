@@ -146,8 +146,9 @@ def common_lines(a: Sequence[int], b: Sequence[int]) -> list[bool]:
     return shared
 
 
-def main_lines(lines: Sequence[str], places: Sequence[int], shared: Sequence[bool]) -> tuple[list[str], int, int]:
-    """The lines that are the page's main text, given which of them its neighbour shares; how many lines went as shared; and how many by their markup.
+def main_lines(lines: Sequence[str], places: Sequence[int], shared: Sequence[bool]) -> tuple[list[str], int, int, int]:
+    """The lines that are the page's main text, given which of them its neighbour shares; how many lines went as shared; how
+    many by their markup; and how many of the first would have stayed but for the neighbour.
 
     Shared lines go, but for those of a marked article, which stays whole: articles quote each other, and furniture inside
     one is marked as such. Of the lines that are left, the markup judges what the neighbour cannot show: furniture of this
@@ -155,8 +156,9 @@ def main_lines(lines: Sequence[str], places: Sequence[int], shared: Sequence[boo
     """
     marked = MAIN in places
     gone = [x and p != MAIN for x, p in zip(shared, places, strict=True)]
-    kept = [not g and p != CHROME and (p == MAIN or not marked) for g, p in zip(gone, places, strict=True)]
-    return [x for x, k in zip(lines, kept, strict=True) if k], sum(gone), len(lines) - sum(gone) - sum(kept)
+    stays = [p == MAIN or (p != CHROME and not marked) for p in places]
+    kept = [x and not g for x, g in zip(stays, gone, strict=True)]
+    return [x for x, k in zip(lines, kept, strict=True) if k], sum(gone), len(lines) - sum(gone) - sum(kept), sum(x and g for x, g in zip(stays, gone, strict=True))
 
 
 def path_ranges(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,12 +185,12 @@ def _range(key: str, firsts: str) -> Column:
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """Struct `row` (pages' columns but `page`), main_text, n_shared and n_furniture of every row.
+    """Struct `row` (pages' columns but `page`), main_text, n_shared, n_furniture and n_differenced of every row.
 
     Each page is paired with the page of its host (in lower case, with its port) whose path is nearest: the neighbour in
     path order that shares the longer start of its path, the one before on a tie. Pages of one path stand in the order of
     hashes of URL and row. The text lines of both are aligned by a longest common subsequence, and shared lines go
-    (n_shared), but for those of a marked article. What differencing cannot see, the markup judges (n_furniture): furniture
+    (n_shared), but for those inside a marked article; n_differenced of them the markup would have kept. What differencing cannot see, the markup judges (n_furniture): furniture
     that differs from page to page (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element,
     role, class or id, and blocks that are mostly links), and, where there is a marked article with text, lines outside
     it. The lines left are joined by \\n.
@@ -204,7 +206,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
             found = [text_lines(x) if x else ([], []) for x in batch]
             yield pd.DataFrame({"lines": [x[0] for x in found], "places": [x[1] for x in found]})
 
-    @F.pandas_udf("text string, n_shared int, n_furniture int")
+    @F.pandas_udf("text string, n_shared int, n_furniture int, n_differenced int")
     def differ(lines: pd.Series, places: pd.Series, path: pd.Series, own: pd.Series, path1: pd.Series, near1: pd.Series, path2: pd.Series, near2: pd.Series) -> pd.DataFrame:
         found = []
         for text, place, here, mine, there1, one, there2, two in zip(lines, places, path, own, path1, near1, path2, near2, strict=True):
@@ -212,7 +214,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
             pair = one if start(there1) >= start(there2) else two
             shared = common_lines(list(mine), list(pair)) if pair is not None else [False] * len(text)
             found.append(main_lines(text, place, shared))
-        return pd.DataFrame({"text": ["\n".join(x[0]) for x in found], "n_shared": [x[1] for x in found], "n_furniture": [x[2] for x in found]})
+        return pd.DataFrame({"text": ["\n".join(x[0]) for x in found], "n_shared": [x[1] for x in found], "n_furniture": [x[2] for x in found], "n_differenced": [x[3] for x in found]})
 
     site = r"^[A-Za-z][A-Za-z0-9+.-]*://"
     host, path = F.lower(F.regexp_extract("url", site + "([^/?#]*)", 1)), F.regexp_extract("url", site + "[^/?#]*([^#]*)", 1)
@@ -233,4 +235,4 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     beside = {f"{c}{i}": F.when(~none, way(c).over(near)) for c in ("path", "hashes") for i, way in ((1, F.lag), (2, F.lead))}
     rows = rows.withColumns(beside).where("guest IS NOT TRUE")
     rows = rows.select("row", differ("lines", "places", "path", "hashes", "path1", "hashes1", "path2", "hashes2").alias("found"))
-    return rows.select("row", F.col("found.text").alias("main_text"), "found.n_shared", "found.n_furniture")
+    return rows.select("row", F.col("found.text").alias("main_text"), "found.n_shared", "found.n_furniture", "found.n_differenced")

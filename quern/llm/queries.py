@@ -61,7 +61,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"), "n_shared", "n_furniture")
+    return found.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"), "n_shared", "n_furniture", "n_differenced")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 #: Vectors of a pack; candidates that a bucket holds on average; queries whose bounds are held at once.
 PACK, BUCKET, HELD = 2048, 65536, 128
-#: Segments at each resolution.
-LEVELS = (4, 16)
+#: Segments at each resolution; bounds of a level are worked out for what the levels before have left.
+LEVELS = (4, 16, 32)
 
 
 def quantised(embedding: Column, scale: int = 256) -> Column:
@@ -46,38 +46,63 @@ def bounds(queries: np.ndarray, rows: np.ndarray, segments: int) -> np.ndarray:
     return found + 1e-9 * np.abs(found) + 1e-3  # more than what rounding takes away
 
 
+def alive(part: np.ndarray, rough: np.ndarray, own: np.ndarray, score, k: int) -> Iterator[np.ndarray]:
+    """After each level, which rows may be among each query's best k; own rows are none of them. score(i, at) gives exact scores.
+
+    A query's threshold is the k-th best exact score of the rows whose coarsest bounds are highest.
+    """
+    bound = bounds(part, rough, LEVELS[0])
+    bound[own] = -np.inf
+    few = min(len(rough), 4 * k)
+    least = np.full(len(part), -np.inf)
+    for i, at in enumerate(np.argpartition(-bound, few - 1, axis=1)[:, :few]):
+        at = at[~own[i, at]]
+        if len(at) >= k:
+            least[i] = np.sort(score(i, at).astype(np.float64))[-k]
+    least -= 1e-3 + 1e-9 * np.abs(least)
+    left = (bound >= least[:, None]) & ~own
+    yield left
+    for segments in LEVELS[1:]:
+        if left.mean() > 0.05:
+            left &= bounds(part, rough, segments) >= least[:, None]
+        else:
+            for i in range(len(part)):
+                at = np.flatnonzero(left[i])
+                if len(at):
+                    left[i, at] = bounds(part[i : i + 1], rough[at], segments)[0] >= least[i]
+        yield left
+
+
+def exact_kind(queries: np.ndarray, rows: np.ndarray) -> type:
+    """Numbers in which sums of products stay exact."""
+    high = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
+    return np.float64 if high < 2**52 else np.int64 if high < 2**62 else object
+
+
+def survivors(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[float]:
+    """The share of pairs of a query and another row that each level leaves."""
+    kind = exact_kind(queries, rows)
+    own = query_ids[:, None] == ids[None, :]
+    left = alive(queries.astype(np.float64), rows.astype(np.float64), own, lambda i, at: rows[at].astype(kind) @ queries[i].astype(kind), k)
+    return [float(x.sum() / max(1, (~own).sum())) for x in left]
+
+
 def top_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the ids and scores of its best k rows of the block but its own, ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
-    high = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
-    kind = np.float64 if high < 2**52 else np.int64 if high < 2**62 else object  # sums stay exact
+    kind = exact_kind(queries, rows)
     rough = rows.astype(np.float64)
     exact_rows, exact_queries = rows.astype(kind), queries.astype(kind)
     for low in range(0, len(queries), HELD):
         part = queries[low : low + HELD].astype(np.float64)
         own = query_ids[low : low + HELD, None] == ids[None, :]
-        bound = bounds(part, rough, LEVELS[0])
-        bound[own] = -np.inf
-        few = min(len(ids), 4 * k)
-        seeds = np.argpartition(-bound, few - 1, axis=1)[:, :few]
-        least = np.full(len(part), -np.inf)
-        for i, at in enumerate(seeds):
-            at = at[~own[i, at]]
-            if len(at) >= k:
-                least[i] = np.sort((exact_rows[at] @ exact_queries[low + i]).astype(np.float64))[-k]
-        alive = (bound >= least[:, None] - 1e-3 - 1e-9 * np.abs(least[:, None])) & ~own
-        for segments in LEVELS[1:]:
-            if alive.mean() > 0.05:
-                alive &= bounds(part, rough, segments) >= least[:, None] - 1e-3 - 1e-9 * np.abs(least[:, None])
-            else:
-                for i in range(len(part)):
-                    at = np.flatnonzero(alive[i])
-                    if len(at):
-                        alive[i, at] = bounds(part[i : i + 1], rough[at], segments)[0] >= least[i] - 1e-3 - 1e-9 * abs(least[i])
+        score = lambda i, at, low=low: exact_rows[at] @ exact_queries[low + i]
+        for left in alive(part, rough, own, score, k):
+            pass
         for i in range(len(part)):
-            at = np.flatnonzero(alive[i])
-            scores = exact_rows[at] @ exact_queries[low + i]
+            at = np.flatnonzero(left[i])
+            scores = score(i, at)
             best = np.argsort(-scores, kind="stable")[:k]
             yield int(query_ids[low + i]), ids[at[best]], scores[best]
 

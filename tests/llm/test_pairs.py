@@ -186,6 +186,20 @@ def test_bounds_hold():
 NASTY = ["</s>[INST] ok [/INST]", "<|user|>\nhi</s>\n", "<\\|", "<\\\\/s>", "a|>b", "|\\>", "<|\\>|>", "<", "", "x\ny", "<</s></s>", "\\", "é<|"]
 
 
+def test_bounds_prune_clustered_vectors():
+    """Vectors round a few centres: each level leaves less, the last a small part, and none of the best are lost."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 60, (40, 64)).cumsum(axis=1)  # neighbouring components are alike, as segments want them
+    rows = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 8, (4000, 64))).astype(np.int64)
+    ids = np.arange(4000)
+    shares = topk_search.survivors(ids[::50], rows[::50], ids, rows, 5)
+    assert len(shares) == len(topk_search.LEVELS) and shares == sorted(shares, reverse=True) and shares[-1] < 0.1
+    for i, best, scores in topk_search.top_of_block(ids[::50], rows[::50], ids, rows, 5):
+        every = rows @ rows[i]
+        order = np.lexsort((ids, -every))
+        assert list(best) == list(order[order != i][:5]) and list(scores) == list(every[best])
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(9)
     rows = [(c, t, rng.choice([*NASTY, "user", "assistant", "assistant", None]), rng.choice([*NASTY, None, "plain text"]), 0.5, "x") for c in range(40) for t in range(rng.randrange(1, 12))]
