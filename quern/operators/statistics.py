@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.sources.tables import kept
+
 
 def kappa(pairs: DataFrame, groups: list[str], certain: float | None = None) -> DataFrame:
     """groups, n, agreement, kappa of rows (groups, a, b); kappa is `certain` (null, or 1) where chance agreement is 1."""
@@ -17,18 +19,35 @@ def kappa(pairs: DataFrame, groups: list[str], certain: float | None = None) ->
     return found.select(*groups, "n", F.round("agreement", 6).alias("agreement"), F.round(F.when(share < 1, (F.col("agreement") - share) / (1 - share)).otherwise(F.lit(certain).cast("double")), 6).alias("kappa"))
 
 
+#: Buckets of values that are sorted apart, at about equal shares of the distinct values.
+BUCKETS = 50
+
+
+def sums_below(counts: DataFrame, value: str, by: list[str], n: str, out: str) -> DataFrame:
+    """counts (distinct in by and value) with `out`: the sum of n over the smaller values of the group.
+
+    Each bucket of neighbouring values is sorted for itself; only the buckets' totals, BUCKETS a group, are summed in one
+    task. Where the buckets end is estimated, which the sums do not depend on."""
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("cuts"))
+    rows = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))  # without groups, one row
+    rows = rows.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    totals = rows.groupBy(*by, "bucket").agg(F.sum(n).alias("total"))
+    before = F.sum("total").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("total")
+    inside = F.sum(n).over(Window.partitionBy(*by, "bucket").orderBy(value)) - F.col(n)
+    return rows.withColumn("inside", inside).join(totals.select(*by, "bucket", before.alias("before")), [*by, "bucket"]).withColumn(out, F.col("before") + F.col("inside")).drop("bucket", "inside", "before")
+
+
 def average_ranks(counts: DataFrame, value: str, by: list[str], rank: str) -> DataFrame:
     """by, value, rank: the ranks from 1 of the values of rows counted in n, ties sharing the mean of theirs. Only distinct
     values are sorted."""
-    n = counts.groupBy(*by, value).agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.select(*by, value, (before + (F.col("n") + 1) / 2.0).alias(rank))
+    n = sums_below(counts.groupBy(*by, value).agg(F.sum("n").alias("n")), value, by, "n", "below")
+    return n.select(*by, value, (F.col("below") + (F.col("n") + 1) / 2.0).alias(rank))
 
 
 def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Pearson correlation of average ranks per group; null where one side is constant. Rows are counted by their pair of
-    values before anything is sorted or joined."""
-    pairs = rows.groupBy(*by, a, b).agg(F.count("*").alias("n"))
+    values before anything is sorted or joined, and these counts, which five steps read, are written once."""
+    pairs = kept(rows.groupBy(*by, a, b).agg(F.count("*").alias("n")), "pairs")
     ranks = pairs.join(average_ranks(pairs, a, by, "ra"), [*by, a]).join(average_ranks(pairs, b, by, "rb"), [*by, b])
     total = lambda x: F.sum(F.col("n") * x)
     n, ra, rb = F.sum("n"), F.col("ra"), F.col("rb")
@@ -42,8 +61,7 @@ def auc(rows: DataFrame, positive: Column, score: str) -> DataFrame:
     """Chance that a positive row scores over another one, ties half; 0.5 if a side is empty. Ranks come from one
     aggregate over distinct scores, so equal scores do not meet in pairs."""
     counts = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("u"))
-    below = F.coalesce(F.sum("u").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("wins", F.col("p") * (below + F.col("u") / 2.0))
+    wins = sums_below(counts, "s", [], "u", "below").withColumn("wins", F.col("p") * (F.col("below") + F.col("u") / 2.0))
     return wins.agg(F.sum("p").alias("n_positive"), F.sum("u").alias("n_other"), F.round(F.coalesce(F.try_divide(F.sum("wins"), F.sum("p") * F.sum("u")), F.lit(0.5)), 6).alias("auc"))
 
 

@@ -26,10 +26,23 @@ FROM e a JOIN e b ON a.entity = b.entity AND a.user_id % 50 = b.user_id % 50 AND
 def coref_first_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first later mention of an entity by another user of the same circle, two days on at least."""
     e = mentions(spark, sf_dir).withColumn("circle", F.col("user_id") % 50)
-    a, b = e.alias("a"), e.alias("b")
-    p = a.join(b, ["entity", "circle"]).where("a.user_id <> b.user_id AND b.day - a.day >= 2")
-    first = p.groupBy(F.col("a.event_id").alias("antecedent"), "entity").agg(F.min(F.struct(F.col("b.day").alias("day"), F.col("b.event_id").alias("reference"))).alias("m"), F.first("a.day").alias("from_day"))
-    return first.select("antecedent", "entity", "m.reference", (F.col("m.day") - F.col("from_day")).alias("gap"))
+    # Antecedents stand, two days on, before the mentions of that day. The mention that follows is the reference unless it is
+    # the antecedent's user's, and then the one that begins the next run of mentions by another user is.
+    mention = F.struct("day", "event_id", "user_id")
+    rows = e.select("entity", "circle", F.col("day").alias("at"), F.col("event_id").alias("place"), mention.alias("m"), F.lit(False).alias("asks"))
+    rows = rows.unionByName(e.select("entity", "circle", (F.col("day") + 2).alias("at"), F.lit(None).cast("long").alias("place"), mention.alias("m"), F.lit(True).alias("asks")))
+    order = Window.partitionBy("entity", "circle").orderBy("at", "place")
+    ahead = order.rowsBetween(1, Window.unboundedFollowing)
+    told = F.when(~F.col("asks"), F.col("m"))
+    last = F.last(told, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("start", F.when(~F.col("asks") & (last.isNull() | (last["user_id"] != F.col("m.user_id"))), F.col("m")))
+    rows = rows.withColumns({"next": F.first(told, True).over(ahead), "run": F.first("start", True).over(ahead)})
+    # where the next mention begins a run itself, the run after it is wanted: it is the next mention's own
+    after = rows.where("NOT asks").select(F.col("m.event_id").alias("event_id"), F.col("run").alias("after"))
+    asked = rows.where("asks AND next IS NOT NULL").join(after, F.col("next.event_id") == F.col("event_id"))
+    found = F.when(F.col("next.user_id") != F.col("m.user_id"), F.col("next")).otherwise(F.col("after"))
+    asked = asked.select(F.col("m.event_id").alias("antecedent"), "entity", found.alias("r"), F.col("m.day").alias("from_day")).where("r IS NOT NULL")
+    return asked.select("antecedent", "entity", F.col("r.event_id").alias("reference"), (F.col("r.day") - F.col("from_day")).alias("gap"))
 
 
 SPLIT = "list_filter(string_split_regex(lower({x}), '[ \\t\\n\\r]+'), lambda x: x <> '')"
