@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions import maths, spans, stems
+from quern.functions import fixed, maths, spans, stems
 from quern.operators import retrieval as rt
 from quern.plans.evaluation import SCORE_SQL, score_case
 from quern.plans.registry import query
@@ -137,6 +137,27 @@ def question_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", shown.alias("problems"), stems.keeps_a_cue(F.col("q"), ["walking"], STOP).alias("keeps_cue"))
 
 
+STEMMED = f"""k AS (SELECT conv_id, side, unnest(regexp_extract_all(low, '[a-z0-9]+(?:''[a-z]+)*')) AS x, generate_subscripts(regexp_extract_all(low, '[a-z0-9]+(?:''[a-z]+)*'), 1) AS i FROM halves),
+b AS (SELECT conv_id, side, i, regexp_replace(CASE x WHEN 'can''t' THEN 'can' WHEN 'won''t' THEN 'will' WHEN 'shan''t' THEN 'shall' ELSE x END, '(?:n''t|''s|''re|''ve|''ll|''d|''m)$', '') AS w FROM k), f AS (SELECT * FROM b WHERE length(w) >= 2 AND NOT list_contains({_list(STOP)}, w)), {STEM_SQL.replace("{src}", "f")},
+g AS (SELECT conv_id, side, stem, arg_min(w, i) AS word FROM stemmed WHERE NOT list_contains({_list(STOP)}, stem) GROUP BY ALL)"""
+BANNED = " || ".join(rf"CASE WHEN regexp_matches(low, '\b{cue.replace(chr(39), chr(39) * 2)}') THEN 'banned:{cue.replace(chr(39), chr(39) * 2)};' ELSE '' END" for cue in fixed.SECRECY_CUES)
+
+
+@query(rf"""WITH q AS (SELECT item_id, substr(text, length(text) // 3 + 1) || CASE WHEN item_id % 2 = 0 THEN '?' ELSE '' END AS q, left(text, length(text) // 3 * 2) AS fact, string_split(text, ' ')[1] AS target FROM benchmark),
+halves AS (SELECT item_id AS conv_id, 'q' AS side, replace(replace(lower(q), '’', ''''), '‘', '''') AS low FROM q UNION ALL SELECT item_id, 'f', replace(replace(lower(fact), '’', ''''), '‘', '''') FROM q), {STEMMED},
+o AS (SELECT x.conv_id AS item_id, string_agg('content:' || x.word || ';', '' ORDER BY x.stem) AS shared FROM g x JOIN g y ON y.conv_id = x.conv_id AND y.stem = x.stem AND x.side = 'q' AND y.side = 'f' GROUP BY x.conv_id),
+w AS (SELECT *, replace(lower(q), '’', '''') AS low, list_distinct(list_filter(string_split_regex(lower(q), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(fact), '\s+'), lambda x: x <> '')) AS b FROM q)
+SELECT item_id, coalesce(shared, '') || CASE WHEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) > 0.3 THEN 'jaccard:too like the fact;' ELSE '' END || {BANNED}
+|| CASE WHEN NOT contains(' ' || regexp_replace(q, '[^A-Za-z0-9_]', ' ', 'g') || ' ', ' ' || target || ' ') THEN 'form:does not name the target;' ELSE '' END || CASE WHEN regexp_matches(q, '[{{}}]') THEN 'form:unfilled placeholder;' ELSE '' END || CASE WHEN NOT contains(q, '?') THEN 'form:not a question;' ELSE '' END AS problems FROM w LEFT JOIN o USING (item_id)""")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with questions made of the later two thirds of benchmark texts, whose facts are the first two thirds."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    q = F.concat(F.substring("text", third + 1, F.length("text")), F.when(F.col("item_id") % 2 == 0, "?").otherwise(""))
+    b = table(spark, sf_dir, "benchmark").select("item_id", q.alias("q"), F.substring("text", F.lit(1), third * 2).alias("fact"), F.split("text", " ")[0].alias("target"))
+    found = stems.query_problems(F.col("q"), F.col("fact"), F.col("target"), STOP, [], 0.3)
+    return b.select("item_id", F.array_join(F.transform(found, lambda x: F.concat(x["check"], F.lit(":"), x["detail"], F.lit(";"))), "").alias("problems"))
+
+
 @query("""WITH t AS (SELECT conv_id, turn, role, length(text) AS n, text FROM conversations) SELECT conv_id, turn, '{"a": "' || role || '", "b": [' || turn || ']}' AS repaired, '{"a": [' || turn || ', {"b": "x]y"}]}' AS balanced, [role, 'v ' || turn] AS leaves, CASE WHEN n > 0 THEN greatest(1, n // 4) ELSE 0 END AS tokens, left(text, 40) AS short FROM t""")
 def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON put right, found in prose, and walked for its strings; token estimates and texts cut to ten tokens."""
