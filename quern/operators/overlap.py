@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions.text import once
+
 #: Fixed value: what stands for no match at all in the precision of one length (BLEU's first smoothing method).
 EPSILON = 0.1
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """The n-grams of an array of words, each with its n in front; none where there are fewer words than n."""
-    gram = lambda i: F.concat(F.lit(f"{n} "), F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), gram)).otherwise(F.array().cast("array<string>"))
+def ngrams(hashes: Column, n: int) -> Column:
+    """The n-grams of an array of words' hashes, each as n and 128 bits; none where there are fewer words than n."""
+    parts = lambda i: [F.get(hashes, i + k) for k in range(n)]
+    gram = lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(*[x["a"] for x in parts(i)]).alias("a"), F.xxhash64(F.lit(n), *[x["b"] for x in parts(i)]).alias("b"))
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), gram))
 
 
 def self_bleu(texts: DataFrame, most: int = 4) -> DataFrame:
@@ -23,16 +26,19 @@ def self_bleu(texts: DataFrame, most: int = 4) -> DataFrame:
     tell this for every text, so the work is linear in n-grams and no two texts ever meet: the greatest count, and how
     many texts have it, then the one below. The reference of closest length (the shorter of two) is the text's own length
     if another text has it, else a neighbour among the group's distinct lengths. A text without a matching word has 0, as
-    has one without words; the only text of a group has null. ids are unique in a group; null words do not count.
+    has one without words; the only text of a group has null. ids are unique in a group; null words do not count. N-grams
+    are told apart by 128 bits of their words' hashes.
     """
     rows = texts.select("grp", "id", F.filter("words", lambda w: w.isNotNull()).alias("words")).withColumn("n_words", F.size("words"))
-    every = F.concat(*[ngrams(F.col("words"), n) for n in range(1, most + 1)])
-    counts = rows.select("grp", "id", F.explode(every).alias("gram")).groupBy("grp", "id", "gram").agg(F.count("*").alias("c"))
-    levels = counts.groupBy("grp", "gram", "c").agg(F.count("*").alias("k"))
+    hashes = F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(1), w).alias("b")))
+    every = once(hashes, lambda h: F.flatten(F.array_compact(F.array(*[ngrams(h, n) for n in range(1, most + 1)]))))  # not once an n-gram
+    gram = ["n", "a", "b"]
+    counts = rows.select("grp", "id", F.inline(every)).groupBy("grp", "id", *gram).agg(F.count("*").alias("c"))
+    levels = counts.groupBy("grp", *gram, "c").agg(F.count("*").alias("k"))
     # an n-gram has few distinct counts, as they add up to its occurrences
-    top = levels.groupBy("grp", "gram").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "k")), asc=False), 1, 2).alias("top"))
+    top = levels.groupBy("grp", *gram).agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "k")), asc=False), 1, 2).alias("top"))
     most_of_others = F.when((F.col("c") < F.col("top")[0]["c"]) | (F.col("top")[0]["k"] > 1), F.col("top")[0]["c"]).otherwise(F.coalesce(F.get("top", F.lit(1))["c"], F.lit(0)))
-    clipped = counts.join(top, ["grp", "gram"]).select("grp", "id", F.substring_index("gram", " ", 1).cast("int").alias("n"), F.least("c", most_of_others).alias("hit"))
+    clipped = counts.join(top, ["grp", *gram]).select("grp", "id", "n", F.least("c", most_of_others).alias("hit"))
     hits = clipped.groupBy("grp", "id").pivot("n", list(range(1, most + 1))).agg(F.sum("hit"))
     by_length = Window.partitionBy("grp").orderBy("n_words")
     lengths = rows.groupBy("grp", "n_words").agg(F.count("*").alias("k")).withColumns({"low": F.lag("n_words").over(by_length), "high": F.lead("n_words").over(by_length)})
