@@ -88,7 +88,7 @@ def _refused(text: str) -> str:
 
 
 @query(rf"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, conv_id % 8 AS k FROM conversations),
-i AS (SELECT *, CASE k WHEN 1 THEN '1A 2b x 10C' WHEN 4 THEN upper(text) WHEN 5 THEN array_to_string(string_split(text, ' ')[2:4], ' ') ELSE before END AS gold, CASE k WHEN 1 THEN 'so: {{"answer": "1' || chr((65 + turn % 4)::INTEGER) || ' 2:B"}} 2C' WHEN 2 THEN 'I cannot share: ' || text ELSE text END AS said FROM t),
+i AS (SELECT *, CASE k WHEN 1 THEN '1A 2b x 10C' WHEN 4 THEN '  ' || text || ' ' WHEN 5 THEN array_to_string(string_split(text, ' ')[2:4], ' ') ELSE before END AS gold, CASE k WHEN 1 THEN 'so: {{"answer": "1' || chr((65 + turn % 4)::INTEGER) || ' 2:B"}} 2C' WHEN 2 THEN 'I cannot share: ' || text ELSE text END AS said FROM t),
 n AS (SELECT *, lower(trim(regexp_replace(coalesce(gold, ''), '\s+', ' ', 'g'))) AS want, lower(trim(regexp_replace(said, '\s+', ' ', 'g'))) AS have FROM i),
 w AS (SELECT conv_id, turn, unnest(list_filter(string_split(have, ' '), lambda x: x <> '')) AS x, 'p' AS side FROM n UNION ALL SELECT conv_id, turn, unnest(list_filter(string_split(want, ' '), lambda x: x <> '')), 'g' FROM n),
 m AS (SELECT conv_id, turn, x, least(count(*) FILTER (WHERE side = 'p'), count(*) FILTER (WHERE side = 'g')) AS c, count(*) AS a FROM w GROUP BY ALL),
@@ -107,7 +107,7 @@ def plain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = table(spark, sf_dir, "conversations"), F.col("conv_id") % 8
     t = c.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     some = F.array_join(F.slice(F.split("text", " "), 2, 3), " ")
-    gold = F.when(k == 1, "1A 2b x 10C").when(k == 4, F.upper("text")).when(k == 5, some).otherwise(F.col("before"))
+    gold = F.when(k == 1, "1A 2b x 10C").when(k == 4, F.concat(F.lit("  "), "text", F.lit(" "))).when(k == 5, some).otherwise(F.col("before"))
     letter = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("turn") % 4 + 1).cast("int"))
     said = F.when(k == 1, F.concat(F.lit('so: {"answer": "1'), letter, F.lit(' 2:B"} 2C'))).when(k == 2, F.concat(F.lit("I cannot share: "), "text")).otherwise(F.col("text"))
     kind = F.when(k == 0, "multiple_choice").when(k == 1, "cloze").otherwise("open_ended")
