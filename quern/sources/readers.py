@@ -128,3 +128,24 @@ def checked_files(spark: SparkSession, path: str, manifest: DataFrame, parts: in
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     found = files.select(F.substring_index("path", "/", -parts).alias("name"), F.sha2("content", 256).alias("found"))
     return manifest.join(found, "name", "left").select("name", F.col("sha256").alias("expected"), "found", F.coalesce(F.lower("sha256") == F.col("found"), F.lit(False)).alias("fine"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value of text files: line counts all lines from 0, blank ones too, through the files in order of their names.
+
+    Each split of a file is counted and numbered for itself; only the splits' counts, a row per split, are summed up in one
+    task. A file that no split can divide, such as a compressed one, is numbered in one task.
+    """
+    m = F.col("_metadata")
+    rows = spark.read.option("lineSep", "\n").text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return rows.withColumn("inside", inside).join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("inside") - 1).alias("line"), "value")
+
+
+def agent_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """agent, line: the last line of a list of agents, as JSON lines, that describes the agent; blank and bad lines count as lines."""
+    rows = numbered_lines(spark, path).select("line", F.from_json("value", "agent_id string, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
+    agent = F.trim("j.agent_id")
+    return rows.where(F.col("j._bad").isNull() & (agent != "")).groupBy(agent.alias("agent")).agg(F.max("line").alias("line"))
