@@ -144,13 +144,13 @@ def activity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("event_id", F.explode(keys).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_facts"), F.max("event_id").alias("latest"), F.lit(0.9).alias("confidence"))
 
 
-@query("""WITH n AS (SELECT c_custkey AS a FROM customer), k AS (SELECT count(*) AS k FROM customer), e AS (SELECT DISTINCT o_custkey AS a, (o_orderkey * 7 + o_custkey) % k + 1 AS b FROM orders, k WHERE o_totalprice > 200000),
+@query("""WITH n AS (SELECT c_custkey AS a FROM customer), k AS (SELECT count(*) AS k FROM customer), e AS (SELECT DISTINCT o_custkey AS a, (o_orderkey * 7 + o_custkey) % k + 1 AS b FROM orders, k),
 d AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b) SELECT x.a AS knower, count(d.b) AS n_close, max(k) - 1 - count(d.b) AS n_strangers FROM n x CROSS JOIN k LEFT JOIN (SELECT d.* FROM d JOIN n ON n.a = d.b) d ON d.a = x.a GROUP BY x.a""")
 def social_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many each customer knows by an edge and how many as strangers: strangers are all but the neighbours, so they are counted, not listed."""
     n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"))
     k = n.agg(F.count("*").alias("k"))  # one row
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 200000").crossJoin(k).select(F.col("o_custkey").alias("a"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % F.col("k") + 1).alias("b")).where("a <> b")
+    o = table(spark, sf_dir, "orders").crossJoin(k).select(F.col("o_custkey").alias("a"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % F.col("k") + 1).alias("b")).where("a <> b")
     d = o.unionByName(o.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().join(n.select(F.col("a").alias("b")), "b", "left_semi").groupBy("a").agg(F.count("*").alias("n_close"))
     found = n.join(d, "a", "left").fillna(0).crossJoin(k)
     return found.select(F.col("a").alias("knower"), "n_close", (F.col("k") - 1 - F.col("n_close")).alias("n_strangers"))

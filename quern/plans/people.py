@@ -263,11 +263,11 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.count("*").alias("n_egos"), F.round(F.avg("s"), 4).alias("sessions"), F.min("s").alias("sessions_min"), F.max("s").alias("sessions_max"), F.round(F.avg("t"), 4).alias("turns"), F.round(F.avg("k"), 4).alias("tokens"), F.sum("k").alias("tokens_total"), F.round(F.sum("k") / 15, 4).alias("tokens_a_day"))
 
 
-@query("""SELECT doc_id AS id, 'fact' AS kind, source AS said FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT item_id, 'feeling', left(text, 20) FROM benchmark UNION ALL SELECT vec_id, 'public', NULL FROM embeddings""")
+@query("""SELECT doc_id AS id, 'fact' AS kind, source AS said FROM documents UNION ALL SELECT item_id, 'feeling', text FROM benchmark UNION ALL SELECT vec_id, 'public', NULL FROM embeddings""")
 def united_loaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts, feelings and public items as rows of one shape; what one kind lacks is null."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("fact").alias("kind"), F.col("source").alias("said"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("feeling").alias("kind"), F.left("text", F.lit(20)).alias("said"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("fact").alias("kind"), F.col("source").alias("said"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("feeling").alias("kind"), F.col("text").alias("said"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("public").alias("kind"))
     return d.unionByName(b).unionByName(v, allowMissingColumns=True)
 

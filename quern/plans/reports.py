@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from quern.functions import fixed, maths, spans, stems
 from quern.operators import retrieval as rt
+from quern.operators import statistics
 from quern.plans.evaluation import SCORE_SQL, score_case
 from quern.plans.registry import query
 from quern.plans.retrieval import ASKED, TURNS, asked, bm25_sql, turns
 from quern.plans.scoring import _list
-from quern.sources.tables import messages, table
+from quern.sources.tables import kept, messages, table
 
 
 @query(f"WITH s AS ({SCORE_SQL}) SELECT dimension, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg(score), 6) AS mean_score, list_sort(list(score))[count(*) // 2 + 1] AS upper_median, round(avg(correct::INT) FILTER (WHERE mode = 'abstain'), 6) AS deny_accuracy, round(avg(correct::INT) FILTER (WHERE mode = 'disclose'), 6) AS disclose_accuracy FROM s GROUP BY dimension")
@@ -39,12 +40,14 @@ def percentile_of(values: Column, share: float, way: str) -> Column:
 def drawn_means(rows: DataFrame, by: list[str], value: str, draws: int, seed: str) -> DataFrame:
     """by, b, mean: means of `draws` samples with replacement of each group's rows (numbered by k, from 0, within it).
 
-    Draw i of sample b takes the row whose number is a hash of (seed, b, i) modulo the group's size, so no state is kept;
-    draws are dealt over tasks by (group, b) and meet rows in one equi-join."""
+    Draw i of sample b takes the row whose number is a hash of (seed, b, i) modulo the group's size, so no state is kept.
+    Each row stands for the draw of its number, so draws are dealt out as rows are; those of one row are counted before they
+    meet it. Null values are drawn but do not count."""
     n = rows.groupBy(*by).agg(F.count("*").alias("m"))
-    wanted = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    wanted = rows.select(*by, F.col("k").alias("i")).join(n, by).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long")
-    return wanted.select(*by, "b", (key % F.col("m")).alias("k")).join(rows.select(*by, "k", value), [*by, "k"]).groupBy(*by, "b").agg(F.avg(value).alias("mean"))
+    times = wanted.groupBy(*by, "b", (key % F.col("m")).alias("k")).agg(F.count("*").alias("times"))
+    return times.join(rows.select(*by, "k", value), [*by, "k"]).groupBy(*by, "b").agg((F.sum(F.col(value) * F.col("times")) / F.sum(F.when(F.col(value).isNotNull(), F.col("times")))).alias("mean"))
 
 
 BOOT_SQL = """a AS (SELECT lang, doc_id % 2 AS k_docs, quality, row_number() OVER (PARTITION BY lang, doc_id % 2 ORDER BY doc_id) - 1 AS k FROM labels JOIN documents USING (doc_id)), n AS (SELECT lang, k_docs, count(*) AS m FROM a GROUP BY ALL),
@@ -57,8 +60,8 @@ def iid_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means per budget and dimension with intervals from rows drawn anew, by each way to cut a percentile."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     a = table(spark, sf_dir, "labels").join(docs, "doc_id").select("lang", (F.col("doc_id") % 2).alias("k_docs"), "quality", "doc_id")
-    a = a.withColumn("k", (F.row_number().over(Window.partitionBy("lang", "k_docs").orderBy("doc_id")) - 1).cast("long"))
     by = ["lang", "k_docs"]
+    a = kept(statistics.sums_below(a.withColumn("n", F.lit(1)), "doc_id", by, "n", "k").drop("n"), "numbered")
     s = drawn_means(a, by, "quality", 100, "s").groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("v"))
     cut = lambda share, way, name: F.round(percentile_of(F.col("v"), share, way), 6).alias(name)
     point = a.groupBy(*by).agg(F.round(F.avg("quality"), 6).alias("mean"))

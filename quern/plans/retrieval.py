@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as tx
+from quern.operators import dense
 from quern.operators import retrieval as rt
 from quern.plans.registry import query
 from quern.sources.tables import MESSAGES_SQL, QUESTIONS_SQL, messages, questions, table
@@ -82,19 +83,17 @@ d AS (SELECT q.vec_id AS question_id, c.vec_id AS doc_id, q.label AS wanted, c.l
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM d)"""
 
 
-def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine scores (vectors have length one) of the query vectors with all others; the few queries are a stated set."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("wanted_vector"), F.col("label").alias("wanted"))
-    pairs = v.join(q, F.col("vec_id") != F.col("question_id"))
-    return pairs.select("question_id", F.col("vec_id").alias("doc_id"), "wanted", "label", F.round(rt.inner_product(F.col("wanted_vector"), F.col("embedding")), 6).alias("score"))
+def dense_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the stated set of queries among them."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return v, v.where("id % 50 = 0")
 
 
 @query(f"""WITH {DENSE} SELECT question_id, rank, doc_id, round(coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0), 6) AS score
 FROM r WHERE rank <= 10 WINDOW w AS (PARTITION BY question_id)""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors, scores rescaled inside each result."""
-    top = rt.ranked(dense_scores(spark, sf_dir), "question_id", [F.desc("score"), F.asc("doc_id")], 10)
+    top = dense.best(dense.scored_blocks(*dense_vectors(spark, sf_dir)), 10)
     return top.select("question_id", "rank", "doc_id", F.round(rt.minmax(F.col("score"), "question_id"), 6).alias("score"))
 
 
@@ -103,9 +102,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT question_id, n_gold, n_found, first_gold, round(n_found / nullif(n_gold, 0), 6) AS recall_at_10, round(1 / first_gold, 6) AS reciprocal_rank, round((first_gold - 1) / nullif(n - 1, 0), 6) AS normalised_rank FROM g""")
 def dense_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at ten, reciprocal and normalised rank of vectors of the query's label."""
-    r = rt.ranked(dense_scores(spark, sf_dir), "question_id", [F.desc("score"), F.asc("doc_id")])
-    gold = F.col("wanted") == F.col("label")
-    g = r.groupBy("question_id").agg(F.count_if(gold).alias("n_gold"), F.count_if(gold & (F.col("rank") <= 10)).alias("n_found"), F.min(F.when(gold, F.col("rank"))).alias("first_gold"), F.count("*").alias("n"))
+    g = dense.gold_ranks(dense.scored_blocks(*dense_vectors(spark, sf_dir), reused=True), 10)
     return g.select("question_id", "n_gold", "n_found", "first_gold", F.round(F.try_divide("n_found", "n_gold"), 6).alias("recall_at_10"), F.round(1 / F.col("first_gold"), 6).alias("reciprocal_rank"), F.round(F.try_divide(F.col("first_gold") - 1, F.col("n") - 1), 6).alias("normalised_rank"))
 
 

@@ -230,11 +230,11 @@ def category_weighted_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_mktsegment, count(*) AS n, round(100 * avg((o_orderstatus = 'F')::INT), 4) AS leak, round(100 * avg((o_orderstatus = 'O')::INT), 4) AS refuse, round(100 * avg((o_orderstatus NOT IN ('F', 'O'))::INT), 4) AS other
-FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 1000 GROUP BY ALL""")
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL""")
 def deny_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What denied items end as, in percent per group."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 1000").join(c, "o_custkey")
+    o = table(spark, sf_dir, "orders").join(c, "o_custkey")
     percent = lambda x, name: F.round(100 * F.avg(x.cast("int")), 4).alias(name)
     s = F.col("o_orderstatus")
     return o.groupBy("c_mktsegment").agg(F.count("*").alias("n"), percent(s == "F", "leak"), percent(s == "O", "refuse"), percent(~s.isin("F", "O"), "other"))

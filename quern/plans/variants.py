@@ -86,11 +86,11 @@ def paper_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(s, "backend").select("backend", F.round("d6", 2).alias("d6"), mean("recall", 1, 2), mean("reasoning", 3, 4), mean("trust", 5, 6), mean("average", 1, 2, 3, 4, 5, 6))
 
 
-@query("""WITH v AS (SELECT user_id, CASE WHEN event_id % 3 > 0 OR user_id % 7 > 0 THEN value END AS x FROM events WHERE event_id % 2 = user_id % 2 OR user_id % 5 > 0) SELECT user_id, count(x) AS n, round(avg(x), 6) AS mean, round(CASE WHEN count(x) = 1 THEN 0 ELSE stddev_samp(x) END, 6) AS sd FROM v GROUP BY user_id""")
+@query("""WITH v AS (SELECT user_id, CASE WHEN (event_id % 3 > 0 OR user_id % 7 > 0) AND (event_id % 2 = user_id % 2 OR user_id % 5 > 0) THEN value END AS x FROM events) SELECT user_id, count(x) AS n, round(avg(x), 6) AS mean, round(CASE WHEN count(x) = 1 THEN 0 ELSE stddev_samp(x) END, 6) AS sd FROM v GROUP BY user_id""")
 def tolerant_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and sample deviation over the values that are there: none give null, one has deviation 0. NaN counts as missing."""
     k, u = F.col("event_id"), F.col("user_id")
-    v = table(spark, sf_dir, "events").where((k % 2 == u % 2) | (u % 5 > 0)).select("user_id", F.when((k % 3 > 0) | (u % 7 > 0), F.col("value")).otherwise(F.lit(float("nan"))).alias("x"))
+    v = table(spark, sf_dir, "events").select("user_id", F.when(((k % 3 > 0) | (u % 7 > 0)) & ((k % 2 == u % 2) | (u % 5 > 0)), F.col("value")).otherwise(F.lit(float("nan"))).alias("x"))
     x = F.when(~F.isnan("x"), F.col("x"))
     return v.groupBy("user_id").agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.when(F.count(x) == 1, 0.0).otherwise(F.stddev_samp(x)), 6).alias("sd"))
 
@@ -160,10 +160,10 @@ def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
         time.day_of(F.coalesce(F.nullif(delivered, F.lit("")), F.lit("9.1"))).cast("int").alias("message_day"), F.array_min(time.dates_in(said)).cast("string").alias("valid_from"))
 
 
-@query(f"""WITH {EDGES_SQL}, w AS (SELECT source, target, n / 3.0::DOUBLE AS w FROM g), k AS (SELECT range AS a, (range * 7 + 3) % 200 AS b FROM range(200)) SELECT k.a, k.b, CASE WHEN w.w >= 0.8 THEN 1 WHEN w.w >= 0.5 THEN 2 WHEN w.w >= 0.2 THEN 3 ELSE 4 END AS layer FROM k LEFT JOIN w ON w.source = least(k.a, k.b) AND w.target = greatest(k.a, k.b)""")
+@query(f"""WITH {EDGES_SQL}, w AS (SELECT source, target, n / 3.0::DOUBLE AS w FROM g), k AS (SELECT DISTINCT o_custkey % 200 AS a, (o_orderkey * 7 + 3) % 200 AS b FROM orders) SELECT k.a, k.b, CASE WHEN w.w >= 0.8 THEN 1 WHEN w.w >= 0.5 THEN 2 WHEN w.w >= 0.2 THEN 3 ELSE 4 END AS layer FROM k LEFT JOIN w ON w.source = least(k.a, k.b) AND w.target = greatest(k.a, k.b)""")
 def layer_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layer of pairs of agents by the weight of their edge; without one the outermost."""
-    k = spark.range(200).select(F.col("id").alias("a"), ((F.col("id") * 7 + 3) % 200).alias("b"))
+    k = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("a"), ((F.col("o_orderkey") * 7 + 3) % 200).alias("b")).distinct()
     e = social_edges(spark, sf_dir).select("source", "target", (F.col("n") / 3.0).alias("w"))
     j = k.join(e, (F.least("a", "b") == F.col("source")) & (F.greatest("a", "b") == F.col("target")), "left")
     return j.select("a", "b", maths.tier(F.coalesce("w", F.lit(0.0)), (0.8, 0.5, 0.2), (1, 2, 3, 4)).alias("layer"))
