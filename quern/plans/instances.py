@@ -107,3 +107,18 @@ def named_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.expr(MARK)
     named = names.named_things(t)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", named.alias("named"), names.topic(t, named).alias("topic"))
+
+
+@query("""WITH c AS (SELECT 'i' || conv_id AS instance_id, role AS namespace, text AS query, turn % 5 = 4 AS errored, CASE WHEN turn % 5 = 4 THEN [] ELSE [text, 'm' || turn] END AS memories, conv_id, turn FROM conversations),
+o AS (SELECT instance_id, arg_max(errored, turn) AS e, arg_max(memories, turn) AS m FROM c GROUP BY ALL), l AS (SELECT namespace, query, arg_max({'e': errored, 'm': memories}, (conv_id, turn)) AS r FROM c WHERE query <> '' GROUP BY ALL),
+a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'i' || (conv_id + 1) ELSE 'x' END AS instance_id, CASE WHEN conv_id % 4 = 0 THEN 'nobody' ELSE role END AS namespace, text AS query FROM conversations)
+SELECT a.conv_id, a.turn, CASE WHEN o.m IS NOT NULL THEN 'instance' WHEN l.r IS NOT NULL THEN 'query' ELSE 'miss' END AS found_by, coalesce(o.e, l.r.e, false) AS errored, coalesce(o.m, l.r.m, []) AS memories FROM a LEFT JOIN o USING (instance_id) LEFT JOIN l USING (namespace, query)""")
+def frozen_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns looked up in a frozen cache by instance, then by namespace and query; every row must be of the expected system."""
+    path = scratch(spark, "cache")
+    c = table(spark, sf_dir, "conversations")
+    bad = F.col("turn") % 5 == 4
+    line = F.to_json(F.struct(F.concat(F.lit("i"), "conv_id").alias("instance_id"), F.col("role").alias("namespace"), F.col("text").alias("query"), F.lit("mem0").alias("system"), F.when(bad, "timeout").alias("error"), F.when(~bad, F.array("text", F.concat(F.lit("m"), "turn"))).alias("memories")))
+    c.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").select(line).write.text(path)
+    asked = c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("i"), F.col("conv_id") + 1)).otherwise("x").alias("instance_id"), F.when(F.col("conv_id") % 4 == 0, "nobody").otherwise(F.col("role")).alias("namespace"), F.col("text").alias("query"))
+    return readers.from_cache(asked, readers.frozen_cache(spark, path, system="mem0")).select("conv_id", "turn", "found_by", "errored", "memories")

@@ -149,3 +149,31 @@ def agent_numbers(spark: SparkSession, path: str) -> DataFrame:
     rows = numbered_lines(spark, path).select("line", F.from_json("value", "agent_id string, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
     agent = F.trim("j.agent_id")
     return rows.where(F.col("j._bad").isNull() & (agent != "")).groupBy(agent.alias("agent")).agg(F.max("line").alias("line"))
+
+
+CACHED = "instance_id string, namespace string, query string, system string, extractor_model string, config string, error string, memories array<string>, _bad string"
+
+
+def frozen_cache(spark: SparkSession, path: str, **expected: str) -> DataFrame:
+    """The rows of a cache of memories, as JSON lines, with their line and whether they are `errored` (an error, or no memories).
+
+    expected: values that every row must have in system, extractor_model or config; a row with another one, and a line that is
+    no JSON, fails the job that meets it. Blank lines are passed over.
+    """
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").select("line", F.from_json("value", CACHED, {"columnNameOfCorruptRecord": "_bad"}).alias("j")).select("line", "j.*")
+    fault = F.when(F.col("_bad").isNotNull(), F.concat(F.lit("no JSON in line "), "line"))
+    for name, value in expected.items():
+        fault = fault.when(~F.col(name).eqNullSafe(F.lit(value)), F.concat(F.lit(f"cache mismatch: expected {name} {value}, got "), F.coalesce(F.col(name), F.lit("none")), F.lit(" of "), F.coalesce("instance_id", F.lit("none"))))
+    errored = F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise((F.coalesce("error", F.lit("")) != "") | F.col("memories").isNull())
+    return rows.withColumn("errored", errored).where("errored IS NOT NULL").drop("_bad")
+
+
+def from_cache(asked: DataFrame, cache: DataFrame) -> DataFrame:
+    """asked (instance_id, namespace, query, and more) with memories, errored and found_by: the cache's last row of the
+    instance, else the last one of the namespace and query, else a miss with no memories. Blank keys find nothing."""
+    found = F.max(F.struct("line", "errored", F.coalesce("memories", F.array().cast("array<string>")).alias("memories"))).alias("hit")
+    by_id = cache.where("instance_id <> ''").groupBy("instance_id").agg(found).withColumnRenamed("hit", "own")
+    by_key = cache.where("namespace <> '' AND query <> ''").groupBy("namespace", "query").agg(found).withColumnRenamed("hit", "like")
+    rows = asked.join(by_id, "instance_id", "left").join(by_key, ["namespace", "query"], "left").withColumn("hit", F.coalesce("own", "like"))
+    by = F.when(F.col("own").isNotNull(), "instance").when(F.col("like").isNotNull(), "query").otherwise("miss")
+    return rows.select(*asked.columns, F.coalesce("hit.memories", F.array().cast("array<string>")).alias("memories"), F.coalesce("hit.errored", F.lit(False)).alias("errored"), by.alias("found_by"))

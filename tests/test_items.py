@@ -137,3 +137,21 @@ def test_withheld(spark):
     made = "named_struct('evidence_session_ids', array('s'), 'context_tier', 'full', 'text', 'x', 'metadata', named_struct('evidence_sessions', array('s'), 'session_id', 's', 'agent', 'ann')) AS i"
     r = spark.range(1).selectExpr(made).select(items.withheld(F.col("i"), "t0").alias("i")).first().i.asDict(True)
     assert r == {"evidence_session_ids": [], "context_tier": "t0", "text": "x", "metadata": {"evidence_sessions": [], "session_id": "", "agent": "ann"}}
+
+
+def test_frozen_cache(spark, tmp_path):
+    row = lambda i, n, q, m, **more: json.dumps({"instance_id": i, "namespace": n, "query": q, "memories": m, "system": "mem0", "extractor_model": "e", **more})
+    (tmp_path / "cache.jsonl").write_text("\n".join([row("a", "n", "q", ["old"]), "", row("a", "n", "q2", ["new"]), row("", "n", "q", None), row("b", "", "q", ["x"], error="late")]))
+    cache = readers.frozen_cache(spark, str(tmp_path), system="mem0", extractor_model="e")
+    asked = spark.createDataFrame([("a", "n", "q"), ("z", "n", "q2"), ("z", "n", "q"), ("b", "m", "q"), ("z", "", "q"), (None, None, None)], "instance_id string, namespace string, query string")
+    got = sorted(((r.instance_id or "", r.namespace or "", r.query or ""), r.memories, r.errored, r.found_by) for r in readers.from_cache(asked, cache).collect())
+    assert got == [
+        (("", "", ""), [], False, "miss"), (("a", "n", "q"), ["new"], False, "instance"), (("b", "m", "q"), ["x"], True, "instance"),
+        (("z", "", "q"), [], False, "miss"), (("z", "n", "q"), [], True, "query"), (("z", "n", "q2"), ["new"], False, "query"),
+    ]
+    for expected in ({"system": "zep"}, {"config": "A"}):
+        with pytest.raises(Exception, match="cache mismatch: expected"):
+            readers.frozen_cache(spark, str(tmp_path), **expected).collect()
+    (tmp_path / "cut.jsonl").write_text("{broken")
+    with pytest.raises(Exception, match="no JSON in line"):
+        readers.frozen_cache(spark, str(tmp_path)).collect()
