@@ -2,53 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.text import once
-
 #: Fixed value: what stands for no match at all in the precision of one length (BLEU's first smoothing method).
 EPSILON = 0.1
+#: Words whose n-grams a task holds at a time, and n-grams that meet in one partition on average.
+WORDS, GRAMS = 500_000, 4_000_000
+#: Multipliers of two rolling hashes.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits, each of which hangs on all of the given ones."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def ngrams(hashes: Column, n: int) -> Column:
-    """The n-grams of an array of words' hashes, each as n and 128 bits; none where there are fewer words than n."""
-    parts = lambda i: [F.get(hashes, i + k) for k in range(n)]
-    gram = lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(*[x["a"] for x in parts(i)]).alias("a"), F.xxhash64(F.lit(n), *[x["b"] for x in parts(i)]).alias("b"))
-    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), gram))
+
+def _firsts(a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each distinct (a, b) once with its text, -1 where more than one row has it."""
+    order = np.argsort(a, kind="stable")
+    a, b, text = a[order], b[order], text[order]
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    alone = np.diff(np.r_[starts, len(a)]) == 1
+    return a[starts], b[starts], np.where(alone, text[starts], -1)
+
+
+def _elements(groups: tuple[np.ndarray, ...], words: tuple[np.ndarray, ...], lengths: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """a, b, text of the n-grams of texts, given by two hashes of each one's group and of its words; the j-th time that a text
+    has an n-gram is told apart from the others. a's lowest bits are n - 1."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(text))  # words from here to the end of the text
+    low = np.uint64((1 << (most - 1).bit_length()) - 1)
+    hashes, found = [g[text] for g in groups], []
+    for n in range(1, most + 1):
+        size = max(len(text) - n + 1, 0)
+        hashes = [_mixed(h[:size] * np.uint64(f) + w[n - 1 :]) for h, w, f in zip(hashes, words, FACTORS, strict=True)]
+        whole = left[:size] >= n
+        found.append(((hashes[0][whole] & ~low) | np.uint64(n - 1), hashes[1][whole], text[:size][whole]))
+    a, b, text = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((text, b, a))
+    a, b, text = a[order], b[order], text[order]
+    again = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (text[1:] == text[:-1])] if len(a) else np.zeros(0, bool)
+    place = np.arange(len(a))
+    j = (place - np.maximum.accumulate(np.where(again, 0, place))).astype(np.uint64)
+    other = _mixed(a + j * np.uint64(FACTORS[0]))
+    return np.where(again, (other & ~low) | (a & low), a), np.where(again, _mixed(b ^ (j * np.uint64(FACTORS[1]))), b), text
 
 
 def self_bleu(texts: DataFrame, most: int = 4) -> DataFrame:
     """grp, id, n_words, bleu: BLEU of each text (grp, id, words: array of strings) with all others of its group as references.
 
-    A text's count of an n-gram is clipped by the greatest count in any other text. The two greatest counts of an n-gram
-    tell this for every text, so the work is linear in n-grams and no two texts ever meet: the greatest count, and how
-    many texts have it, then the one below. The reference of closest length (the shorter of two) is the text's own length
-    if another text has it, else a neighbour among the group's distinct lengths. A text without a matching word has 0, as
-    has one without words; the only text of a group has null. ids are unique in a group; null words do not count. N-grams
-    are told apart by 128 bits of their words' hashes.
+    A text's count of an n-gram is clipped by the greatest count in any other text. So the j-th time that a text has an
+    n-gram is a hit unless no other text has it j times: the n-grams, numbered so, are counted once over all texts, and those
+    that one text alone has are its losses. No two texts ever meet, and only n-grams move, once, as 128 bits of their
+    words' hashes with their text; tasks tell repeated ones among some WORDS words before. The reference of closest length
+    (the shorter of two) is the text's own length if another text has it, else a neighbour among the group's distinct
+    lengths. A text without a matching word has 0, as has one without words; the only text of a group has null. ids are
+    unique in a group; null words do not count.
     """
     rows = texts.select("grp", "id", F.filter("words", lambda w: w.isNotNull()).alias("words")).withColumn("n_words", F.size("words"))
-    hashes = F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(1), w).alias("b")))
-    every = once(hashes, lambda h: F.flatten(F.array_compact(F.array(*[ngrams(h, n) for n in range(1, most + 1)]))))  # not once an n-gram
-    gram = ["n", "a", "b"]
-    counts = rows.select("grp", "id", F.inline(every)).groupBy("grp", "id", *gram).agg(F.count("*").alias("c"))
-    levels = counts.groupBy("grp", *gram, "c").agg(F.count("*").alias("k"))
-    # an n-gram has few distinct counts, as they add up to its occurrences
-    top = levels.groupBy("grp", *gram).agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "k")), asc=False), 1, 2).alias("top"))
-    most_of_others = F.when((F.col("c") < F.col("top")[0]["c"]) | (F.col("top")[0]["k"] > 1), F.col("top")[0]["c"]).otherwise(F.coalesce(F.get("top", F.lit(1))["c"], F.lit(0)))
-    clipped = counts.join(top, ["grp", *gram]).select("grp", "id", "n", F.least("c", most_of_others).alias("hit"))
-    hits = clipped.groupBy("grp", "id").pivot("n", list(range(1, most + 1))).agg(F.sum("hit"))
+    hashed = rows.select("id", F.xxhash64("grp").alias("g"), F.xxhash64(F.lit(1), "grp").alias("g2"), F.transform("words", lambda w: F.xxhash64(w)).alias("a"), F.transform("words", lambda w: F.xxhash64(F.lit(1), w)).alias("b"))
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(np.asarray(batch["a"].value_lengths()))
+            at = 0
+            while at < len(ends):
+                before = ends[at - 1] if at else 0
+                to = max(int(np.searchsorted(ends, before + WORDS, side="right")), at + 1)
+                part = batch.slice(at, to - at)
+                groups = [np.asarray(part[x]).view(np.uint64) for x in ("g", "g2")]
+                words = [np.asarray(part[x].flatten()).view(np.uint64) for x in ("a", "b")]
+                a, b, text = _firsts(*_elements(groups, words, np.asarray(part["a"].value_lengths()), most))
+                where = pa.array(text, mask=text < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part["g"].take(where), part["id"].take(where)], ["a", "b", "g", "id"])
+                at = to
+
+    n = rows.agg(F.sum("n_words")).collect()[0][0] or 0
+    grams = hashed.mapInArrow(elements, f"a long, b long, g long, id {texts.schema['id'].dataType.simpleString()}")
+    counted = grams.repartition(n * most // GRAMS + 1, "a", "b").groupBy("a", "b").agg(F.count("*").alias("k"), F.min("g").alias("g"), F.min("id").alias("id"))
+    level = F.col("a").bitwiseAND((1 << (most - 1).bit_length()) - 1)
+    lost = counted.where("k = 1 AND id IS NOT NULL").groupBy("g", "id").agg(*[F.count_if(level == n - 1).alias(f"lost_{n}") for n in range(1, most + 1)])
     by_length = Window.partitionBy("grp").orderBy("n_words")
     lengths = rows.groupBy("grp", "n_words").agg(F.count("*").alias("k")).withColumns({"low": F.lag("n_words").over(by_length), "high": F.lead("n_words").over(by_length)})
     nearer = F.when(F.col("high").isNull() | (F.col("n_words") - F.col("low") <= F.col("high") - F.col("n_words")), F.col("low")).otherwise(F.col("high"))
     lengths = lengths.select("grp", "n_words", F.when(F.col("k") > 1, F.col("n_words")).otherwise(nearer).alias("closest"))
-    rows = rows.select("grp", "id", "n_words").join(hits, ["grp", "id"], "left").join(lengths, ["grp", "n_words"])
+    rows = rows.select("grp", "id", "n_words", F.xxhash64("grp").alias("g")).join(lost, ["g", "id"], "left").join(lengths, ["grp", "n_words"])
+    hits = [F.greatest(F.col("n_words") - (n - 1), F.lit(0)) - F.coalesce(F.col(f"lost_{n}"), F.lit(0)) for n in range(1, most + 1)]
     logs = []
     for n in range(1, most + 1):
-        hit = F.coalesce(F.col(f"`{n}`"), F.lit(0))
+        hit = hits[n - 1]
         logs.append(F.log(F.when(hit > 0, hit).otherwise(F.lit(EPSILON)) / F.greatest(F.col("n_words") - (n - 1), F.lit(1))))
     brevity = F.when(F.col("n_words") > F.col("closest"), 0.0).otherwise(1 - F.col("closest") / F.col("n_words"))
-    bleu = F.when(F.col("closest").isNull(), None).when(F.coalesce(F.col("`1`"), F.lit(0)) == 0, 0.0).otherwise(F.exp(brevity + sum(logs[1:], logs[0]) / most))
+    bleu = F.when(F.col("closest").isNull(), None).when(hits[0] == 0, 0.0).otherwise(F.exp(brevity + sum(logs[1:], logs[0]) / most))
     return rows.select("grp", "id", "n_words", bleu.alias("bleu"))
