@@ -10,33 +10,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Seconds of a time bucket that intervals and elementary spans meet in; longer ones lie in several.
+#: Seconds of a time bucket that instants are swept in.
 BUCKET = 3600
 
 
-def spans_of_presence(rows: DataFrame) -> DataFrame:
-    """place, start, stop, agents: spans between neighbouring interval bounds in which two or more agents are at a place.
+def encounters(rows: DataFrame, least: float = 0) -> DataFrame:
+    """place, start, stop, n_agents: maximal runs of at least `least` seconds in which two or more agents are at a place, and
+    how many agents took part. rows: place, agent, start, stop.
 
-    rows: place, agent, start, stop. Bounds become elementary spans by lead(); spans meet the intervals that cover them
-    in an equi-join on (place, time bucket), so that a busy place is spread over its buckets.
+    A sweep over the instants at which agents come and go: how many are there is a running sum, a run goes from where it
+    reaches two to where it falls below. Those who come within a run take part, and so does the one agent who was there before: of all
+    intervals that began earlier, the one that ends last. Running values are worked out in buckets of time, and what they
+    start from over the buckets, so a busy place is spread over its buckets and no two intervals ever meet.
     """
-    bounds = rows.select("place", F.explode(F.array("start", "stop")).alias("t")).distinct()
-    spans = bounds.withColumn("until", F.lead("t").over(Window.partitionBy("place").orderBy("t"))).where("until IS NOT NULL")
-    spans = spans.withColumn("bucket", F.floor(F.col("t") / BUCKET))
-    kept = rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("stop") - 1) / BUCKET))))
-    inside = spans.join(kept, ["place", "bucket"]).where("start <= t AND stop >= until")
-    found = inside.groupBy("place", "t", "until").agg(F.array_sort(F.collect_set("agent")).alias("agents"))
-    return found.where(F.size("agents") > 1).select("place", F.col("t").alias("start"), F.col("until").alias("stop"), "agents")
-
-
-def encounters(rows: DataFrame, least: float = 0) -> DataFrame:
-    """place, start, stop, n_agents: maximal runs of adjoining spans of presence of at least `least` seconds, and how many
-    agents took part."""
-    w = Window.partitionBy("place").orderBy("start")
-    s = spans_of_presence(rows).withColumn("new", F.coalesce(F.col("start") != F.lag("stop").over(w), F.lit(True)).cast("int"))
-    s = s.withColumn("run", F.sum("new").over(w))
-    runs = s.groupBy("place", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.size(F.array_distinct(F.flatten(F.collect_list("agents")))).cast("long").alias("n_agents"))
-    return runs.where(F.col("stop") - F.col("start") >= least).select("place", "start", "stop", "n_agents")
+    bucket = F.floor(F.col("t") / BUCKET).alias("bucket")
+    rows = rows.where("stop > start AND place IS NOT NULL AND agent IS NOT NULL")
+    steps = rows.select("place", "agent", F.inline(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("t"), F.lit(-1).alias("d")))))
+    steps = steps.groupBy("place", "agent", "t").agg(F.sum("d").alias("d"))
+    own = F.sum("d").over(Window.partitionBy("place", "agent").orderBy("t"))
+    steps = steps.withColumn("own", own).groupBy("place", "t").agg(F.sum((F.col("own") > 0).cast("int") - (F.col("own") > F.col("d")).cast("int")).alias("d"))
+    longest = rows.groupBy("place", F.col("start").alias("t")).agg(F.max(F.struct("stop", "agent")).alias("longest"))
+    points = steps.join(longest, ["place", "t"], "left").select("place", bucket, "t", "d", "longest")
+
+    within, by_bucket = Window.partitionBy("place", "bucket").orderBy("t"), Window.partitionBy("place").orderBy("bucket")
+    earlier, ahead = by_bucket.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("place").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = points.groupBy("place", "bucket").agg(F.sum("d").alias("d"), F.max("longest").alias("longest"))
+    totals = totals.select("place", "bucket", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("n_before"), F.max("longest").over(earlier).alias("longest_before"))
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    points = points.join(totals, ["place", "bucket"])
+    points = points.select("place", "bucket", "t", "d", (F.col("n_before") + F.sum("d").over(within)).alias("n"), F.greatest("longest_before", F.max("longest").over(before)).alias("longest"))
+    points = points.withColumns({"starts": F.when((F.col("n") > 1) & (F.col("n") - F.col("d") < 2), F.col("t")), "stops": F.when((F.col("n") < 2) & (F.col("n") - F.col("d") > 1), F.col("t"))})
+
+    edges = points.groupBy("place", "bucket").agg(F.max("starts").alias("last"), F.min("stops").alias("first"))
+    edges = edges.select("place", "bucket", F.max("last").over(earlier).alias("last_before"), F.min("first").over(ahead).alias("first_after"))
+    following = F.min("stops").over(Window.partitionBy("place", "bucket").orderBy(F.desc("t")))
+    points = points.join(edges, ["place", "bucket"]).select("place", "t", "n", "starts", "longest", F.coalesce(F.max("starts").over(within), "last_before").alias("run"), F.coalesce(following, "first_after").alias("until"))
+
+    runs = points.where("n > 1").select("place", "t", "run", "starts", "until", F.when(F.col("starts").isNotNull() & (F.col("longest.stop") > F.col("t")), F.col("longest.agent")).alias("there"))
+    came = rows.select("place", F.col("start").alias("t"), "agent").join(runs.select("place", "t", "run"), ["place", "t"]).select("place", "run", "agent")
+    there = runs.where("there IS NOT NULL").select("place", "run", F.col("there").alias("agent"))
+    n = came.unionByName(there).distinct().groupBy("place", F.col("run").alias("start")).agg(F.count("*").alias("n_agents"))
+    found = runs.where("starts IS NOT NULL").select("place", F.col("starts").alias("start"), F.col("until").alias("stop")).where(F.col("stop") - F.col("start") >= least)
+    return found.join(n, ["place", "start"]).select("place", "start", "stop", "n_agents")
 
 
 def clamped(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
