@@ -94,7 +94,7 @@ def indexed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     detail = F.struct(F.concat(F.lit("q"), k).alias("question_id"), F.when(k % 3 == 0, "True").otherwise("0").alias("correct"))
     cells = rows.withColumn("slice", F.floor(k / 1000)).groupBy("lang", "quality", "toxic", "slice").agg(F.collect_list(detail).alias("details")).drop("slice")
-    cells.write.partitionBy("lang", "quality", "toxic").json(root)
+    cells.write.option("maxRecordsPerFile", 1).partitionBy("lang", "quality", "toxic").json(root)  # a result file is one object
     kind = F.when(F.col("quality") == 1, "main").when(F.col("toxic") == 0, "ablation").otherwise("latency")
     index = cells.select("lang", "quality", "toxic").distinct().withColumn("kind", kind).withColumn("json_path", F.concat(F.lit("lang="), "lang", F.lit("/quality="), "quality", F.lit("/toxic="), "toxic"))
     index = index.unionByName(index.limit(2).withColumn("json_path", F.lit("none"))).unionByName(index.limit(2).withColumn("json_path", F.lit("lang=xx/missing.json")))

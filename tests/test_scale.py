@@ -38,3 +38,11 @@ def test_encounters_against_every_second(spark):
     found = intervals.encounters(spark.createDataFrame(rows, "place long, agent long, start long, stop long"), 10)
     assert {tuple(r) for r in found.collect()} == wanted
     assert "collect_set" not in plan(found)
+
+
+def test_indexed_grid_reads_every_slice(spark, tmp_path):
+    ids = spark.range(2500).withColumnRenamed("id", "doc_id")
+    ids.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "de").otherwise("fr").alias("lang")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    ids.select("doc_id", (F.col("doc_id") % 2).alias("quality"), (F.col("doc_id") % 3 % 2).alias("toxic")).coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.question_id: r.correct for r in catalogue.QUERIES["indexed_grid"](spark, str(tmp_path)).collect()}
+    assert found == {f"q{i}": i % 3 == 0 for i in range(2500) if i % 5 and (i % 2 == 1 or i % 3 % 2 == 0)}
