@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Halves away from zero, judged on value * 10^places as a double, as C and the SQL's engine do, not on its decimal digits."""
+    scale = float(10**places)
+    scaled = value.cast("double") * scale
+    return F.when(F.abs(scaled) < 2.0**52, F.signum(scaled) * (F.floor(F.abs(scaled)) + F.when(F.abs(scaled) - F.floor(F.abs(scaled)) >= 0.5, 1.0).otherwise(0.0)) / scale).otherwise(value.cast("double"))
+
+
 def normalised(value: Column, low: float, high: float) -> Column:
     """Rescaled to [0, 1] and clamped; 0 where the range is empty."""
     return F.lit(0.0) if high <= low else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))

@@ -121,3 +121,27 @@ def length_matched(targets: DataFrame, donors: DataFrame, caliper: float = 0.2)
 
     pool = targets.select("item", "name", "length", F.lit(0).alias("side")).unionByName(donors.select("item", "name", "length", F.lit(1).alias("side")))
     return pool.groupBy("item").applyInPandas(match, "item long, target string, donor string, fits boolean")
+
+
+def sampled_windows(samples: DataFrame, windows: DataFrame, span: int) -> DataFrame:
+    """event_id, n, total, n_values, peak of the samples (event_id, at, value) inside each window (event_id, at), which is
+    `span` long; windows without samples are left out. Values are added one after the other from the greatest id
+    down, so that sums do not hang on how rows were dealt out (of sums that lie half way, the order decides the rounding). A bucket of a window's length holds its windows, and its and the next one's samples."""
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        s = part[~part["opens"]].sort_values("at", kind="stable")
+        at, ids, values = s["at"].to_numpy(), s["event_id"].to_numpy(), s["value"].to_numpy(float)
+        opened = part[part["opens"]]
+        found = []
+        for event, start in zip(opened["event_id"].to_numpy(), opened["at"].to_numpy(), strict=True):
+            i, j = np.searchsorted(at, [start, start + span])
+            if i < j:
+                v = values[i:j][np.argsort(-ids[i:j], kind="stable")]
+                v = v[~np.isnan(v)]
+                found.append((event, j - i, np.cumsum(v)[-1] if len(v) else None, len(v), v.max() if len(v) else None))
+        return pd.DataFrame(found, columns=["event_id", "n", "total", "n_values", "peak"])
+
+    bucket = F.floor(F.col("at") / span)
+    w = windows.select("event_id", "at", F.lit(None).cast("double").alias("value"), F.lit(True).alias("opens"), bucket.alias("bucket"))
+    s = samples.select("event_id", "at", F.col("value").cast("double").alias("value"), F.lit(False).alias("opens"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
+    return w.unionByName(s).where("at IS NOT NULL").groupBy("bucket").applyInPandas(inside, "event_id long, n long, total double, n_values long, peak double")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions import maths
+from quern.operators import intervals
 from quern.operators import statistics as st
 from quern.plans.registry import query
 from quern.sources.tables import MESSAGES_SQL, messages, table
@@ -157,13 +159,11 @@ def bitemporal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT w.event_id, count(*) AS n, round(avg(s.value), 6) AS mean_power, round(max(s.value), 6) AS peak_power, round(greatest(0, (avg(s.value) - 20) * 600), 4) AS net_energy
 FROM w JOIN events s ON epoch_ms(s.ts) >= w.a AND epoch_ms(s.ts) < w.b GROUP BY w.event_id""")
 def telemetry_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power samples inside marked windows of ten minutes: a range join over time buckets of a window's length."""
-    span = 600_000
-    e = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    w = e.where("event_type = 'error'").select("event_id", F.col("ms").alias("a"), F.explode(F.array(F.floor(F.col("ms") / span), F.floor(F.col("ms") / span) + 1)).alias("bucket"))
-    s = e.select("ms", "value", F.floor(F.col("ms") / span).alias("bucket"))
-    inside = w.join(s, "bucket").where((F.col("ms") >= F.col("a")) & (F.col("ms") < F.col("a") + span))
-    return inside.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_power"), F.round(F.max("value"), 6).alias("peak_power"), F.round(F.greatest(F.lit(0.0), (F.avg("value") - 20) * 600), 4).alias("net_energy"))
+    """Power samples inside marked windows of ten minutes, which meet in time buckets of a window's length."""
+    e = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "value", "event_type")
+    found = intervals.sampled_windows(e, e.where("event_type = 'error'"), 600_000)
+    mean = F.col("total") / F.nullif("n_values", F.lit(0))
+    return found.select("event_id", "n", maths.rounded(mean, 6).alias("mean_power"), maths.rounded(F.col("peak"), 6).alias("peak_power"), maths.rounded(F.greatest(F.lit(0.0), (mean - 20) * 600), 4).alias("net_energy"))
 
 
 @query("""SELECT event_type AS phase, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS longest,

@@ -56,3 +56,11 @@ def test_permission_items_sorts_few(spark):
     lines = [x.strip(" +-:*") for x in plan(catalogue.QUERIES["permission_items"](spark, DATA)).splitlines()]
     first = lambda name: next(i for i, x in enumerate(lines) if name in x)
     assert first("WindowGroupLimit") < first("BroadcastHashJoin")
+
+
+def test_window_sums_go_down_the_ids(spark):
+    e = [(1, 0, 0.1), (2, 5, 0.2), (3, 9, 0.3), (4, 10, 1e16), (5, 11, 1.0), (6, 12, -1e16), (7, 19, None), (8, 40, None)]
+    samples = spark.createDataFrame(e[::-1], "event_id long, at long, value double").repartition(3)
+    windows = spark.createDataFrame([(1, 0), (2, 5), (3, 40), (4, 100), (5, None)], "event_id long, at long")
+    found = {r.event_id: (r.n, r.total, r.n_values, r.peak) for r in intervals.sampled_windows(samples, windows, 10).collect()}
+    assert found == {1: (3, 0.3 + 0.2 + 0.1, 3, 0.3), 2: (5, -1e16 + 1.0 + 1e16 + 0.3 + 0.2, 5, 1e16), 3: (1, None, 0, None)}
