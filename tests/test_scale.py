@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quern.functions import text as tx
 from quern.operators import intervals
 from quern.plans import catalogue
 
@@ -64,3 +65,10 @@ def test_window_sums_go_down_the_ids(spark):
     windows = spark.createDataFrame([(1, 0), (2, 5), (3, 40), (4, 100), (5, None)], "event_id long, at long")
     found = {r.event_id: (r.n, r.total, r.n_values, r.peak) for r in intervals.sampled_windows(samples, windows, 10).collect()}
     assert found == {1: (3, 0.3 + 0.2 + 0.1, 3, 0.3), 2: (5, -1e16 + 1.0 + 1e16 + 0.3 + 0.2, 5, 1e16), 3: (1, None, 0, None)}
+
+
+def test_word_lists_are_worked_out_once(spark):
+    f1 = tx.multiset_f1(tx.word_list(F.col("a")), tx.word_list(F.col("b")))
+    assert str(f1).count("regexp_replace") == 4  # two a list
+    rows = spark.createDataFrame([("a a b", "a, a; a c"), ("", "a"), ("x", "y"), ("b b", "b")], "a string, b string")
+    assert [round(r[0], 6) for r in rows.select(f1).collect()] == [0.571429, 0, 0, 0.666667]
