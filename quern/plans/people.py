@@ -203,14 +203,22 @@ SELECT question_id, conv_id FROM f WHERE k <= 5""")
 def foreign_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five sessions for every question that are neither its owner's nor its evidence, in the order of a hash.
 
-    Owners are few, so each owner's foreign sessions come from the distinct owners; each task keeps five a question."""
+    Owners are few, so each owner's foreign sessions come from the distinct owners. Hashes are counted by their first two digits, and
+    only sessions up to the digits at which a question has five are sorted."""
     s = messages(spark, sf_dir).select("conv_id", "ego").distinct()
     q = questions(spark, sf_dir).select("question_id", F.col("ego").alias("own"), "excluded")
     owners = s.select("ego").distinct().agg(F.collect_set("ego").alias("egos"))  # one row
-    wanted = q.crossJoin(owners).select("question_id", "excluded", F.explode(F.filter("egos", lambda x: x != F.col("own"))).alias("ego"))
-    f = wanted.join(s, "ego").where("conv_id <> excluded")
-    k = F.row_number().over(Window.partitionBy("question_id").orderBy(F.md5(F.concat_ws(":", "question_id", "conv_id")), "conv_id"))
-    return f.withColumn("k", k).where("k <= 5").select("question_id", "conv_id")
+
+    def foreign(q: DataFrame) -> DataFrame:
+        wanted = q.crossJoin(owners).withColumn("ego", F.explode(F.filter("egos", lambda x: x != F.col("own"))))
+        f = wanted.join(s, "ego").where("conv_id <> excluded").withColumn("order", F.md5(F.concat_ws(":", "question_id", "conv_id")))
+        return f.withColumn("head", F.substring("order", 1, 2))
+
+    counts = foreign(q).groupBy("question_id", "head").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("question_id").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before", before).where("before < 5").groupBy("question_id").agg(F.max("head").alias("last"))
+    k = F.row_number().over(Window.partitionBy("question_id").orderBy("order", "conv_id"))
+    return foreign(q.join(last, "question_id")).where("head <= last").withColumn("k", k).where("k <= 5").select("question_id", "conv_id")
 
 
 def independent_batches(pairs: DataFrame, by: str) -> DataFrame:

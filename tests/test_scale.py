@@ -72,3 +72,8 @@ def test_word_lists_are_worked_out_once(spark):
     assert str(f1).count("regexp_replace") == 4  # two a list
     rows = spark.createDataFrame([("a a b", "a, a; a c"), ("", "a"), ("x", "y"), ("b b", "b")], "a string, b string")
     assert [round(r[0], 6) for r in rows.select(f1).collect()] == [0.571429, 0, 0, 0.666667]
+
+
+def test_foreign_pool_sorts_few(spark):
+    found = plan(catalogue.QUERIES["foreign_pool"](spark, DATA))
+    assert "last#" in found and "WindowGroupLimit" in found.split("last#")[0]
