@@ -100,9 +100,9 @@ def gold(dimension: Column, truth: Column, replaced: Column) -> Column:
 
 def cloze_letters(prediction: Column, blanks: Column) -> Column:
     """The letter read for each blank (an array of numbers), null if none: the last one that its number stands before; for
-    an only blank without a number any letter that stands alone."""
+    an only blank without a number any letter that stands alone, that is beside no other ASCII letter, digit or underscore."""
     pairs = F.zip_with(F.regexp_extract_all(prediction, F.lit(r"(\d+)\s*([A-Ea-e])"), F.lit(1)), F.regexp_extract_all(prediction, F.lit(r"(\d+)\s*([A-Ea-e])"), F.lit(2)), lambda a, b: F.struct(a.alias("n"), F.upper(b).alias("x")))
-    alone = F.upper(F.nullif(F.regexp_extract(prediction, r"\b([A-Ea-e])\b", 1), F.lit("")))
+    alone = F.upper(F.nullif(F.regexp_extract(prediction, f"{tx.START}([A-Ea-e]){tx.END}", 1), F.lit("")))
     last = lambda n: F.try_element_at(F.filter(pairs, lambda z: z["n"] == n.cast("string")), F.lit(-1))["x"]
     return F.transform(blanks, lambda n: F.coalesce(last(n), F.when((F.size(blanks) == 1) & (F.size(pairs) == 0), alone)))
 

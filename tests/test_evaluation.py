@@ -2,13 +2,14 @@
 
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import evaluation as ev
 from quern.functions import spans, stems
 from quern.functions import text as tx
-from quern.plans import people, permissions, reports
+from quern.plans import catalogue, people, permissions, reports
 
 
 def values(spark, expression, rows, shape):
@@ -79,3 +80,15 @@ def test_stems_and_percentiles(spark):
     five = F.array(*[F.lit(float(x)) for x in range(10)])
     got = spark.range(1).select(*[reports.percentile_of(five, s, w).alias(f"{w}{i}") for i, (s, w) in enumerate([(0.25, "linear"), (0.25, "nearest"), (0.25, "below"), (0.75, "above")])]).first()
     assert tuple(got) == (2.25, 2.0, 2.0, 6.0)
+
+
+def test_scores_equal_the_sql_beside_accents_and_in_long_sessions(spark, tmp_path):
+    rows = [(41026, 2, "user", "osñc a"), (41026, 14, "user", "c as"), (43624, 81, "assistant", "hello there all"), (43624, 3, "user", "no")]
+    path = f"{tmp_path}/conversations.parquet"
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        for name in ("score_case", "gold_extract"):
+            found = catalogue.QUERIES[name](spark, str(tmp_path))
+            assert sorted(map(tuple, found.collect())) == sorted(db.execute(f"SELECT {', '.join(found.columns)} FROM ({catalogue.ORACLE[name]})").fetchall())
+    assert values(spark, ev.cloze_letters(F.col("t"), F.sequence(F.lit(1), F.lit(1))), [("eée",), ("née a",), ("b_ c",)], "t string") == [["E"], ["E"], ["C"]]
