@@ -37,17 +37,22 @@ def percentile_of(values: Column, share: float, way: str) -> Column:
     return at(F.floor(share * n + 1e-9) - (1 if way == "above" else 0))
 
 
+#: Draws that a task makes, or that meet their rows in it, on average.
+DRAWS = 2**20
+
+
 def drawn_means(rows: DataFrame, by: list[str], value: str, draws: int, seed: str) -> DataFrame:
     """by, b, mean: means of `draws` samples with replacement of each group's rows (numbered by k, from 0, within it).
 
     Draw i of sample b takes the row whose number is a hash of (seed, b, i) modulo the group's size, so no state is kept.
-    Each row stands for the draw of its number, so draws are dealt out as rows are; those of one row are counted before they
-    meet it. Null values are drawn but do not count."""
+    Each row stands for the draw of its number. Rows are dealt out before they are multiplied, and draws by the row that they
+    take, to so many tasks that each has about DRAWS. Null values are drawn but do not count."""
     n = rows.groupBy(*by).agg(F.count("*").alias("m"))
-    wanted = rows.select(*by, F.col("k").alias("i")).join(n, by).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    tasks = 1 + rows.count() * draws // DRAWS
+    wanted = rows.select(*by, F.col("k").alias("i")).join(n, by).repartition(tasks).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long")
-    times = wanted.groupBy(*by, "b", (key % F.col("m")).alias("k")).agg(F.count("*").alias("times"))
-    return times.join(rows.select(*by, "k", value), [*by, "k"]).groupBy(*by, "b").agg((F.sum(F.col(value) * F.col("times")) / F.sum(F.when(F.col(value).isNotNull(), F.col("times")))).alias("mean"))
+    drawn = wanted.select(*by, "b", (key % F.col("m")).alias("k")).repartition(tasks, *by, "k")
+    return drawn.join(rows.select(*by, "k", value).repartition(tasks, *by, "k").hint("merge"), [*by, "k"]).groupBy(*by, "b").agg(F.avg(value).alias("mean"))
 
 
 BOOT_SQL = """a AS (SELECT lang, doc_id % 2 AS k_docs, quality, row_number() OVER (PARTITION BY lang, doc_id % 2 ORDER BY doc_id) - 1 AS k FROM labels JOIN documents USING (doc_id)), n AS (SELECT lang, k_docs, count(*) AS m FROM a GROUP BY ALL),

@@ -4,8 +4,10 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import dense
+from quern.plans import reports
 from quern.plans.reports import drawn_means
 
 SHAPE = "id long, label long, vector array<float>"
@@ -47,3 +49,13 @@ def test_drawn_means(spark):
             drawn = [values[int(hashlib.md5(f"s:{b}:{i}".encode()).hexdigest()[:8], 16) % len(values)] for i in range(len(values))]
             drawn = [x for x in drawn if x is not None]
             assert got[g, b] == (pytest.approx(sum(drawn) / len(drawn)) if drawn else None)
+
+
+def test_draws_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(reports, "DRAWS", 100)
+    rows = spark.range(1000).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 2).alias("k"), F.col("id").cast("double").alias("x")).coalesce(1)
+    found = reports.drawn_means(rows, ["g"], "x", 2, "s")
+    assert found.count() == 4
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") == 3 and "RoundRobinPartitioning(21)" in text
+    assert "SortMergeJoin" in text.split("RoundRobin")[0]
