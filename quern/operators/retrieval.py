@@ -12,6 +12,10 @@ from quern.functions.text import tokens
 from quern.sources.tables import kept
 
 
+#: Documents that a task scores, on average.
+DOCS = 4096
+
+
 def ranked(scores: DataFrame, by: str, order: list[Column], k: int | None = None) -> DataFrame:
     """Adds rank within `by`; with k only the first k rows, which each task cuts to k before the shuffle."""
     out = scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
@@ -26,22 +30,28 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     times the scope's mean inverse frequency; repeated query terms count again. Scores are rounded to 6 places, ties go
     to the smaller doc_id. Only positive scores are hits, but a query with a document in its scope has one at least.
     Documents are tokenised once and written under the scratch folder. Document frequencies come from an aggregate that is
-    combined where the texts lie; of the postings only those of asked terms are counted and shuffled.
+    combined where the texts lie. Documents move once more, whole, to tasks of about DOCS: what is asked, with its weights, is
+    written and meets them there, so a document's score for a query is summed where it lies, and only each task's k best move.
     """
     lists = kept(docs.select("scope", "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("terms")), "terms")
-    scopes = lists.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"), F.min("doc_id").alias("first"))
+    scopes = kept(lists.groupBy("scope").agg(F.count("*").alias("n"), F.nullif(F.avg(F.size("terms")), F.lit(0.0)).alias("mean_length"), F.min("doc_id").alias("first")), "scopes")
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     found = lists.select("scope", F.explode(F.array_distinct("terms")).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
     found = kept(found.join(scopes.select("scope", "n"), "scope").select("scope", "term", raw.alias("raw")), "frequencies")
     asked = queries.select("question_id", "scope", F.explode(tokens(F.col("text"))).alias("term")).groupBy("question_id", "scope", "term").agg(F.count("*").alias("times"))
     means = found.groupBy("scope").agg(F.avg("raw").alias("mean"))
     weights = found.join(asked.select("scope", "term"), ["scope", "term"], "left_semi").join(means, "scope").select("scope", "term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    postings = lists.select("scope", "doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    # The empty term, which no text holds, stands for the document that a query has at least. It scores 0.
+    least = queries.select("question_id", "scope").withColumns({"term": F.lit(""), "times": F.lit(1).cast("long"), "idf": F.lit(0.0)})
+    asked = kept(asked.join(weights, ["scope", "term"]).unionByName(least).join(scopes.select("scope", "mean_length"), "scope"), "asked")
+    terms = F.when(F.col("doc_id") == F.col("first"), F.array_append("terms", F.lit(""))).otherwise(F.col("terms"))
+    whole = lists.join(scopes.select("scope", "first"), "scope").select("scope", "doc_id", F.size("terms").alias("length"), terms.alias("terms"))
+    whole = whole.repartition(1 + lists.count() // DOCS, "doc_id")
+    postings = whole.select("scope", "doc_id", "length", F.explode("terms").alias("term")).join(asked.select("scope", "term"), ["scope", "term"], "left_semi")
     postings = postings.groupBy("scope", "doc_id", "length", "term").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    hits = asked.join(weights, ["scope", "term"]).join(postings, ["scope", "term"]).join(scopes.select("scope", "mean_length"), "scope").select("question_id", "doc_id", part.alias("score"))
-    least = queries.select("question_id", "scope").join(scopes, "scope").select("question_id", F.col("first").alias("doc_id"), F.lit(0.0).alias("score"))
-    scores = hits.unionByName(least).groupBy("question_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    hits = postings.join(asked, ["scope", "term"]).select("question_id", "doc_id", F.coalesce(part, F.lit(0.0)).alias("score"))
+    scores = hits.groupBy("question_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
     found = ranked(scores, "question_id", [F.desc("score"), F.asc("doc_id")], k)
     return found.where("score > 0 OR rank = 1").select("question_id", "rank", "doc_id", "score")
 

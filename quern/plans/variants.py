@@ -21,7 +21,7 @@ from quern.sources.tables import EDGES_SQL, MESSAGES_SQL, QUESTIONS_SQL, kept, m
 SELECT question_id, doc_id, rank, false AS fell_back FROM best UNION ALL SELECT q.question_id, late.doc_id, late.rank, true FROM q, late WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.question_id = q.question_id)""", 3))
 def memory_or_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best memories by BM25; the three latest where none scores over 0."""
-    best = rt.bm25(turns(spark, sf_dir), asked(spark, sf_dir), 3).where("score > 0").select("question_id", "doc_id", "rank")
+    best = kept(rt.bm25(turns(spark, sf_dir), asked(spark, sf_dir), 3).where("score > 0").select("question_id", "doc_id", "rank"), "best")  # read twice
     latest = messages(spark, sf_dir).orderBy(F.desc("sim_day"), F.desc("conv_id"), F.desc("turn")).limit(3)
     w = Window.orderBy(F.desc("sim_day"), F.desc("conv_id"), F.desc("turn"))
     latest = latest.select(F.col("msg_id").alias("doc_id"), F.row_number().over(w).cast("long").alias("rank"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import intervals
+from quern.operators import intervals, retrieval
 from quern.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -77,3 +77,13 @@ def test_word_lists_are_worked_out_once(spark):
 def test_foreign_pool_sorts_few(spark):
     found = plan(catalogue.QUERIES["foreign_pool"](spark, DATA))
     assert "last#" in found and "WindowGroupLimit" in found.split("last#")[0]
+
+
+def test_bm25_scores_lie_with_their_documents(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "DOCS", 2, raising=False)
+    docs = spark.createDataFrame([(0, 3, "a a b"), (0, 1, "c"), (0, 2, "b"), (1, 9, ""), (1, 8, None), (2, 5, "x")], "scope long, doc_id long, text string")
+    asked = spark.createDataFrame([(1, 0, "a a"), (2, 0, "none"), (3, 1, "a"), (4, 0, None), (5, 7, "a")], "question_id long, scope long, text string")
+    found = retrieval.bm25(docs, asked)
+    assert {(r.question_id, r.rank, r.doc_id, r.score > 0) for r in found.collect()} == {(1, 1, 3, True), (2, 1, 1, False), (3, 1, 8, False), (4, 1, 1, False)}
+    moves = [x for x in plan(found).split("== Initial Plan ==")[0].splitlines() if " Exchange " in x]
+    assert len(moves) == 2 and "REPARTITION_BY_NUM" in moves[1] and "doc_id" not in moves[0].split("hashpartitioning")[1].split(")")[0]
