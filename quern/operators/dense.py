@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from quern.sources.tables import kept
 
-#: Vectors a block holds on average, of all vectors and of queries. A product of two blocks has 8 million scores.
-VECTORS, QUERIES = 16384, 512
+#: Vectors a block holds on average, of all vectors and of queries. A product of two blocks has 8 million scores, of which a task
+#: holds about SCORES at a time.
+VECTORS, QUERIES, SCORES = 16384, 512, 2**20
 #: What stands for a missing label inside a block, on either side, so that missing ones are never equal.
 NO_LABEL, NO_WANTED = -(2**63), -(2**63) + 1
 PACK = "block long, ids binary, labels binary, vectors binary"
@@ -35,7 +36,7 @@ def scored_blocks(vectors: DataFrame, queries: DataFrame, reused: bool = False)
     """Every block of queries beside every block of vectors (id, label, vector in both), packed, for best() and gold_ranks().
 
     All vectors move once. Queries are packed once and sent to each block of vectors, in blocks, so that a task holds two
-    blocks and their product at a time. With `reused` blocks are written once, for
+    blocks and a part of their product at a time. With `reused` blocks are written once, for
     those who read them more than once. Null ids and null vectors take no part, a null label equals none; all other vectors must be of one length.
     """
     v, n = _packed(vectors, VECTORS, NO_LABEL)
@@ -47,16 +48,21 @@ def scored_blocks(vectors: DataFrame, queries: DataFrame, reused: bool = False)
 
 
 def _products(blocks: DataFrame, digest: Callable, shape: str) -> DataFrame:
-    """digest(row, questions, wanted labels, ids, labels, scores) of each pair of blocks; a vector never meets itself."""
+    """digest(row, questions, wanted labels, ids, labels, scores) of each pair of blocks, a few queries at a time; a vector never
+    meets itself."""
 
     def product(pair: pd.DataFrame) -> pd.DataFrame:
         found = []
         for row in pair.to_dict("records"):
             asked, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+            wanted, labels = np.frombuffer(row["q_labels"], np.int64), np.frombuffer(row["labels"], np.int64)
             a, b = np.frombuffer(row["q_vectors"]).reshape(len(asked), -1), np.frombuffer(row["vectors"]).reshape(len(ids), -1)
-            scores = np.round(a @ b.T, 6)
-            scores[asked[:, None] == ids[None, :]] = -np.inf
-            found.append(digest(row, asked, np.frombuffer(row["q_labels"], np.int64), ids, np.frombuffer(row["labels"], np.int64), scores))
+            step = max(1, SCORES // len(ids))
+            for some in (slice(i, i + step) for i in range(0, len(asked), step)):
+                scores = a[some] @ b.T
+                np.round(scores, 6, out=scores)
+                scores[asked[some, None] == ids[None, :]] = -np.inf
+                found.append(digest(row, asked[some], wanted[some], ids, labels, scores))
         return pd.concat(found)
 
     return blocks.groupBy("block", "q_block").applyInPandas(product, shape)

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,12 @@ def test_draws_are_dealt_out(spark, monkeypatch):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert text.count("REPARTITION_BY_NUM") == 3 and "RoundRobinPartitioning(21)" in text
     assert "SortMergeJoin" in text.split("RoundRobin")[0]
+
+
+def test_products_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(dense, "SCORES", 90, raising=False)
+    vectors = spark.createDataFrame([(i, i % 3, [float(i % 7), 1.0]) for i in range(30)], SHAPE)
+    parts = dense._products(dense.scored_blocks(vectors, vectors.where("id < 10")), lambda row, asked, wanted, ids, labels, scores: pd.DataFrame({"n": [scores.size], "rows": [len(asked)]}), "n long, rows long")
+    assert sorted(tuple(r) for r in parts.collect()) == [(30, 1), (90, 3), (90, 3), (90, 3)]
+    best = dense.best(dense.scored_blocks(vectors, vectors.where("id < 10")), 2).where("question_id = 3").orderBy("rank")
+    assert [(r.doc_id, r.score) for r in best.collect()] == [(6, 19.0), (13, 19.0)]
