@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,32 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_one_job_and_of_many_the_same_roots(spark, monkeypatch):
+    rng, writes, written = random.Random(8), [], components.written
+    monkeypatch.setattr(components, "written", lambda df, what: writes.append(what) or written(df, what))
+    edges = [(rng.randrange(-700, 700), rng.randrange(-700, 700)) for _ in range(800)] + [(i, i + 1) for i in range(2000, 2300)] + [(9, 9), (5000, 5000)] * 2
+    edges += [(b, a) for a, b in edges[::3]]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        if not [root.update({a: m, b: m}) for a, b in edges if a != b and (m := min(root[a], root[b])) != max(root[a], root[b])]:
+            break
+    table = spark.createDataFrame(rng.sample(edges, len(edges)), "a long, b long").repartition(4)
+    found = components.components(table).collect()
+    assert len(found) == len(root) and {r.node: r.root for r in found} == root
+    assert writes == ["edges"]
+    monkeypatch.setattr(components, "EDGES", 400)
+    found = components.components(table).collect()
+    assert len(found) == len(root) and {r.node: r.root for r in found} == root
+    assert writes[:3] == ["edges", "edges", "least"]
+
+
+def test_stars_of_a_tasks_edges(monkeypatch):
+    monkeypatch.setattr(components, "EDGES", 3)
+    batches = [pd.DataFrame({"a": a, "b": b}) for a, b in (([4, 2], [3, 1]), ([3], [2]), ([7, 7], [7, 7]), ([], []), ([2**62], [-(2**62)]))]
+    found = [list(map(tuple, x.to_numpy().tolist())) for x in components._stars_of_batches(iter(batches))]
+    assert found == [[(2, 1), (3, 1), (4, 1)], [(2**62, -(2**62))]]
+
+
 def brute_top(rows, k=5):
     vectors = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
