@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Seconds of a time bucket that instants are swept in.
 BUCKET = 3600
+#: Lengths of a window in a bucket of time that windows and their samples meet in.
+SPANS = 16
 
 
 def encounters(rows: DataFrame, least: float = 0) -> DataFrame:
@@ -124,24 +126,30 @@ def length_matched(targets: DataFrame, donors: DataFrame, caliper: float = 0.2)
 
 
 def sampled_windows(samples: DataFrame, windows: DataFrame, span: int) -> DataFrame:
-    """event_id, n, total, n_values, peak of the samples (event_id, at, value) inside each window (event_id, at), which is
-    `span` long; windows without samples are left out. Values are added one after the other from the greatest id
-    down, so that sums do not hang on how rows were dealt out (of sums that lie half way, the order decides the rounding). A bucket of a window's length holds its windows, and its and the next one's samples."""
+    """event_id, n, total, n_values, peak of the samples (event_id, at, value) inside the windows (event_id, at) of an id, each
+    `span` long; ids without samples are left out. Values are added one after the other from the latest down (of one time, from the
+    greatest id), so that sums do not hang on how rows were dealt out (of sums that lie half way, the order decides the rounding).
+    Null values do not count, NaN is a value. A bucket of SPANS windows' length holds the windows that open in it and all samples
+    that these may hold; windows that open at once are one sum."""
 
     def inside(part: pd.DataFrame) -> pd.DataFrame:
-        s = part[~part["opens"]].sort_values("at", kind="stable")
-        at, ids, values = s["at"].to_numpy(), s["event_id"].to_numpy(), s["value"].to_numpy(float)
-        opened = part[part["opens"]]
-        found = []
-        for event, start in zip(opened["event_id"].to_numpy(), opened["at"].to_numpy(), strict=True):
-            i, j = np.searchsorted(at, [start, start + span])
-            if i < j:
-                v = values[i:j][np.argsort(-ids[i:j], kind="stable")]
-                v = v[~np.isnan(v)]
-                found.append((event, j - i, np.cumsum(v)[-1] if len(v) else None, len(v), v.max() if len(v) else None))
-        return pd.DataFrame(found, columns=["event_id", "n", "total", "n_values", "peak"])
-
-    bucket = F.floor(F.col("at") / span)
-    w = windows.select("event_id", "at", F.lit(None).cast("double").alias("value"), F.lit(True).alias("opens"), bucket.alias("bucket"))
-    s = samples.select("event_id", "at", F.col("value").cast("double").alias("value"), F.lit(False).alias("opens"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
-    return w.unionByName(s).where("at IS NOT NULL").groupBy("bucket").applyInPandas(inside, "event_id long, n long, total double, n_values long, peak double")
+        opens, times, ids = part["opens"].to_numpy(bool), part["at"].to_numpy(), part["event_id"].to_numpy()
+        order = np.lexsort((ids, times))
+        order = order[~opens[order]]
+        at, values, known = times[order], part["value"].to_numpy(float)[order], part["known"].to_numpy(bool)[order]
+        starts, which = np.unique(times[opens], return_inverse=True)
+        ends = zip(np.searchsorted(at, starts), np.searchsorted(at, starts + span), strict=True)
+        sums = np.zeros((len(starts), 4))
+        for k, (i, j) in enumerate(ends):
+            v = values[i:j][known[i:j]][::-1]
+            sums[k] = j - i, np.cumsum(v)[-1] if len(v) else 0, len(v), v.max() if len(v) else 0
+        found = pd.DataFrame(sums[which], columns=["n", "total", "n_values", "peak"])
+        found.insert(0, "event_id", ids[opens])
+        return found[found["n"] > 0]
+
+    first, last = (F.floor((F.col("at") - before) / (span * SPANS)) for before in (span, 0))
+    w = windows.select("event_id", "at", F.lit(None).cast("double").alias("value"), F.lit(False).alias("known"), F.lit(True).alias("opens"), last.alias("bucket"))
+    s = samples.select("event_id", "at", F.col("value").cast("double").alias("value"), F.col("value").isNotNull().alias("known"), F.lit(False).alias("opens"), F.explode(F.array_distinct(F.array(first, last))).alias("bucket"))
+    found = w.unionByName(s).where("at IS NOT NULL").groupBy("bucket").applyInPandas(inside, "event_id long, n long, total double, n_values long, peak double")
+    valued = lambda name: F.when(F.col("n_values") > 0, F.coalesce(name, F.lit(float("nan"))))  # noqa: E731  (pandas takes NaN for null)
+    return found.groupBy("event_id").agg(F.sum("n").alias("n"), F.sum(valued("total")).alias("total"), F.sum("n_values").alias("n_values"), F.max(valued("peak")).alias("peak"))

@@ -159,7 +159,7 @@ def bitemporal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT w.event_id, count(*) AS n, round(avg(s.value), 6) AS mean_power, round(max(s.value), 6) AS peak_power, round(greatest(0, (avg(s.value) - 20) * 600), 4) AS net_energy
 FROM w JOIN events s ON epoch_ms(s.ts) >= w.a AND epoch_ms(s.ts) < w.b GROUP BY w.event_id""")
 def telemetry_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power samples inside marked windows of ten minutes, which meet in time buckets of a window's length."""
+    """Power samples inside marked windows of ten minutes, which meet in buckets of time."""
     e = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "value", "event_type")
     found = intervals.sampled_windows(e, e.where("event_type = 'error'"), 600_000)
     mean = F.col("total") / F.nullif("n_values", F.lit(0))

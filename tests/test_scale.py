@@ -67,6 +67,15 @@ def test_window_sums_go_down_the_ids(spark):
     assert found == {1: (3, 0.3 + 0.2 + 0.1, 3, 0.3), 2: (5, -1e16 + 1.0 + 1e16 + 0.3 + 0.2, 5, 1e16), 3: (1, None, 0, None)}
 
 
+def test_window_sums_go_down_the_times(spark):
+    e = [(9, 0, 1.0), (8, 1, 1e16), (7, 2, 0.5), (6, 3, -1e16), (5, 3, 2.0), (4, 40, float("nan")), (3, 41, 1.0), (2, 60, 2.0), (2, 70, 3.0), (1, 60, None)]
+    samples = spark.createDataFrame(e, "event_id long, at long, value double").repartition(3)
+    windows = spark.createDataFrame([(9, 0), (8, 0), (4, 40), (2, 60), (2, 70)], "event_id long, at long")
+    found = {r.event_id: (r.n, repr(r.total), r.n_values, repr(r.peak)) for r in intervals.sampled_windows(samples, windows, 10).collect()}
+    first = (5, repr(-1e16 + 2.0 + 0.5 + 1e16 + 1.0), 5, "1e+16")
+    assert found == {9: first, 8: first, 4: (2, "nan", 2, "nan"), 2: (3, "5.0", 2, "3.0")}
+
+
 def test_word_lists_are_worked_out_once(spark):
     f1 = tx.multiset_f1(tx.word_list(F.col("a")), tx.word_list(F.col("b")))
     assert str(f1).count("regexp_replace") == 4  # two a list
