@@ -12,8 +12,10 @@ from pyspark.sql.window import Window
 
 #: Fixed value: what stands for no match at all in the precision of one length (BLEU's first smoothing method).
 EPSILON = 0.1
-#: Words whose n-grams a task holds at a time, and n-grams that meet in one partition on average.
-WORDS, GRAMS = 500_000, 4_000_000
+#: Words whose n-grams a task holds at a time (a block), and n-grams that meet in one part on average.
+WORDS, GRAMS = 1_000_000, 4_000_000
+#: Bytes of an n-gram's second hash that move with its first one.
+MORE = 2
 #: Multipliers of two rolling hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -25,9 +27,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An order by (a, b) that leaves equal rows as they lie."""
+    order = np.argsort(a, kind="stable")
+    c, d = a[order], b[order]
+    return np.lexsort((b, a)) if ((c[1:] == c[:-1]) & (d[1:] != d[:-1])).any() else order
+
+
 def _firsts(a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each distinct (a, b) once with its text, -1 where more than one row has it."""
-    order = np.argsort(a, kind="stable")
+    order = _order(a, b)
     a, b, text = a[order], b[order], text[order]
     starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
     alone = np.diff(np.r_[starts, len(a)]) == 1
@@ -37,23 +46,77 @@ def _firsts(a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray,
 def _elements(groups: tuple[np.ndarray, ...], words: tuple[np.ndarray, ...], lengths: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     """a, b, text of the n-grams of texts, given by two hashes of each one's group and of its words; the j-th time that a text
     has an n-gram is told apart from the others. a's lowest bits are n - 1."""
-    text = np.repeat(np.arange(len(lengths)), lengths)
+    text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(text))  # words from here to the end of the text
     low = np.uint64((1 << (most - 1).bit_length()) - 1)
-    hashes, found = [g[text] for g in groups], []
+    ends = np.cumsum([0, *(int(np.maximum(lengths - n + 1, 0).sum()) for n in range(1, most + 1))])
+    a, b, owner = (np.empty(ends[-1], x) for x in (np.uint64, np.uint64, np.int32))
+    hashes = [g[text] for g in groups]
     for n in range(1, most + 1):
         size = max(len(text) - n + 1, 0)
         hashes = [_mixed(h[:size] * np.uint64(f) + w[n - 1 :]) for h, w, f in zip(hashes, words, FACTORS, strict=True)]
-        whole = left[:size] >= n
-        found.append(((hashes[0][whole] & ~low) | np.uint64(n - 1), hashes[1][whole], text[:size][whole]))
-    a, b, text = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((text, b, a))
-    a, b, text = a[order], b[order], text[order]
-    again = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (text[1:] == text[:-1])] if len(a) else np.zeros(0, bool)
-    place = np.arange(len(a))
-    j = (place - np.maximum.accumulate(np.where(again, 0, place))).astype(np.uint64)
-    other = _mixed(a + j * np.uint64(FACTORS[0]))
-    return np.where(again, (other & ~low) | (a & low), a), np.where(again, _mixed(b ^ (j * np.uint64(FACTORS[1]))), b), text
+        whole, at = left[:size] >= n, slice(ends[n - 1], ends[n])
+        a[at], b[at], owner[at] = (hashes[0][whole] & ~low) | np.uint64(n - 1), hashes[1][whole], text[:size][whole]
+    del text, left, hashes
+    order = _order(a, b)
+    a, b, owner = a[order], b[order], owner[order]
+    del order
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])] if len(a) else np.zeros(0, bool)
+    starts, again = np.flatnonzero(fresh), np.flatnonzero(~fresh)
+    j = (again - starts[np.searchsorted(starts, again, side="right") - 1]).astype(np.uint64)
+    a[again] = (_mixed(a[again] + j * np.uint64(FACTORS[0])) & ~low) | (a[again] & low)
+    b[again] = _mixed(b[again] ^ (j * np.uint64(FACTORS[1])))
+    return a, b, owner
+
+
+def _bytes(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of unsigned numbers, the so many lowest bytes of each one, the n-th bytes of a column together, compressed."""
+    planes = [np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes() for x, n in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _columns(packed: bytes, rows: int, *sizes: int) -> list[np.ndarray]:
+    """What _bytes has packed, in numbers no wider than they need be."""
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=rows * sum(sizes), codec="zstd"), np.uint8).reshape(sum(sizes), rows)
+    found, at = [], 0
+    for n in sizes:
+        width = 1 << (n - 1).bit_length()
+        x = np.zeros((rows, width), np.uint8)
+        x[:, :n] = planes[at : at + n].T
+        found.append(x.view(f"<u{width}").ravel())
+        at += n
+    return found
+
+
+def _steps(x: np.ndarray, start: int = 0) -> np.ndarray:
+    return np.diff(x, prepend=np.uint64(start))
+
+
+def _lost(rows: list[tuple[int, bytes, int, bytes]], start: int, levels: int) -> list[tuple[int, bytes]]:
+    """Of each block's share of a part, as _share gives it, how many n-grams no other text has, and packed: their text * levels + n - 1."""
+    one = [_columns(x, n, 8, MORE, 4) for n, x, _, _ in rows]
+    many = [_columns(x, n, 8, MORE) for _, _, n, x in rows]
+    whole = lambda steps: np.cumsum(steps, dtype=np.uint64) + np.uint64(start)
+    a, b = (np.concatenate(x) for x in ([whole(x[0]) for x in one + many], [x[1] for x in one + many]))
+    order = _order(a, b)
+    a, b = a[order], b[order]
+    other = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]), True] if len(a) else np.ones(1, bool)
+    single = np.zeros(len(a), bool)
+    single[order] = other[1:] & other[:-1]
+    found, at = [], 0
+    for steps, _, text in one:
+        lost = single[at : at + len(text)]
+        at += len(text)
+        which = np.sort(text[lost] * np.uint64(levels) + (whole(steps)[lost] & np.uint64(levels - 1)))
+        found.append((len(which), _bytes((_steps(which), 4))))
+    return found
+
+
+def _share(a: np.ndarray, b: np.ndarray, text: np.ndarray, start: int) -> tuple[int, bytes, int, bytes]:
+    """A block's sorted n-grams of a part that begins at the hash start: how many one text has and those packed with it, then those of more texts."""
+    alone = text >= 0
+    one, many = (_bytes((_steps(a[x], start), 8), (b[x], MORE), *([(text[x], 4)] if told else [])) for x, told in ((alone, True), (~alone, False)))
+    return int(alone.sum()), one, int((~alone).sum()), many
 
 
 def self_bleu(texts: DataFrame, most: int = 4) -> DataFrame:
@@ -61,35 +124,58 @@ def self_bleu(texts: DataFrame, most: int = 4) -> DataFrame:
 
     A text's count of an n-gram is clipped by the greatest count in any other text. So the j-th time that a text has an
     n-gram is a hit unless no other text has it j times: the n-grams, numbered so, are counted once over all texts, and those
-    that one text alone has are its losses. No two texts ever meet, and only n-grams move, once, as 128 bits of their
-    words' hashes with their text; tasks tell repeated ones among some WORDS words before. The reference of closest length
+    that one text alone has are its losses. No two texts ever meet, and only n-grams move, once, dealt by hash into parts: a
+    block of about WORDS words sends a part its distinct n-grams, sorted, as the steps between the hashes of their words and
+    numbers of texts in the block, packed in some nine bytes each (62 bits of one hash, MORE bytes of another and n tell
+    n-grams apart). A part answers with packed numbers of the texts that lose. The reference of closest length
     (the shorter of two) is the text's own length if another text has it, else a neighbour among the group's distinct
     lengths. A text without a matching word has 0, as has one without words; the only text of a group has null. ids are
     unique in a group; null words do not count.
     """
     rows = texts.select("grp", "id", F.filter("words", lambda w: w.isNotNull()).alias("words")).withColumn("n_words", F.size("words"))
-    hashed = rows.select("id", F.xxhash64("grp").alias("g"), F.xxhash64(F.lit(1), "grp").alias("g2"), F.transform("words", lambda w: F.xxhash64(w)).alias("a"), F.transform("words", lambda w: F.xxhash64(F.lit(1), w)).alias("b"))
+    hashed = rows.select("id", F.xxhash64("grp", "id", F.monotonically_increasing_id()).alias("block"), F.xxhash64("grp").alias("g"), F.xxhash64(F.lit(1), "grp").alias("g2"), F.transform("words", lambda w: F.xxhash64(w)).alias("a"), F.transform("words", lambda w: F.xxhash64(F.lit(1), w)).alias("b"))
+    n = rows.agg(F.sum("n_words")).collect()[0][0] or 0
+    parts, levels, words = n * most // GRAMS + 1, 1 << (most - 1).bit_length(), WORDS
+    starts = [-(-(i << 64) // parts) for i in range(parts)]
+    id_type = texts.schema["id"].dataType.simpleString()
+    share_names = ["part", "block", "n_one", "one", "n_many", "many", "g", "id"]
 
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = np.cumsum(np.asarray(batch["a"].value_lengths()))
             at = 0
             while at < len(ends):
                 before = ends[at - 1] if at else 0
-                to = max(int(np.searchsorted(ends, before + WORDS, side="right")), at + 1)
-                part = batch.slice(at, to - at)
-                groups = [np.asarray(part[x]).view(np.uint64) for x in ("g", "g2")]
-                words = [np.asarray(part[x].flatten()).view(np.uint64) for x in ("a", "b")]
-                a, b, text = _firsts(*_elements(groups, words, np.asarray(part["a"].value_lengths()), most))
-                where = pa.array(text, mask=text < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part["g"].take(where), part["id"].take(where)], ["a", "b", "g", "id"])
+                to = max(int(np.searchsorted(ends, before + words, side="right")), at + 1)
+                block = batch.slice(at, to - at)
+                groups = [np.asarray(block[x]).view(np.uint64) for x in ("g", "g2")]
+                a, b, text = _firsts(*_elements(groups, [np.asarray(block[x].flatten()).view(np.uint64) for x in ("a", "b")], np.asarray(block["a"].value_lengths()), most))
+                key = block["block"][0].as_py()
+                cuts = np.r_[np.searchsorted(a, np.array(starts, np.uint64)), len(a)]
+                home = key % parts  # the part that brings back whose the numbers are
+                sent = [x for x in range(parts) if cuts[x] < cuts[x + 1] or x == home]
+                found = [(x, key, *_share(*(y[cuts[x] : cuts[x + 1]] for y in (a, b, text)), starts[x])) for x in sent]
+                names = [pa.array([block[y].to_pylist() if x == home else None for x in sent], pa.list_(block[y].type)) for y in ("g", "id")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*found, strict=True)), *names], share_names)
                 at = to
 
-    n = rows.agg(F.sum("n_words")).collect()[0][0] or 0
-    grams = hashed.mapInArrow(elements, f"a long, b long, g long, id {texts.schema['id'].dataType.simpleString()}")
-    counted = grams.repartition(n * most // GRAMS + 1, "a", "b").groupBy("a", "b").agg(F.count("*").alias("k"), F.min("g").alias("g"), F.min("id").alias("id"))
-    level = F.col("a").bitwiseAND((1 << (most - 1).bit_length()) - 1)
-    lost = counted.where("k = 1 AND id IS NOT NULL").groupBy("g", "id").agg(*[F.count_if(level == n - 1).alias(f"lost_{n}") for n in range(1, most + 1)])
+    def losses(part: pa.Table) -> pa.Table:
+        found = _lost(list(zip(*(part[x].to_pylist() for x in ("n_one", "one", "n_many", "many")), strict=True)), starts[part["part"][0].as_py()], levels)
+        return pa.table([part["block"], pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary()), part["g"], part["id"]], ["block", "n", "lost", "g", "id"])
+
+    def by_text(block: pa.Table) -> pa.Table:
+        (named,) = np.flatnonzero(np.asarray(block["g"].is_valid()))
+        g, ids = (block[x][int(named)].values for x in ("g", "id"))
+        count = np.zeros(len(g) * levels, np.int64)
+        for k, packed in zip(block["n"].to_pylist(), block["lost"].to_pylist(), strict=True):
+            np.add.at(count, np.cumsum(_columns(packed, k, 4)[0], dtype=np.int64), 1)
+        return pa.table([g, ids, *(pa.array(count[level::levels]) for level in range(most))], ["g", "id", *(f"lost_{level + 1}" for level in range(most))])
+
+    named = f"g array<long>, id array<{id_type}>"
+    grams = hashed.mapInArrow(shares, f"part long, block long, n_one long, one binary, n_many long, many binary, {named}").repartition(parts, "part")
+    lost = grams.groupBy("part").applyInArrow(losses, f"block long, n long, lost binary, {named}")
+    counts = [f"lost_{level + 1}" for level in range(most)]
+    lost = lost.groupBy("block").applyInArrow(by_text, f"g long, id {id_type}, " + ", ".join(f"{x} long" for x in counts)).groupBy("g", "id").agg(*[F.sum(x).alias(x) for x in counts])
     by_length = Window.partitionBy("grp").orderBy("n_words")
     lengths = rows.groupBy("grp", "n_words").agg(F.count("*").alias("k")).withColumns({"low": F.lag("n_words").over(by_length), "high": F.lead("n_words").over(by_length)})
     nearer = F.when(F.col("high").isNull() | (F.col("n_words") - F.col("low") <= F.col("high") - F.col("n_words")), F.col("low")).otherwise(F.col("high"))
