@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: Fixed value: what stands for no match at all in the precision of one length (BLEU's first smoothing method).
@@ -16,6 +18,8 @@ EPSILON = 0.1
 WORDS, GRAMS = 1_000_000, 4_000_000
 #: Bytes of an n-gram's second hash that move with its first one.
 MORE = 2
+#: Fixed value: stands in front of each word of a text.
+MARK = "\1"
 #: Multipliers of two rolling hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -34,39 +38,44 @@ def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.lexsort((b, a)) if ((c[1:] == c[:-1]) & (d[1:] != d[:-1])).any() else order
 
 
-def _firsts(a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each distinct (a, b) once with its text, -1 where more than one row has it."""
-    order = _order(a, b)
-    a, b, text = a[order], b[order], text[order]
-    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-    alone = np.diff(np.r_[starts, len(a)]) == 1
-    return a[starts], b[starts], np.where(alone, text[starts], -1)
-
-
-def _elements(groups: tuple[np.ndarray, ...], words: tuple[np.ndarray, ...], lengths: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """a, b, text of the n-grams of texts, given by two hashes of each one's group and of its words; the j-th time that a text
-    has an n-gram is told apart from the others. a's lowest bits are n - 1."""
+def _elements(block: pa.Table, sizes: range, low: np.uint64, left_out: dict[int, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """a, b, text, place, first of the n-grams of a block's texts, by their hashes, but those whose place is left out; the j-th
+    time that a text has an n-gram is told apart from the others, and the times of one n-gram in a text lie together, the first in front. a's lowest bits are n - 1."""
+    lengths, groups = np.diff(block["a"].offsets.to_numpy()), [block[x].to_numpy().view(np.uint64) for x in ("g", "g2")]
+    words = [block[x].flatten().to_numpy().view(np.uint64) for x in ("a", "b")]
     text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(text))  # words from here to the end of the text
-    low = np.uint64((1 << (most - 1).bit_length()) - 1)
-    ends = np.cumsum([0, *(int(np.maximum(lengths - n + 1, 0).sum()) for n in range(1, most + 1))])
-    a, b, owner = (np.empty(ends[-1], x) for x in (np.uint64, np.uint64, np.int32))
-    hashes = [g[text] for g in groups]
-    for n in range(1, most + 1):
+    hashes, found = [g[text] for g in groups], []
+    for n in range(1, sizes.stop):
         size = max(len(text) - n + 1, 0)
         hashes = [_mixed(h[:size] * np.uint64(f) + w[n - 1 :]) for h, w, f in zip(hashes, words, FACTORS, strict=True)]
-        whole, at = left[:size] >= n, slice(ends[n - 1], ends[n])
-        a[at], b[at], owner[at] = (hashes[0][whole] & ~low) | np.uint64(n - 1), hashes[1][whole], text[:size][whole]
-    del text, left, hashes
+        if n in sizes:
+            place = np.flatnonzero((left[:size] >= n) & ~left_out[n][:size] if n in left_out else left[:size] >= n).astype(np.int32)
+            found.append(((hashes[0][place] & ~low) | np.uint64(n - 1), hashes[1][place], place))
+    del left, hashes
+    a, b, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
     order = _order(a, b)
-    a, b, owner = a[order], b[order], owner[order]
+    a, b, place = a[order], b[order], place[order]
     del order
-    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])] if len(a) else np.zeros(0, bool)
-    starts, again = np.flatnonzero(fresh), np.flatnonzero(~fresh)
+    owner = text[place]
+    first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])] if len(a) else np.zeros(0, bool)
+    starts, again = np.flatnonzero(first), np.flatnonzero(~first)
     j = (again - starts[np.searchsorted(starts, again, side="right") - 1]).astype(np.uint64)
     a[again] = (_mixed(a[again] + j * np.uint64(FACTORS[0])) & ~low) | (a[again] & low)
     b[again] = _mixed(b[again] ^ (j * np.uint64(FACTORS[1])))
-    return a, b, owner
+    return a, b, owner, place, first
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each distinct (a, b) once, sorted, with its text, -1 where more than one row has it; and which of them each row is."""
+    order = _order(a, b)
+    c, d = a[order], b[order]
+    new = np.r_[True, (c[1:] != c[:-1]) | (d[1:] != d[:-1])] if len(a) else np.zeros(0, bool)
+    starts, which = np.flatnonzero(new), np.empty(len(a), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    alone = np.diff(np.r_[starts, len(a)]) == 1
+    return c[starts], d[starts], np.where(alone, text[order[starts]], -1), which
 
 
 def _bytes(*columns: tuple[np.ndarray, int]) -> bytes:
@@ -92,31 +101,33 @@ def _steps(x: np.ndarray, start: int = 0) -> np.ndarray:
     return np.diff(x, prepend=np.uint64(start))
 
 
-def _lost(rows: list[tuple[int, bytes, int, bytes]], start: int, levels: int) -> list[tuple[int, bytes]]:
-    """Of each block's share of a part, as _share gives it, how many n-grams no other text has, and packed: their text * levels + n - 1."""
-    one = [_columns(x, n, 8, MORE, 4) for n, x, _, _ in rows]
+def _cuts(a: np.ndarray, starts: list[int]) -> np.ndarray:
+    return np.r_[np.searchsorted(a, np.array(starts, np.uint64)), len(a)]
+
+
+def _share(a: np.ndarray, b: np.ndarray, text: np.ndarray, start: int, told: int) -> tuple[int, bytes, int, bytes]:
+    """A block's sorted n-grams of a part that begins at the hash start: how many one text has and those packed, with so many bytes of its number, then those of more texts."""
+    alone = text >= 0
+    one, many = (_bytes((_steps(a[x], start), 8), (b[x], MORE), (text[x], n)) for x, n in ((alone, told), (~alone, 0)))
+    return int(alone.sum()), one, int((~alone).sum()), many
+
+
+def _single(part: pa.Table, start: int, told: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each block's share of a part: which of the n-grams that one text of it has no other text has, all their first hashes, and their texts if told."""
+    rows = list(zip(*(part[x].to_pylist() for x in ("n_one", "one", "n_many", "many")), strict=True))
+    one = [_columns(x, n, 8, MORE, *[told] * bool(told)) for n, x, _, _ in rows]
     many = [_columns(x, n, 8, MORE) for _, _, n, x in rows]
-    whole = lambda steps: np.cumsum(steps, dtype=np.uint64) + np.uint64(start)
-    a, b = (np.concatenate(x) for x in ([whole(x[0]) for x in one + many], [x[1] for x in one + many]))
+    firsts = [np.cumsum(x[0], dtype=np.uint64) + np.uint64(start) for x in one + many]
+    a, b = np.concatenate(firsts), np.concatenate([x[1] for x in one + many])
     order = _order(a, b)
     a, b = a[order], b[order]
     other = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]), True] if len(a) else np.ones(1, bool)
     single = np.zeros(len(a), bool)
     single[order] = other[1:] & other[:-1]
-    found, at = [], 0
-    for steps, _, text in one:
-        lost = single[at : at + len(text)]
-        at += len(text)
-        which = np.sort(text[lost] * np.uint64(levels) + (whole(steps)[lost] & np.uint64(levels - 1)))
-        found.append((len(which), _bytes((_steps(which), 4))))
-    return found
-
-
-def _share(a: np.ndarray, b: np.ndarray, text: np.ndarray, start: int) -> tuple[int, bytes, int, bytes]:
-    """A block's sorted n-grams of a part that begins at the hash start: how many one text has and those packed with it, then those of more texts."""
-    alone = text >= 0
-    one, many = (_bytes((_steps(a[x], start), 8), (b[x], MORE), *([(text[x], 4)] if told else [])) for x, told in ((alone, True), (~alone, False)))
-    return int(alone.sum()), one, int((~alone).sum()), many
+    at = 0
+    for first, x in zip(firsts, one, strict=False):
+        yield single[at : at + len(first)], first, x[-1]
+        at += len(first)
 
 
 def self_bleu(texts: DataFrame, most: int = 4) -> DataFrame:
@@ -124,57 +135,96 @@ def self_bleu(texts: DataFrame, most: int = 4) -> DataFrame:
 
     A text's count of an n-gram is clipped by the greatest count in any other text. So the j-th time that a text has an
     n-gram is a hit unless no other text has it j times: the n-grams, numbered so, are counted once over all texts, and those
-    that one text alone has are its losses. No two texts ever meet, and only n-grams move, once, dealt by hash into parts: a
-    block of about WORDS words sends a part its distinct n-grams, sorted, as the steps between the hashes of their words and
-    numbers of texts in the block, packed in some nine bytes each (62 bits of one hash, MORE bytes of another and n tell
-    n-grams apart). A part answers with packed numbers of the texts that lose. The reference of closest length
+    that one text alone has are its losses. No two texts ever meet. Texts are dealt into blocks of about WORDS words, and an n-gram
+    moves at most once, dealt by hash into parts: a block sends a part its distinct n-grams, sorted, as the steps between the
+    hashes of their words, packed (62 bits of one hash, MORE bytes of another and n tell n-grams apart). Those of one and two
+    words go first, and for each a bit comes back. A longer one that holds a pair of words that no other text has is lost, so it stays; the
+    rest go with the numbers of their texts in the block, which come back from the parts for those that are lost. The reference of closest length
     (the shorter of two) is the text's own length if another text has it, else a neighbour among the group's distinct
     lengths. A text without a matching word has 0, as has one without words; the only text of a group has null. ids are
     unique in a group; null words do not count.
     """
     rows = texts.select("grp", "id", F.filter("words", lambda w: w.isNotNull()).alias("words")).withColumn("n_words", F.size("words"))
-    hashed = rows.select("id", F.xxhash64("grp", "id", F.monotonically_increasing_id()).alias("block"), F.xxhash64("grp").alias("g"), F.xxhash64(F.lit(1), "grp").alias("g2"), F.transform("words", lambda w: F.xxhash64(w)).alias("a"), F.transform("words", lambda w: F.xxhash64(F.lit(1), w)).alias("b"))
     n = rows.agg(F.sum("n_words")).collect()[0][0] or 0
-    parts, levels, words = n * most // GRAMS + 1, 1 << (most - 1).bit_length(), WORDS
-    starts = [-(-(i << 64) // parts) for i in range(parts)]
+    short, levels = min(most, 2), 1 << (most - 1).bit_length()
+    low = np.uint64(levels - 1)
+    starts, later = ([-(-(i << 64) // k) for i in range(k)] for k in (n * x // GRAMS + 1 for x in (short, most - short)))
     id_type = texts.schema["id"].dataType.simpleString()
-    share_names = ["part", "block", "n_one", "one", "n_many", "many", "g", "id"]
-
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = np.cumsum(np.asarray(batch["a"].value_lengths()))
-            at = 0
-            while at < len(ends):
-                before = ends[at - 1] if at else 0
-                to = max(int(np.searchsorted(ends, before + words, side="right")), at + 1)
-                block = batch.slice(at, to - at)
-                groups = [np.asarray(block[x]).view(np.uint64) for x in ("g", "g2")]
-                a, b, text = _firsts(*_elements(groups, [np.asarray(block[x].flatten()).view(np.uint64) for x in ("a", "b")], np.asarray(block["a"].value_lengths()), most))
-                key = block["block"][0].as_py()
-                cuts = np.r_[np.searchsorted(a, np.array(starts, np.uint64)), len(a)]
-                home = key % parts  # the part that brings back whose the numbers are
-                sent = [x for x in range(parts) if cuts[x] < cuts[x + 1] or x == home]
-                found = [(x, key, *_share(*(y[cuts[x] : cuts[x + 1]] for y in (a, b, text)), starts[x])) for x in sent]
-                names = [pa.array([block[y].to_pylist() if x == home else None for x in sent], pa.list_(block[y].type)) for y in ("g", "id")]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*found, strict=True)), *names], share_names)
-                at = to
+    # Words move as one string, each behind a mark, which none holds then; its words' hashes are those of words so written.
+    marked = F.transform("words", lambda w: F.replace(F.replace(w, F.lit("\2"), F.lit("\2b")), F.lit(MARK), F.lit("\2a")))
+    one = F.when(F.size("words") > 0, F.concat(F.lit(MARK), F.array_join(marked, MARK))).otherwise("")
+    dealt = rows.select(F.pmod(F.xxhash64("grp", "id"), F.lit(n // WORDS + 1)).alias("block"), "id", F.xxhash64("grp").alias("g"), F.xxhash64(F.lit(1), "grp").alias("g2"), one.alias("words")).repartition("block")
+    split = F.slice(F.split("words", MARK), F.lit(2), F.length("words") + 1)
+    hashed = dealt.select("block", "id", "g", "g2", F.xxhash64("words").alias("all"), split.alias("words"))
+    hashed = hashed.select("block", "id", "g", "g2", "all", F.transform("words", lambda w: F.xxhash64(w)).alias("a"), F.transform("words", lambda w: F.xxhash64(F.lit(1), w)).alias("b"))
+
+    def in_order(block: pa.Table) -> pa.Table:
+        """The same order whenever the block is made: by id, and equal ids by their words."""
+        return block.take(pc.sort_indices(block, sort_keys=[(x, "ascending") for x in ("g", "id", "all")])).combine_chunks()
+
+    def shorts(block: pa.Table) -> tuple[np.ndarray, ...]:
+        a, b, text, place, first = _elements(block, range(1, short + 1), low, {})
+        return *_distinct(a, b, text), place, first
+
+    def first_shares(block: pa.Table) -> pa.Table:
+        key = block["block"][0].as_py()
+        a, b, text, *_ = shorts(in_order(block).to_batches()[0])
+        cuts = _cuts(a, starts)
+        found = [(part, key, *_share(a[i:j], b[i:j], text[i:j], starts[part], 0)) for part, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+        return pa.Table.from_pylist([dict(zip(share_names, x, strict=True)) for x in found], share_types)
+
+    def first_losses(part: pa.Table) -> pa.Table:
+        lost = [pa.scalar(np.packbits(single).tobytes()) for single, _, _ in _single(part, starts[part["part"][0].as_py()], 0)]
+        return pa.table([part["block"], part["part"], part["n_one"], pa.array(lost, pa.binary())], ["block", "part", "n", "lost"])
+
+    def later_shares(block: pa.Table, bits: pa.Table) -> pa.Table:
+        key = block["block"][0].as_py()
+        block = in_order(block).to_batches()[0]
+        a, _, text, which, place, first = shorts(block)
+        lost = np.zeros(len(a), bool)
+        lost[text >= 0] = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(x["lost"], np.uint8), count=x["n"]).astype(bool) for x in bits.sort_by("part").to_pylist())])
+        count = np.bincount(text[lost] * np.int64(levels) + (a[lost] & low).astype(np.int64), minlength=block.num_rows * levels)
+        foreign = np.zeros(int(np.diff(block["a"].offsets.to_numpy()).sum()), bool)  # pairs of words from a place on that no other text has
+        pairs = (a[which] & low) == 1
+        foreign[place[pairs]] = lost[which[np.flatnonzero(first)]][np.cumsum(first) - 1][pairs]
+        del a, text, which, place, first, lost, pairs
+        lengths = np.diff(block["a"].offsets.to_numpy())
+        owner, left = np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.cumsum(lengths), lengths) - np.arange(len(foreign))
+        left_out = {}
+        for size in range(short + 1, most + 1):
+            k = max(len(foreign) - size + 1, 0)
+            left_out[size] = np.logical_or.reduce([foreign[i : i + k] for i in range(size - 1)])
+            count += np.bincount(owner[:k][left_out[size] & (left[:k] >= size)] * levels + size - 1, minlength=len(count))
+        found = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        if most > short:
+            found = _distinct(*_elements(block, range(short + 1, most + 1), low, left_out)[:3])[:3]
+        cuts, home = _cuts(found[0], later), key % len(later)  # home: the part that brings back whose the numbers are
+        named = {"g": block["g"].to_pylist(), "id": block["id"].to_pylist(), "known": count.tolist()}
+        sent = [(part, key, *_share(*(x[i:j] for x in found), later[part], 4)) for part, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j or part == home]
+        return pa.Table.from_pylist([dict(zip(share_names, x, strict=True)) | (named if x[0] == home else {}) for x in sent], named_types)
 
     def losses(part: pa.Table) -> pa.Table:
-        found = _lost(list(zip(*(part[x].to_pylist() for x in ("n_one", "one", "n_many", "many")), strict=True)), starts[part["part"][0].as_py()], levels)
-        return pa.table([part["block"], pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary()), part["g"], part["id"]], ["block", "n", "lost", "g", "id"])
+        found = []
+        for single, first, text in _single(part, later[part["part"][0].as_py()], 4):
+            which = np.sort(text[single] * np.uint64(levels) + (first[single] & low))
+            found.append((len(which), _bytes((_steps(which), 4))))
+        return pa.table([part["block"], pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary()), *(part[x] for x in ("g", "id", "known"))], ["block", "n", "lost", "g", "id", "known"])
 
     def by_text(block: pa.Table) -> pa.Table:
         (named,) = np.flatnonzero(np.asarray(block["g"].is_valid()))
-        g, ids = (block[x][int(named)].values for x in ("g", "id"))
-        count = np.zeros(len(g) * levels, np.int64)
+        g, ids, count = (block[x][int(named)].values for x in ("g", "id", "known"))
+        count = count.to_numpy().copy()
         for k, packed in zip(block["n"].to_pylist(), block["lost"].to_pylist(), strict=True):
             np.add.at(count, np.cumsum(_columns(packed, k, 4)[0], dtype=np.int64), 1)
-        return pa.table([g, ids, *(pa.array(count[level::levels]) for level in range(most))], ["g", "id", *(f"lost_{level + 1}" for level in range(most))])
-
-    named = f"g array<long>, id array<{id_type}>"
-    grams = hashed.mapInArrow(shares, f"part long, block long, n_one long, one binary, n_many long, many binary, {named}").repartition(parts, "part")
+        return pa.table([g, ids, *(pa.array(count[level::levels]) for level in range(most))], ["g", "id", *counts])
+
+    share_names, counts = ["part", "block", "n_one", "one", "n_many", "many"], [f"lost_{level + 1}" for level in range(most)]
+    share_types = pa.schema([(x, pa.int64() if x not in ("one", "many") else pa.binary()) for x in share_names])
+    named_types = pa.schema([*share_types, ("g", pa.list_(pa.int64())), ("id", pa.list_(to_arrow_type(texts.schema["id"].dataType))), ("known", pa.list_(pa.int64()))])
+    share, named = "part long, block long, n_one long, one binary, n_many long, many binary", f"g array<long>, id array<{id_type}>, known array<long>"
+    bits = hashed.groupBy("block").applyInArrow(first_shares, share).groupBy("part").applyInArrow(first_losses, "block long, part long, n long, lost binary")
+    grams = hashed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(later_shares, f"{share}, {named}").repartition(len(later), "part")
     lost = grams.groupBy("part").applyInArrow(losses, f"block long, n long, lost binary, {named}")
-    counts = [f"lost_{level + 1}" for level in range(most)]
     lost = lost.groupBy("block").applyInArrow(by_text, f"g long, id {id_type}, " + ", ".join(f"{x} long" for x in counts)).groupBy("g", "id").agg(*[F.sum(x).alias(x) for x in counts])
     by_length = Window.partitionBy("grp").orderBy("n_words")
     lengths = rows.groupBy("grp", "n_words").agg(F.count("*").alias("k")).withColumns({"low": F.lag("n_words").over(by_length), "high": F.lead("n_words").over(by_length)})
